@@ -78,7 +78,9 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     """A text column as one buffer and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string()).cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_string()).cast(pa.large_binary())
     n = len(column)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, n + 1 + column.offset)[column.offset :] if n else np.zeros(1, np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import as_bytes, mix
+from .blocks import blocks, mix
 from .store import materialize, parts
 
 #: Digests that a bucket of the index holds on average.
@@ -32,8 +32,7 @@ _ROW = pa.schema([("id", pa.int64()), ("digest", pa.binary())])
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        buf, at = as_bytes(b.column(1))
+    for b, buf, at in blocks(batches, "text"):
         raw = buf.tobytes().lower()  # bytes.lower changes A to Z alone
         out = [hashlib.sha256(raw[s:e]).digest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], schema=_ROW)
