@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix
-from .store import materialize, parts
+from .store import materialize
 
 #: Digests that a bucket of the index holds on average.
 BUCKET = 4096
@@ -190,8 +190,6 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
         old, new = materialize(digests(history, id_col, text_col), "history"), materialize(rows, "digests")
         every = old.unionByName(new)
         n = every.count()
-    spark = docs.sparkSession
-    found = exact_groups(old, new, max(1, n // BUCKET))
-    # Both sides are dealt by digest and nothing else, so a digest with a third of all rows is split as a skewed join.
-    count = parts(spark)
-    return every.hint("merge").join(found.repartition(count, "digest"), "digest").select("id", "keep", "size", "digest")
+    # Both sides of the join are written tables, so a digest with a third of all rows can be split as a skewed join.
+    found = materialize(exact_groups(old, new, max(1, n // BUCKET)), "groups")
+    return every.hint("merge").join(found, "digest").select("id", "keep", "size", "digest")

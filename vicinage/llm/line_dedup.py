@@ -45,14 +45,15 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     """
     rows = docs.select(*_row_keys(docs, id_col, text_col), F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("_site"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line")).filter(F.trim("_line") != "")
     seen = rows.select("_id", "_th", "_site", "_pos", F.xxhash64("_line").alias("_k1"), F.xxhash64("_line", F.lit(7)).alias("_k2"))
-    common = seen.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_sites).select("_k1", "_k2")
+    # Keys are written before they are joined: with plain tables on both sides, a hot line is split as a skewed join.
+    common = materialize(seen.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_sites).select("_k1", "_k2"), "common_keys")
     held = materialize(seen.hint("merge").join(common, ["_k1", "_k2"]), "common_lines")
-    sketch = held.groupBy("_k1", "_k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_spread"), F.min("_id").alias("_first"))
+    sketch = materialize(held.groupBy("_k1", "_k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_spread"), F.min("_id").alias("_first")), "sketches")
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
     sure = sketch.filter(F.col("_spread") > high).select("_k1", "_k2", "_first")
     near = sketch.filter((F.col("_spread") >= low) & (F.col("_spread") <= high))
     exact = held.hint("merge").join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count_distinct("_site").alias("_sites"), F.min("_id").alias("_first")).filter(F.col("_sites") >= min_sites)
-    return held, sure.unionByName(exact.select("_k1", "_k2", "_first"))
+    return held, materialize(sure.unionByName(exact.select("_k1", "_k2", "_first")), "boilerplate")
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:

@@ -9,6 +9,7 @@ from . import decontaminate as dc
 from . import language
 from .exact_dedup import exact_dedup
 from .line_dedup import MIN_SITES, line_dedup
+from .packing import pack
 from .sharding import assign_shards
 
 SHARDS = 8
@@ -33,6 +34,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "length", "matches")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("kept_text"))
@@ -51,6 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_jump_sharding": op6_jump_sharding,
     "op9_exact_dedup": op9_exact_dedup,
