@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import language
+from . import language, toxicity, url_rules
 from .exact_dedup import exact_dedup
 from .line_dedup import MIN_SITES, line_dedup
 from .packing import pack
@@ -24,6 +24,22 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose id stands in its url."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    poor = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_did")).agg((F.min("quality") == 0).alias("_poor"))
+    number = F.try_to_number(F.regexp_extract(url_rules.host_path(F.col("url"))[1], r"/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
+    rules, fallback = url_rules.mine(pages.withColumn("_number", number).join(poor, F.col("_number") == F.col("_did")), "url", F.col("_poor"))
+    return url_rules.judge(pages, rules, fallback).withColumnRenamed("id", "page_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(_remainder(3) != 1))
+    got = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return got.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exact_dedup(_table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("id") == F.col("keep"), F.col("keep").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -62,6 +78,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_jump_sharding": op6_jump_sharding,
+    "op7_url_rules": op7_url_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
