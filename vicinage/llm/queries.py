@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import MIN_SITES, line_dedup
 from .packing import pack
 from .sharding import assign_shards
+from .suffix_dedup import suffix_dedup
 
 SHARDS = 8
 
@@ -45,6 +46,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("id") == F.col("keep"), F.col("keep").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dc.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "length", "matches")
@@ -74,6 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
