@@ -52,7 +52,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
     sure = sketch.filter(F.col("_spread") > high).select("_k1", "_k2", "_first")
     near = sketch.filter((F.col("_spread") >= low) & (F.col("_spread") <= high))
-    exact = held.hint("merge").join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count_distinct("_site").alias("_sites"), F.min("_id").alias("_first")).filter(F.col("_sites") >= min_sites)
+    pairs = held.groupBy("_k1", "_k2", "_site").agg(F.min("_id").alias("_low"))
+    exact = pairs.join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_sites"), F.min("_low").alias("_first")).filter(F.col("_sites") >= min_sites)
     return held, materialize(sure.unionByName(exact.select("_k1", "_k2", "_first")), "boilerplate")
 
 
