@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Mixture | None, id_col: str = "doc_id", tex
     languages; ``langs`` and ``proportions`` are the whole set, largest first.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[k for k in keep if k != "text"])
     shared = spark.sparkContext.broadcast(model)
     names = ["id", *keep, "lang_pred", "score", "langs", "proportions"]
 
@@ -184,5 +184,5 @@ def identify(docs: DataFrame, model: Mixture | None, id_col: str = "doc_id", tex
             kept = [b.column(b.schema.get_field_index(k)) for k in ("id", *keep)]
             yield pa.record_batch([*kept, pa.array(pred, pa.string()), pa.array(got, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", lang_pred string, score double, langs array<string>, proportions array<double>"
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in ("id", *keep)) + ", lang_pred string, score double, langs array<string>, proportions array<double>"
     return rows.mapInArrow(score, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as dc
 from . import language, toxicity, url_rules
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .line_dedup import MIN_SITES, line_dedup
 from .packing import pack
 from .sharding import assign_shards
@@ -55,6 +56,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "length", "matches")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents")).drop("th").withColumnRenamed("id", "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_jump_sharding": op6_jump_sharding,
