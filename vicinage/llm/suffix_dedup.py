@@ -45,10 +45,10 @@ BATCH_BYTES = 32 << 20
 _LAST = (1 << 63) - 1
 _HASH = SpanHash(21)
 _PAYLOAD, _REPEAT, _OPEN = 0, 1, 2
-_ROW = "kind int, part int, id long, th long, data binary"
-_NAMES = ["kind", "part", "id", "th", "data"]
+#: A row is a task's records for one part of the buckets (``data``), or one run of windows of a document (``run``).
+_ROW = "kind int, part int, id long, th long, run long, data binary"
+_NAMES = ["kind", "part", "id", "th", "run", "data"]
 _RECORD = np.dtype([("core", "<u8"), ("all", "<u4"), ("id", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("n", "u1"), ("t", "u1"), ("many", "u1")])
-_RUN = np.dtype([("lo", "<u4"), ("n", "u1"), ("t", "u1")])
 
 
 def deeper(ids: np.ndarray, at: np.ndarray, length: int | np.ndarray, depth: int = Q) -> np.ndarray:
@@ -109,20 +109,19 @@ def settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return r, repeat, new_class, np.repeat(several, np.diff(np.append(at, len(r))))
 
 
-def _rows(kinds: list, part: list, ids: list, th: list, data: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(kinds, pa.int32()), pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(data, pa.binary())], names=_NAMES)
+def _runs(kind: int, r: np.ndarray, count: int) -> pa.RecordBatch:
+    """A row per run, dealt by document: first window, number of windows and offset to the anchor in one number."""
+    run = (r["lo"].astype(np.int64) << 16) | (r["n"].astype(np.int64) << 8) | r["t"]
+    ids, th = np.ascontiguousarray(r["id"]), r["th"].astype(np.int64)
+    part = ((ids ^ th) % count).astype(np.int32)
+    return pa.record_batch([pa.array(np.full(len(r), kind, np.int32)), pa.array(part), pa.array(ids), pa.array(th), pa.array(run), pa.nulls(len(r), pa.binary())], names=_NAMES)
 
 
-def _by_document(kind: int, r: np.ndarray, count: int) -> pa.RecordBatch:
-    """A row per document with its runs; dealt by document."""
-    r = r[np.lexsort((r["lo"], r["th"], r["id"]))]
-    at = np.flatnonzero(np.append(True, (r["id"][1:] != r["id"][:-1]) | (r["th"][1:] != r["th"][:-1]))[: len(r)])
-    runs = np.zeros(len(r), _RUN)
-    for k in _RUN.names:
-        runs[k] = r[k]
-    data = [x.tobytes() for x in np.split(runs, at[1:])] if len(r) else []
-    ids, th = r["id"][at], r["th"][at].astype(np.int64)
-    return _rows([kind] * len(at), ((ids ^ th) % count).tolist(), ids.tolist(), th.tolist(), data)
+def _read_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window, number of windows and offset to the anchor of each run of an array column (null: none)."""
+    count = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    run = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(count)), count), run >> 16, run >> 8 & 255, run & 255
 
 
 def _send(r: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
@@ -130,8 +129,8 @@ def _send(r: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
     if not len(r):
         return
     r, repeat, first, several = settle(r)
-    yield _by_document(_REPEAT, r[repeat], count)
-    yield _by_document(_OPEN, r[first & several], count)
+    yield _runs(_REPEAT, r[repeat], count)
+    yield _runs(_OPEN, r[first & several], count)
     lead = np.append(True, r["core"][1:] != r["core"][:-1])[: len(r)]
     out = r[lead]
     out["many"] = several[lead]
@@ -139,7 +138,8 @@ def _send(r: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(part, kind="stable")
     out, part = out[order], part[order]
     at, _ = groups(part)
-    yield _rows([_PAYLOAD] * len(at), part[at].tolist(), [0] * len(at), [0] * len(at), [x.tobytes() for x in np.split(out, at[1:])])
+    none = pa.array(np.zeros(len(at), np.int64))
+    yield pa.record_batch([pa.array(np.full(len(at), _PAYLOAD, np.int32)), pa.array(part[at].astype(np.int32)), none, none, none, pa.array([x.tobytes() for x in np.split(out, at[1:])], pa.binary())], names=_NAMES)
 
 
 def _meet(count: int):
@@ -150,12 +150,12 @@ def _meet(count: int):
         for b in batches:
             kind = b.column(0).to_numpy()
             for i in np.flatnonzero(kind == _PAYLOAD).tolist():
-                held.append(np.frombuffer(b.column(4)[i].as_buffer(), _RECORD))
+                held.append(np.frombuffer(b.column(5)[i].as_buffer(), _RECORD))
             yield b.filter(pa.array(kind != _PAYLOAD))
         if held:
             r, repeat, first, several = settle(np.concatenate(held))
-            yield _by_document(_REPEAT, r[repeat], count)
-            yield _by_document(_OPEN, r[first & several & (r["many"] == 0)], count)
+            yield _runs(_REPEAT, r[repeat], count)
+            yield _runs(_OPEN, r[first & several & (r["many"] == 0)], count)
 
     return run
 
@@ -188,19 +188,14 @@ def _next_level(count: int, cell: int):
         size = 0
         for b, buf, at in blocks(batches, "text"):
             ids, th = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32)
-            column = b.column(b.schema.get_field_index("runs"))
-            runs = [np.frombuffer(b"".join(x.as_py()), _RUN) for x in column]
-            doc = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
-            run_ = np.concatenate(runs) if runs else np.zeros(0, _RUN)
-            n = run_["n"].astype(np.int64)
+            doc, start, n, t = _read_runs(b.column(b.schema.get_field_index("runs")))
             # t falls as the window moves on; windows of one cell have equal t // cell.
-            each = np.repeat(np.arange(len(run_)), n)
-            off = ranges(np.zeros(len(run_), np.int64), n)
-            c = (run_["t"][each] - off) // cell
+            each = np.repeat(np.arange(len(n)), n)
+            off = ranges(np.zeros(len(n), np.int64), n)
+            c = (t[each] - off) // cell
             first, count_ = groups(each * 256 + (255 - c))
             each, off, c = each[first], off[first], c[first]
-            lo = run_["lo"][each].astype(np.int64) + off
-            t = run_["t"][each] - off
+            lo, t = start[each] + off, t[each] - off
             doc = doc[each]
             base = at[doc] + lo
             bucket = _HASH.windows(_HASH.prefix(buf), Q)
@@ -220,21 +215,20 @@ def _next_level(count: int, cell: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, buf, at in blocks(batches, "text"):
         gone, spans, kept, sha = [], [], [], []
-        runs = b.column(b.schema.get_field_index("runs"))
+        doc, lo, n, _ = _read_runs(b.column(b.schema.get_field_index("runs")))
+        edge = np.zeros(len(buf) + 1, np.int64)
+        np.add.at(edge, at[doc] + lo, 1)
+        np.add.at(edge, at[doc] + lo + n - 1 + LENGTH, -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        some = np.zeros(b.num_rows, bool)
+        some[doc] = True
         for i in range(b.num_rows):
-            own = buf[at[i] : at[i + 1]]
-            found = np.frombuffer(b"".join(runs[i].as_py()), _RUN) if runs[i].is_valid else np.zeros(0, _RUN)
-            if not len(found):
-                left, n_spans = own, 0
-            else:
-                edge = np.zeros(len(own) + 1, np.int64)
-                lo = found["lo"].astype(np.int64)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, lo + found["n"] - 1 + LENGTH, -1)
-                out = np.cumsum(edge[:-1]) > 0
+            left, n_spans = buf[at[i] : at[i + 1]], 0
+            if some[i]:
+                out = covered[at[i] : at[i + 1]]
                 n_spans = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
-                left = own[~out]
-            gone.append(len(own) - len(left)), spans.append(n_spans)
+                left = left[~out]
+            gone.append(int(at[i + 1] - at[i]) - len(left)), spans.append(n_spans)
             raw = left.tobytes()
             kept.append(raw), sha.append(hashlib.sha256(raw).hexdigest())
         yield pa.record_batch([b.column(b.schema.get_field_index("own_id")), pa.array(np.diff(at)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -255,7 +249,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return sent.repartition(count, "part").mapInArrow(_meet(count), _ROW)
 
     def runs(found: DataFrame, kind: int) -> DataFrame:
-        return found.filter(F.col("kind") == kind).groupBy("id", "th").agg(F.collect_list("data").alias("runs"))
+        return found.filter(F.col("kind") == kind).groupBy("id", "th").agg(F.collect_list("run").alias("runs"))
 
     found = meet(rows.mapInArrow(_first_level(count), _ROW))
     repeats = found
