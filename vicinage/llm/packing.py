@@ -16,6 +16,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import SpanHash, blocks, ranges, words
+from .blocks import SpanHash, blocks, fold, ranges, words
 from .store import materialize
 
 WINDOW = 2048
@@ -36,54 +37,117 @@ END_ID = 1
 TRIPLE_LENGTHS = 40
 ROUNDS = 400
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+#: Text bytes that are encoded at a time.
+TOKEN_BLOCK = 2 << 20
+
+
+#: ASCII signs at which a word may be parted from what stands before: the tokenizer never joins a letter with one of
+#: them.  Left out are the apostrophe and the signs of special tokens.
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{}~\\']] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _plain_bytes(buf: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of the Latin-1 letters of two UTF-8 bytes."""
+    out = _LETTERS[buf]
+    if len(buf) > 1:
+        two = (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        out[:-1] |= two
+        out[1:] |= two
+    return out
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that treats white space as a border: each distinct word is encoded once.
+    """Ids of whole texts from a tokenizer that treats white space as a border and ignores case: distinct words are encoded once.
 
-    Words are told apart by 64-bit identifiers within what one worker remembers.
+    Words of letters alone are encoded many at a time, joined by spaces, and told
+    apart by the ids that end a word; all others one by one.  Words are known by
+    64-bit identifiers among those that one worker remembers.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for text, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = text.endswith("</w>")
         self.hash = SpanHash(11)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16)
+
+    def _encode(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and the length of each text's."""
+        if not texts:
+            return self.ids[:0], self.length[:0]
+        if plain:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([" ".join(texts[k : k + 2000]) for k in range(0, len(texts), 2000)], add_special_tokens=False)]
+            ids = np.concatenate([np.array(x, np.uint16) for x in got])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(texts):
+                return self._encode(texts, False)
+            return ids, np.diff(np.append(-1, last)).astype(np.int32)
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.array(x, np.uint16) for x in got]), np.fromiter(map(len, got), np.int32, len(got))
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, and n+1 offsets."""
         s, e, doc = words(buf, at)
         if not len(s):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        value, first, which = np.unique(self.hash.spans(self.hash.prefix(buf), s, e), return_index=True, return_inverse=True)
+            return self.ids[:0], np.zeros(len(at), np.int64)
+        letter = _plain_bytes(buf)
+        # Part words at signs that follow a letter.
+        cut = np.flatnonzero(_SIGNS[buf[1:]] & letter[:-1]) + 1
+        first_bytes = np.zeros(len(buf), bool)
+        first_bytes[s] = True
+        cut = cut[~first_bytes[cut]]
+        first_bytes[cut] = True
+        s = np.flatnonzero(first_bytes)
+        e = np.sort(np.concatenate([e, cut]))
+        doc = np.searchsorted(at, s, "right") - 1
+        odd = np.concatenate([[0], np.cumsum(~letter)])
+        plain = odd[e] == odd[s]
+        low = fold(buf)
+        value = np.where(plain, self.hash.spans(self.hash.prefix(low), s, e), ~self.hash.spans(self.hash.prefix(buf), s, e))
+        value, first, which = np.unique(value, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()
-        known = self.known
-        place = np.fromiter((known.get(v, -1) for v in value.tolist()), np.int64, len(value))
-        new = np.flatnonzero(place < 0)
+        place = np.searchsorted(self.known, value)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != value) if len(self.known) else np.arange(len(value))
         if len(new):
-            raw = buf.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-            got = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            place[new] = len(known) + np.arange(len(new))
-            known.update(zip(value[new].tolist(), place[new].tolist(), strict=True))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
+            own = plain[first[new]]
+            new = np.concatenate([new[own], new[~own]])
+            n_plain = int(own.sum())
+            raw, raw_low = buf.tobytes(), low.tobytes()
+            spans = list(zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True))
+            got = [self._encode([raw_low[a:b].decode() for a, b in spans[:n_plain]], True), self._encode([raw[a:b].decode() for a, b in spans[n_plain:]], False)]
+            n = np.concatenate([x[1] for x in got])
+            start = len(self.ids) + np.cumsum(n) - n
+            self.ids = np.concatenate([self.ids, *[x[0] for x in got]])
+            order = np.argsort(value[new])
+            new, start, n = new[order], start[order], n[order]
+            where = place[new]
+            self.known, self.start, self.length = np.insert(self.known, where, value[new]), np.insert(self.start, where, start), np.insert(self.length, where, n)
+            place = np.searchsorted(self.known, value)
         each = place[which]
-        n = self.length[each]
+        n = self.length[each].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         return self.ids[ranges(self.start[each], n)], total[np.searchsorted(doc, np.arange(len(at)), "left")]
 
 
+@functools.cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, whatever number of tasks it runs."""
+    return WordTokenizer(path)
+
+
 def _cuts(n: int) -> list[int]:
     """The powers of two that sum to n, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -97,11 +161,11 @@ def token_table(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = WordTokenizer(tokenizer)
+        words_of = _tokenizer(tokenizer)
         part = TaskContext.get().partitionId()
         seen, whole_seen = np.zeros(window, np.int64), 0
         end = np.array([END_ID], np.uint32)
-        for b, buf, at in blocks(batches, "text"):
+        for b, buf, at in blocks(batches, "text", TOKEN_BLOCK):
             ids, first = words_of.encode(buf, at)
             out: list[tuple] = []
             for i in range(b.num_rows):
