@@ -85,12 +85,13 @@ def mine(labelled: DataFrame, url_col: str, bad: Column, min_support: float = MI
 
 def judge(pages: DataFrame, rules: DataFrame, fallback: str, id_col: str = "page_id", url_col: str = "url", fixed: tuple = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, mined) per row; ``mined`` is the antecedent of the rule that decided, else null."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
-    held = rows.select("url").distinct().select("url", tokens(F.col("url")).alias("t"))
-    near = held.select("url", "t", F.explode("t").alias("key")).join(rules, "key").filter(F.size(F.array_except("antecedent", "t")) == 0)
-    best = near.groupBy("url").agg(F.max_by(F.struct("verdict", "antecedent"), F.struct("confidence", "support", "size", "antecedent", "verdict")).alias("best"))
-    best = materialize(best.select("url", F.col("best.verdict").alias("by_method"), F.col("best.antecedent").alias("mined")), "mined_verdicts")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url")).withColumn("t", F.sort_array(tokens(F.col("url"))))
+    # Numbers are one token, so many URLs share their tokens: each set of tokens is looked up once.
+    held = rows.select("t").distinct()
+    near = held.select("t", F.explode("t").alias("key")).join(rules, "key").filter(F.size(F.array_except("antecedent", "t")) == 0)
+    best = near.groupBy("t").agg(F.max_by(F.struct("verdict", "antecedent"), F.struct("confidence", "support", "size", "antecedent", "verdict")).alias("best"))
+    best = materialize(best.select("t", F.col("best.verdict").alias("by_method"), F.col("best.antecedent").alias("mined")), "mined_verdicts")
     host, path = host_path(F.col("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), fixed)
-    out = rows.join(best, "url", "left").withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("listed", verdict)
+    out = rows.join(best, "t", "left").withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("listed", verdict)
     return out.select("id", "host", "path", "rule", F.coalesce("listed", "by_method", F.lit(fallback)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))
