@@ -33,7 +33,7 @@ SPAN = 6
 DECAY = 0.7
 LANDMARKS = 64
 #: Labelled rows of each class from which the SVM is trained, at most (chosen by hash).
-LEARN_DOCS = 3000
+LEARN_DOCS = 1500
 #: Letters of a string that are compared at a time; longer ones are cut into overlapping pieces.
 PIECE = 16
 REMEMBERED = 500_000
@@ -233,7 +233,9 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     kernel = Kernel(sym, s[at_marks], n[at_marks])
     value, vector = np.linalg.eigh(kernel(sym, s[at_marks], n[at_marks]).astype(np.float64) + 1e-3 * np.eye(len(marks)))
     root = vector / np.sqrt(np.maximum(value, 1e-3))
-    x = np.concatenate([kernel(sym, s[first[k : k + 4000]], n[first[k : k + 4000]]) for k in range(0, len(first), 4000)]) @ root
+    x = np.empty((len(first), root.shape[1]), np.float32)
+    for k in range(0, len(first), 2000):
+        x[k : k + 2000] = kernel(sym, s[first[k : k + 2000]], n[first[k : k + 2000]]) @ root
     order = np.argsort(bag, kind="stable")
     bag, word = bag[order], word[order]
     starts = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
