@@ -39,6 +39,8 @@ PIECE = 16
 REMEMBERED = 500_000
 #: Log-ratio of rates from which a string is toxic by itself; of how many of these variants are trained on, and how many each.
 PLAIN, VARIED, VARIANTS = 3.0, 300, 6
+#: Weight that a clean string within the margin gets on top in the next round.
+LOUD = 20.0
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -240,7 +242,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     bag, word = bag[order], word[order]
     starts = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
     clean_words = np.flatnonzero(in_clean > 0)
-    margin = np.where(in_toxic >= 2, rate, -9.0)
+    margin = np.where(in_toxic >= 2, rate, -9.0).astype(np.float64)
     # Strings that toxic texts alone bring up again and again are toxic wherever they stand; so are variants of
     # them with one letter more, which teach the machine to bear insertions.
     plain = np.flatnonzero((in_toxic >= 5) & (rate >= PLAIN))
@@ -255,7 +257,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
             hard = hard[:: len(hard) // 20_000 + 1]
         rows = np.concatenate([np.union1d(witness, plain), hard])
         told = np.concatenate([np.ones(len(more)), np.where(np.arange(len(rows)) < len(rows) - len(hard), 1.0, -1.0)])
-        often = np.where(told[len(more) :] > 0, in_toxic[rows], 1.0)
+        often = np.where(told[len(more) :] > 0, in_toxic[rows], 1.0 + LOUD * (margin[rows] > -1))
         w = _svm(np.concatenate([more, x[rows]]), told, np.concatenate([np.repeat(in_toxic[varied] / (2 * VARIANTS), VARIANTS), often]))
         margin = x @ w[:-1] + w[-1]
     worst = np.maximum.reduceat(margin[word], starts)
