@@ -82,9 +82,15 @@ def test_ridge_and_spectrum_against_numpy(spark):
     assert np.allclose(beta, want) and bias == pytest.approx(y.mean() - x.mean(0) @ want)
     cov = geometry.covariance(df, "x")[2]
     assert np.allclose(cov, np.cov(x.T, bias=True))
-    offset, linear = geometry.transform(df, "x", "U3")
-    white = (x - offset) @ linear
-    assert np.allclose(np.cov(white.T, bias=True), np.eye(4), atol=0.2)
+    # Shrinkage by its definition, row by row; whitening makes the shrunk covariance the identity.
+    z, n = x - x.mean(0), len(x)
+    target = np.trace(cov) / 4 * np.eye(4)
+    beta_sq = sum(((np.outer(r, r) - cov) ** 2).sum() for r in z) / n**2
+    weight = min(1.0, beta_sq / ((cov - target) ** 2).sum())
+    _, shrunk, got = geometry.shrinkage(df, "x")
+    assert got == pytest.approx(weight) and np.allclose(shrunk, (1 - weight) * cov + weight * target)
+    _, linear = geometry.transform(df, "x", "U3")
+    assert np.allclose(linear.T @ shrunk @ linear, np.eye(4))
 
 
 def test_sources(spark, tmp_path):
