@@ -93,11 +93,11 @@ def p10(s, d):
 
 
 @query("J1_verified_join", """SELECT count(*) FILTER (l AND r) AS matched, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l AND r AND a IS DISTINCT FROM b) AS differing FROM
-(SELECT o_orderkey AS k, o_custkey % 7 AS a, true AS l FROM orders WHERE o_orderkey % 5 <> 0) FULL JOIN (SELECT o_orderkey AS k, o_custkey % (CASE WHEN o_orderkey % 11 = 0 THEN 6 ELSE 7 END) AS b, true AS r FROM orders WHERE o_orderkey % 3 <> 0) USING (k)""")
+(SELECT o_orderkey AS k, o_custkey % 7 AS a, true AS l FROM orders) FULL JOIN (SELECT o_orderkey AS k, o_custkey % (CASE WHEN o_orderkey % 11 = 0 THEN 6 ELSE 7 END) AS b, true AS r FROM orders) USING (k)""")
 def j1(s, d):
     o = table(s, d, "orders")
-    left = o.filter(F.col("o_orderkey") % 5 != 0).select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 7).alias("a"))
-    right = o.filter(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % F.when(F.col("o_orderkey") % 11 == 0, 6).otherwise(7)).alias("a"))
+    left = o.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 7).alias("a"))
+    right = o.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % F.when(F.col("o_orderkey") % 11 == 0, 6).otherwise(7)).alias("a"))
     return joins.verified_join(left, right, ["k"], ["a"])[1]
 
 
@@ -129,12 +129,12 @@ def j12(s, d):
     return joins.reserve_replacement(c.filter(F.col("c_custkey") % 10 < 7), c.filter(F.col("c_custkey") % 10 >= 7), "g", "c_custkey")
 
 
-_XY = "SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE AS x, (c_custkey * 101 % 997) / 997.0::DOUBLE AS y FROM customer WHERE c_custkey <= 800"
+_XY = "SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE AS x, (c_custkey * 101 % 997) / 997.0::DOUBLE AS y FROM customer"
 _D = "sqrt(least(abs(a.x - b.x), 1 - abs(a.x - b.x)) ** 2 + least(abs(a.y - b.y), 1 - abs(a.y - b.y)) ** 2)"
 
 
 def _graph(s, d, radius: float) -> DataFrame:
-    p = table(s, d, "customer").filter("c_custkey <= 800").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37 % 1009) / F.lit(1009.0)).alias("x"), ((F.col("c_custkey") * 101 % 997) / F.lit(997.0)).alias("y"))
+    p = table(s, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37 % 1009) / F.lit(1009.0)).alias("x"), ((F.col("c_custkey") * 101 % 997) / F.lit(997.0)).alias("y"))
     return joins.radius_join(p, radius, 1.0)
 
 
