@@ -37,6 +37,8 @@ LEARN_DOCS = 1500
 #: Letters of a string that are compared at a time; longer ones are cut into overlapping pieces.
 PIECE = 16
 REMEMBERED = 500_000
+#: Log-ratio of rates from which a string can tell why a text is toxic.
+TELLING = 1.0
 #: Log-ratio of rates from which a string is toxic by itself; of how many of these variants are trained on, and how many each.
 PLAIN, VARIED, VARIANTS = 3.0, 300, 6
 #: Weight that a clean string within the margin gets on top in the next round.
@@ -215,15 +217,16 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     if not len(s):
         return None
     _, first, which = np.unique(_HASH.spans(_HASH.prefix(sym), s, s + n), return_index=True, return_inverse=True)
-    pairs = np.unique(doc.astype(np.int64) * len(first) + which)
+    pairs, at_first = np.unique(doc.astype(np.int64) * len(first) + which, return_index=True)
     bag, word = pairs // len(first), pairs % len(first)
-    # A string counts once for each string it follows: copies of one text bring up nothing new.
-    before = np.where(np.append(True, doc[1:] != doc[:-1]), 0, np.append(0, which[:-1] + 1))
+    # A string counts once a text, by the string that it first follows there, and once for each such string: neither
+    # copies of a text nor what one text repeats bring up anything new.
+    before = np.where(np.append(True, doc[1:] != doc[:-1]), 0, np.append(0, which[:-1] + 1))[at_first]
 
     def contexts(own: np.ndarray) -> np.ndarray:
-        return np.bincount(np.unique(which[own].astype(np.int64) * (len(first) + 1) + before[own]) // (len(first) + 1), minlength=len(first))
+        return np.bincount(np.unique(word[own].astype(np.int64) * (len(first) + 1) + before[own]) // (len(first) + 1), minlength=len(first))
 
-    in_toxic, in_clean = contexts(toxic[doc]), contexts(~toxic[doc])
+    in_toxic, in_clean = contexts(toxic[bag]), contexts(~toxic[bag])
     rate = np.log((in_toxic + 0.5) / (in_toxic.sum() + 1)) - np.log((in_clean + 0.5) / (in_clean.sum() + 1))
     # Landmarks: strings that tell toxic texts, and the commonest and the rarest of clean ones.
     merit = np.where(in_toxic >= 2, in_toxic * np.maximum(rate, 0), 0)
@@ -248,10 +251,16 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     plain = np.flatnonzero((in_toxic >= 5) & (rate >= PLAIN))
     varied = plain[np.argsort(-merit[plain], kind="stable")[:VARIED]]
     more = kernel(*_variants(sym, s[first[varied]], n[first[varied]])) @ root if len(varied) else x[:0]
+    told_apart = (rate >= TELLING) & (in_toxic >= 2)
+    if not told_apart.any():
+        told_apart = in_toxic > 0  # too few texts to compare rates
     w = None
     for _ in range(4):
-        # The worst string of each toxic text against all strings of clean texts, the hardest first.
-        witness = np.unique([b[np.argmax(margin[b])] for b, o in zip(np.split(word, starts[1:]), bag[starts], strict=True) if toxic[o]])
+        # The worst string of each toxic text against all strings of clean texts, the hardest first. A text none of
+        # whose strings is commoner in toxic texts bears no witness: its label says nothing about its strings.
+        telling = np.where(told_apart, margin, -np.inf)
+        worst_of = (b[np.argmax(telling[b])] for b, o in zip(np.split(word, starts[1:]), bag[starts], strict=True) if toxic[o])
+        witness = np.unique(np.array([k for k in worst_of if told_apart[k]], np.int64))
         hard = clean_words if w is None else clean_words[np.argsort(-margin[clean_words], kind="stable")[:20_000]]
         if w is None and len(hard) > 20_000:
             hard = hard[:: len(hard) // 20_000 + 1]
@@ -262,12 +271,12 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
         margin = x @ w[:-1] + w[-1]
     worst = np.maximum.reduceat(margin[word], starts)
     own = toxic[bag[starts]]
-    # The border: where clean and toxic training texts part with fewest errors of either class, weighted alike.
+    # The border: where clean and toxic training texts part with fewest errors, so that stray labels do not pull it in.
     cut = np.sort(worst)
     cut = (cut[1:] + cut[:-1]) / 2 if len(cut) > 1 else np.zeros(1)
     t, f = np.sort(worst[own]), np.sort(worst[~own])
-    loss = np.searchsorted(t, cut) / max(1, len(t)) + (len(f) - np.searchsorted(f, cut)) / max(1, len(f))
-    good = np.flatnonzero(loss <= loss.min() + 1e-12)
+    loss = np.searchsorted(t, cut) + len(f) - np.searchsorted(f, cut)
+    good = np.flatnonzero(loss == loss.min())
     border = float(cut[good].mean())
     return Model(kernel, root, w[:-1], float(w[-1]) - border)
 
