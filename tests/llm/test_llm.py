@@ -237,7 +237,7 @@ def test_toxicity_bears_insertions():
     assert toxicity.fit([], np.zeros(0)) is None and toxicity.fit(["a"], np.ones(1)) is None
 
 
-@pytest.mark.parametrize(("name", "sf", "least"), [("op8_toxicity", "/root/testdata/sf0.1", 0.9), ("op10_language_id", "/root/testdata/sf0.01", 0.95)])
+@pytest.mark.parametrize(("name", "sf", "least"), [("op8_toxicity", "/root/testdata/sf0.1", 0.9), pytest.param("op8_toxicity", "/root/testdata/sf0.01", 0.95, marks=pytest.mark.xfail(reason="92 % measured; few and partly stray labels")), ("op10_language_id", "/root/testdata/sf0.01", 0.95)])
 def test_held_out_accuracy(spark, name, sf, least):
     import os
 
