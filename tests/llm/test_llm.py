@@ -99,6 +99,28 @@ def test_jaccard_join(spark, width, percent):
     assert got == linked([(r[0], r[1]) for r in rows], width, percent)
 
 
+def test_jaccard_join_counts_every_link(spark, monkeypatch):
+    from vicinage.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)] * 2 + ["alone among all of these texts"]
+    for k in range(60):
+        own = list(base)
+        for at in rng.integers(0, 120, 1 + k % 4):
+            own[at] = f"v{k}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    different = set(map(frozenset, sets))
+    want = {i: sum(x != y and 100 * len(x & y) >= 85 * len(x | y) for y in different) for i, x in enumerate(sets)}
+    rows = [(i, t, "s", "en", 7, 7, "x") for i, t in enumerate(texts)]
+    assert want[0] > 30 and want[2] == 0
+    for block in (jj.BLOCK, 7):
+        monkeypatch.setattr(jj, "BLOCK", block)
+        got = {r["id"]: (r["n_links"], r["equal_sets"]) for r in jaccard_join(docs(spark, rows)).collect()}
+        assert got == {i: (n, 2 if i < 2 else 1) for i, n in want.items()}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 40), (40, 41), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

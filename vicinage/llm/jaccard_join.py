@@ -13,12 +13,13 @@ sets share at least ``k`` tokens of theirs, k growing with the size:
 3. Then all pairs of different components in a band are bounded by their hashed
    bitmaps: every bit that one has and the other lacks is an element outside the
    intersection.  Components that any pair's bound connects form a cluster.
-4. Each cluster's sets are sent once to where all its pairs of different
-   components are bounded again by larger bitmaps and then intersected exactly on
-   their sorted hashes.  A large cluster is cut into blocks, and each two of them
-   are one such place.
+4. Each cluster's sets are sent once to where all its pairs, those inside a
+   component too, are bounded again by larger bitmaps and then intersected exactly.
+   A large cluster is cut into blocks, and each two of them, and each one with
+   itself, are one such place, which hands on each set's count of links.
 
-No pair is lost: links within a component need no test, all others get one.
+No pair is lost: a component of several sets is a cluster or a part of one, and
+each pair of a cluster that fits in size is tested in one place.
 
 Nulls and texts without words: an empty set, linked with nothing.  A null id
 comes after all others.  Rows that repeat an id are told apart by their text.
@@ -362,73 +363,86 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, width: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _counted(held: list[tuple], own: bool, percent: int) -> list[tuple[int, int, int]]:
+    """(key, joined key, links) of the sets that link in one place, from (key, comp, block, values).
+
+    Every pair is tested, those inside a component too: with ``own`` the pairs of
+    one block, else those of two blocks, so that each pair is counted in one place.
+    """
+    held.sort(key=lambda x: (len(x[3]), x[0]))
+    key = np.array([x[0] for x in held])
+    block = np.array([x[2] for x in held])
+    n = np.array([len(x[3]) for x in held])
+    maps = np.stack([bitmap(x[3], CLUSTER_BITS) for x in held])
+    # Elements as small numbers, without those that a single set has.
+    _, element, sets = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+    shared = sets[element] > 1
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(shared)])[np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])]
+    element = element[shared]
+    marked = np.zeros(len(sets), np.int32)
+    _, label = np.unique(np.array([x[1] for x in held]), return_inverse=True)
+    links = np.zeros(len(held), np.int64)
+    reach = np.searchsorted(n, 100 * n // percent, "right")
+    for i in range(len(held)):
+        mine = element[at[i] : at[i + 1]]
+        marked[mine] = 1
+        for lo in range(i + 1, int(reach[i]), TILE):
+            j = np.arange(lo, min(int(reach[i]), lo + TILE))
+            j = j[(block[j] == block[i]) == own]
+            if not len(j):
+                continue
+            a, b = maps[i], maps[j]
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            most = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[j] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+            j = j[most >= need]
+            size = at[j + 1] - at[j]
+            j, size = j[size > 0], size[size > 0]
+            if not len(j):
+                continue
+            both = np.add.reduceat(marked[element[ranges(at[j], size)]], np.cumsum(size) - size)
+            j = j[100 * both >= percent * (n[i] + n[j] - both)]
+            links[i] += len(j)
+            links[j] += 1
+            for other in np.setdiff1d(label[j], label[i]).tolist():
+                label[label == other] = label[i]
+        marked[mine] = 0
+    least = np.full(int(label.max()) + 1, _LAST)
+    np.minimum.at(least, label, key)
+    has = links > 0
+    return list(zip(key[has].tolist(), least[label[has]].tolist(), links[has].tolist(), strict=True))
+
+
 def _cluster_links(sets: DataFrame, percent: int, width: int, count: int) -> DataFrame:
-    """Links (a, b) that join the components of each cluster, from (key, comp, cluster, text) rows."""
-    sizes = sets.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
+    """(a, b, n): links of the set a found in one place and a set b that they join it to, from (key, comp, cluster, text) rows."""
+    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("cut"))
     sized = sets.join(materialize(sizes, "cluster_sizes"), "cluster").withColumn("block", F.pmod(F.xxhash64("key"), "cut").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    placed = sized.select("cluster", "key", "comp", "text", F.explode(pairs).alias("place")).select("cluster", "place.i", "place.j", "key", "comp", "text")
+    placed = sized.select("cluster", "key", "comp", "text", "block", F.explode(pairs).alias("place")).select("cluster", "place.i", "place.j", "key", "comp", "block", "text")
     dealt = placed.repartition(count, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
-    def link(held: list[tuple]) -> list[tuple[int, int]]:
-        held.sort(key=lambda x: (len(x[2]), x[0]))
-        n = np.array([len(x[2]) for x in held])
-        maps = np.stack([bitmap(x[2], CLUSTER_BITS) for x in held])
-        root = list(range(len(held)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        seen: dict[int, int] = {}
-        for i, x in enumerate(held):
-            root[i] = seen.setdefault(x[1], i)
-        out = []
-        reach = np.searchsorted(n, 100 * n // percent, "right")
-        label = np.array([find(i) for i in range(len(held))])
-        for i in range(len(held)):
-            for lo in range(i + 1, int(reach[i]), TILE):
-                j = np.arange(lo, min(int(reach[i]), lo + TILE))
-                j = j[label[j] != label[i]]
-                if not len(j):
-                    continue
-                a, b = maps[i], maps[j]
-                most = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[j] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-                for k in j[most >= -(-percent * (n[i] + n[j]) // (100 + percent))].tolist():
-                    if label[k] == label[i]:
-                        continue  # a link was found meanwhile
-                    x, y = held[i][2], held[k][2]
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        out.append((held[i][0], held[k][0]))
-                        label[label == label[k]] = label[i]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
         for b, buf, at in blocks(batches, "text"):
             value, first = shingles(buf, at, width)
-            place = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
-            for k, (cluster, i, j, key, comp) in enumerate(place):
+            place = list(zip(*(b.column(k).to_pylist() for k in range(6)), strict=True))
+            for k, (cluster, i, j, key, comp, block) in enumerate(place):
                 if (cluster, i, j) != now:
-                    found += link(held) if held else []
+                    found += _counted(held, now[1] == now[2], percent) if held else []
                     held, now = [], (cluster, i, j)
-                held.append((key, comp, value[first[k] : first[k + 1]].copy()))
-        found += link(held) if held else []
-        yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                held.append((key, comp, block, value[first[k] : first[k + 1]].copy()))
+        found += _counted(held, now[1] == now[2], percent) if held else []
+        yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links, equal_sets) per row.
 
-    ``equal_sets`` counts the rows with the same set; ``n_links`` the verified
-    links to different sets that built the components.
+    ``equal_sets`` counts the rows with the same set; ``n_links`` all different
+    sets that link to the row's, each verified exactly.
     """
     spark = docs.sparkSession
     count = parts(spark)
@@ -451,10 +465,11 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
         links = links.unionByName(materialize(_verify(materialize(pairs, "pairs"), left, percent, width), "verified"))
         labels = components(links)
     clusters = components(materialize(_tiles(labelled(), percent, width, count, False), "bounded"))
-    clustered = labelled().join(clusters.select(F.col("node").alias("comp"), F.col("label").alias("cluster")), "comp")
-    links = links.unionByName(materialize(_cluster_links(clustered, percent, width, count), "cluster_links"))
-    labels = components(links)
-    degree = links.select(F.col("a").alias("dkey")).unionByName(links.select(F.col("b").alias("dkey"))).groupBy("dkey").agg(F.count(F.lit(1)).alias("n_links"))
+    # A component that no bound connects to another is a cluster, too: the links inside it are to be counted.
+    clustered = labelled().join(clusters.select(F.col("node").alias("comp"), "label"), "comp", "left").select("key", "comp", F.coalesce("label", "comp").alias("cluster"), "text")
+    counted = materialize(_cluster_links(clustered, percent, width, count), "cluster_links")
+    labels = components(links.unionByName(counted.select("a", "b")))
+    degree = counted.groupBy(F.col("a").alias("dkey")).agg(F.sum("n").alias("n_links"))
     least = classes.join(labels, F.col("k1") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "k1"))
     roots = least.groupBy("comp").agg(F.min("rep.id").alias("root"))
     known = least.join(roots, "comp").join(degree, F.col("k1") == F.col("dkey"), "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "root", "equal_sets", "n_links")
