@@ -273,6 +273,19 @@ def test_held_out_accuracy(spark, name, sf, least):
     assert x.agg(F.avg("ok")).first()[0] > least
 
 
+def test_language_sets_are_whole(spark):
+    rng = np.random.default_rng(7)
+    own = {"a": "abcdef", "b": "ghijkl", "c": "mnopqr", "d": "stuvwx"}
+    text = lambda lang, n: " ".join("".join(rng.choice(list(own[lang]), 5)) for _ in range(n))
+    labelled = [(k, text(lang, 400), "s", lang, 7, 7, "x") for k, lang in enumerate(own)]
+    model = language.learn(docs(spark, labelled))
+    mixed = [(1, f"{text('a', 20_000)} {text('b', 300)}"), (2, " ".join(text(x, 100) for x in "abcd")), (3, text("c", 500))]
+    got = {r["id"]: r for r in language.identify(docs(spark, [(*r, "s", None, 7, 7, "x") for r in mixed]), model).collect()}
+    assert got[1]["langs"] == ["a", "b"] and abs(got[1]["proportions"][1] - 300 / 20_300) < 0.002
+    assert set(got[2]["langs"]) == set(own) and np.allclose(got[2]["proportions"], 0.25, atol=0.02)
+    assert got[3]["langs"] == ["c"]
+
+
 def test_odd_texts_are_scored(spark):
     none = language.identify(docs(spark), None)
     assert {r["lang_pred"] for r in none.collect()} == {language.UNKNOWN} and language.learn(docs(spark, [])) is None

@@ -3,8 +3,9 @@
 Byte trigram models are learned for every language of labelled documents.  A
 document is a mixture: each word is drawn from one of the languages in unknown
 proportions.  Expectation-maximisation estimates the proportions from the words'
-likelihoods; sets of the leading languages are then compared by the likelihood
-less a penalty for each language (BIC), which selects the document's set.
+likelihoods; sets of the leading languages, up to all of them, are then compared
+by the likelihood less a penalty for each language (BIC), which selects the
+document's set.
 
 Nulls and empty texts: language ``und``, score 0, as for any text without a
 letter; so does every text if nothing is labelled.  Repeated rows are scored
@@ -29,8 +30,6 @@ BITS = 15
 #: Labelled documents of each language from which its model is learned, at most (chosen by hash).
 LEARN_DOCS = 4000
 ROUNDS = 8
-#: Languages in a document's set, at most, before the penalty decides.
-MOST = 3
 
 
 def trigrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +79,9 @@ class Mixture:
         lead = alone.argmax(0)
         best[np.arange(len(present)), lead] = 1
         fit = 2 * alone.max(0)
-        # More than one language is worth a look where the mixture is not close to pure.
-        mixed = np.flatnonzero(pi.max(1) < 0.98)
-        for m in range(2, min(MOST, k) + 1):
+        for m in range(2, k + 1):
+            # No mixture is likelier than each word in its best language (0), so the rest cannot gain by m or more.
+            mixed = np.flatnonzero(fit < -(m - 1) * np.log(np.maximum(size, 2)) * 2)
             if not len(mixed):
                 break
             at2, rows = _part(at, size, mixed)
