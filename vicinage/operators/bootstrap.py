@@ -27,6 +27,53 @@ def draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
     return slots.withColumn("place", at).drop("m").join(placed.drop("m"), ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", "lineage")
 
 
+def _hit(domain: str, names: tuple[str, ...], m: str):
+    text = F.concat_ws("|", F.lit(domain), *[F.col(c).cast("string") for c in names])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") % F.col(m)
+
+
+def case_draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
+    """(replicate, fold, family, occurrence, lineage, slot, case_id): lineages, then as many cases inside each drawn one as it has.
+
+    Candidates are drawn until so many differ; one that repeats an earlier
+    candidate is left out, and the rest are numbered from 0 in their order.
+    """
+    key = ["fold", "family", "lineage"]
+    w = Window.partitionBy(*key)
+    placed = cases.select(*key, "case_id").withColumn("slot", (F.row_number().over(w.orderBy("case_id")) - 1).cast("long")).withColumn("cases", F.count(F.lit(1)).over(w))
+    total, before = replicates, 0
+    while True:
+        slots = draws(cases, total, domain).join(placed.select(*key, "slot", "cases"), key)
+        hit = slots.withColumn("hit", _hit(domain, ("replicate", "fold", "family", "occurrence", "slot"), "cases")).drop("cases")
+        drawn = hit.join(placed.select(*key, F.col("slot").alias("hit"), "case_id"), [*key, "hit"]).drop("hit")
+        place = ("fold", "family", "occurrence", "slot", "lineage", "case_id")
+        marks = [F.bit_xor(F.xxhash64(F.lit(k), *place)).alias(f"mark{k}") for k in (0, 1)]
+        firsts = drawn.groupBy("replicate").agg(*marks).groupBy("mark0", "mark1").agg(F.min("replicate").alias("replicate"))
+        kept = sorted(r[0] for r in firsts.select("replicate").collect())
+        if len(kept) >= replicates or not kept:
+            break
+        if len(kept) == before:
+            raise ValueError(f"only {before} different replicates among {total} candidates")
+        total, before = 2 * total, len(kept)
+    number = cases.sparkSession.createDataFrame([(c, i) for i, c in enumerate(kept[:replicates])], "candidate long, number long")
+    named = drawn.join(F.broadcast(number), F.col("replicate") == F.col("candidate"))
+    return named.select(F.col("number").alias("replicate"), "fold", "family", "occurrence", "lineage", "slot", "case_id")
+
+
+def case_occurrence_weighted(cases: DataFrame, drawn: DataFrame, *values: str) -> DataFrame:
+    """(replicate, values): mean of the cases drawn in each occurrence, mean in the stratum, mean of strata."""
+    out = drawn.join(cases.select("fold", "family", "lineage", "case_id", *values), ["fold", "family", "lineage", "case_id"])
+    for keys in (("replicate", "fold", "family", "occurrence"), ("replicate", "fold", "family"), ("replicate",)):
+        out = out.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+    return out
+
+
+def case_count_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
+    """(replicate, stat): every case weighs as often as it was itself drawn; mean of the strata's weighted means."""
+    cell = drawn.join(cases.select("fold", "family", "lineage", "case_id", value), ["fold", "family", "lineage", "case_id"])
+    return cell.groupBy("replicate", "fold", "family").agg(F.avg(value).alias("v")).groupBy("replicate").agg(F.avg("v").alias("stat"))
+
+
 def occurrence_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
     """(replicate, stat): case mean in each drawn lineage, mean in the stratum, mean of strata."""
     lineage = cases.groupBy("fold", "family", "lineage").agg(F.avg(value).alias("v"))

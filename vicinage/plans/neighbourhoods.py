@@ -224,6 +224,38 @@ def b7(s, d):
     return a.withColumn("status", F.when(bad, "NOT_EVALUABLE").otherwise("EVALUABLE"))
 
 
+#: The whole operator: cases inside lineages, repeated replicates rejected, the reference's number. Too slow for SQL.
+WHOLE = 10_000
+
+
+@query("B1_B2_case_draws")
+def b1_cases(s, d):
+    drawn = bootstrap.case_draws(_cases(s, d), WHOLE, SEED)
+    return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("drawn_cases"), F.count_distinct("lineage").alias("lineages"), F.count_distinct("case_id").alias("cases"))
+
+
+@query("B4_case_occurrence_weighted")
+def b4_cases(s, d):
+    c = _cases(s, d)
+    return bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").select("replicate", _r("y").alias("stat"))
+
+
+@query("B5_case_count_weighted")
+def b5_cases(s, d):
+    c = _cases(s, d)
+    return bootstrap.case_count_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").withColumn("stat", _r("stat"))
+
+
+@query("B6_case_max_t_bound")
+def b6_cases(s, d):
+    c = _cases(s, d)
+    stats_ = bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), *"nby")
+    long = lambda t, at, v: t.select(*at, F.inline(F.array(*[F.struct(F.lit(x).alias("component"), F.col(x).alias(v)) for x in "nby"])))
+    fams = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[F.avg(v).alias(v) for v in "nby"])
+    out = bootstrap.max_t(long(fams, (), "theta"), long(stats_, ("replicate",), "stat"), WHOLE)
+    return out.select("component", _r("theta").alias("theta"), _r("se").alias("se"), F.round("critical", 5).alias("critical"), _r("bound").alias("bound"))
+
+
 # Models and geometry -------------------------------------------------------------------------------------------
 
 
