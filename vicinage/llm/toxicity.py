@@ -2,10 +2,15 @@
 
 Strings are the letters of white-space tokens (digits and signs that stand for
 letters are read as such, runs of single letters are one string), so insults
-with inserted signs, letters or spaces stay near to the plain ones.  The kernel
+with inserted signs, letters or spaces between single letters stay near to the
+plain ones.  No string spans two ordinary words or parts of two or more letters
+("mor on").  The kernel
 counts common subsequences of three letters within ``SPAN`` letters, each
 weighted by ``DECAY`` to the power of its span; it is normalised and squared.
 
+The dealt method works on labelled sentences; here the labels are those of whole
+texts ("sentence" below is a text) and the unit is a single token.
+
 Landmarks are the strings that tell toxic from clean sentences best and common
 clean ones.  Strings are mapped to the landmarks' Nystrom space, and a linear
 SVM is trained on labelled sentences: a sentence is as toxic as its worst
