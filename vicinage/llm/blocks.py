@@ -1,4 +1,4 @@
-"""Whole-text blocks: numpy views of Arrow text columns, span hashes and words.
+"""Whole-text blocks: numpy views of Arrow text columns, hashes of spans, and words.
 
 Every operator of this subpackage that leaves the JVM works on blocks: a bounded
 run of whole documents laid out as one byte buffer.  Nothing here looks across a
@@ -19,6 +19,8 @@ BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,11 +36,43 @@ def _table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit identifiers of byte spans of any length; equal bytes have equal identifiers wherever they stand.
+
+    Eight bytes at a time are read as a number and mixed; the values of longer
+    spans are combined in pairs, level by level, each level with its own mixing
+    step.  No step is linear in the bytes, so no family of texts collides for
+    every seed, as repetitive ones do under a polynomial modulo 2^64.
+    """
+    n = end - start
+    count = np.maximum(-(-n // 8), 1)
+    at = np.repeat(start, count) + 8 * ranges(np.zeros(len(n), np.int64), count)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    wide = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(buf) + 1,), (1,))
+    live = np.clip(np.repeat(end, count) - at, 0, 8)
+    value = mix((wide[at] & _LOW_BYTES[live]) + np.uint64((seed * 0x9E3779B97F4A7C15) & _MASK))
+    out = np.zeros(len(n), np.uint64)
+    who = np.arange(len(n))
+    while len(who):
+        first = np.cumsum(count) - count
+        done = count == 1
+        out[who[done]] = value[first[done]]
+        who, first, count = who[~done], first[~done], count[~done]
+        half = (count + 1) // 2
+        left = np.repeat(first, half) + 2 * ranges(np.zeros(len(half), np.int64), half)
+        alone = left + 1 >= np.repeat(first + count, half)
+        right = value[np.minimum(left + 1, len(value) - 1)]
+        right[alone] = _BASE
+        value, count = mix(mix(value[left] + _BASE) ^ (right * np.uint64(0xD1B54A32D192ED03))), half
+    return mix(out ^ (n.astype(np.uint64) * _BASE))
+
+
 class SpanHash:
-    """64-bit identifiers of arbitrary byte spans of a buffer, from prefix sums.
+    """64-bit identifiers of all windows of one small width, from prefix sums of a polynomial over random byte codes.
 
-    A span's value is a polynomial over random byte codes, so equal bytes have
-    equal identifiers wherever they stand; two seeds give 128 bits.
+    For widths of a few dozen bytes only: modulo 2^64 a polynomial tells long
+    repetitive spans apart badly, which ``span_hash`` does not.
     """
 
     _pow: np.ndarray = np.ones(1, np.uint64)
@@ -56,16 +90,12 @@ class SpanHash:
             cls._inv = np.concatenate([np.ones(1, np.uint64), np.full(m - 1, inverse, np.uint64)]).cumprod()
 
     def prefix(self, buf: np.ndarray) -> np.ndarray:
-        """Prefix sums, to be given to ``spans``."""
+        """Prefix sums, to be given to ``windows``."""
         self._grow(len(buf) + 1)
         out = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.codes[buf] * self._pow[: len(buf)], out=out[1:])
         return out
 
-    def spans(self, prefix: np.ndarray, start, end) -> np.ndarray:
-        """Identifiers of ``[start, end)``; arrays or slices of positions."""
-        return mix((prefix[end] - prefix[start]) * self._inv[start])
-
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
         """Identifiers of every window of ``width`` bytes."""
         n = len(prefix) - width

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_WORD, SpanHash, as_bytes, blocks, fold, mix, ranges, words
+from .blocks import NOT_WORD, as_bytes, blocks, fold, mix, ranges, span_hash, words
 
 WINDOW = 13
 SIMILARITY = 0.8
@@ -34,14 +34,14 @@ MASKS = {True: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)), False: ((0, 1, 2), (0, 1, 3))
 #: Benchmark bytes that are joined at a time; a larger benchmark is taken in blocks of this size.
 BENCHMARK_BYTES = 8 << 20
 
-_HASH = SpanHash(3)
+_SEED = 3
 
 
 def _word_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the first word of each document (n+1)."""
     low = fold(buf)
     s, e, doc = words(low, at, NOT_WORD)
-    return _HASH.spans(_HASH.prefix(low), s, e), np.searchsorted(doc, np.arange(len(at)), "left")
+    return span_hash(low, s, e, _SEED), np.searchsorted(doc, np.arange(len(at)), "left")
 
 
 def _seeds(word: np.ndarray, mask: tuple[int, ...], tag: int) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, SpanHash, blocks, groups, mix, ranges, words
+from .blocks import LOWER, blocks, groups, mix, ranges, span_hash, words
 from .graph import components
 from .store import materialize, parts
 
@@ -55,7 +55,7 @@ SEND_BYTES, TILE_BYTES = 8 << 20, 2 << 20
 #: Members of a tile that are compared at a time.
 TILE = 1024
 _LAST = (1 << 63) - 1
-_HASH = SpanHash(31)
+_SEED = 31
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ def shingles(buf: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> tuple[np.
     low = LOWER[buf]
     s, e, doc = words(low, at)
     n = len(at) - 1
-    word = _HASH.spans(_HASH.prefix(low), s, e)
+    word = span_hash(low, s, e, _SEED)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
     take = np.where(count >= width, count - width + 1, 0)

@@ -44,7 +44,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     above, so sketches are made for lines with at least ``min_sites`` occurrences only.
     """
     rows = docs.select(*_row_keys(docs, id_col, text_col), F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("_site"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line")).filter(F.trim("_line") != "")
-    seen = rows.select("_id", "_th", "_site", "_pos", F.xxhash64("_line").alias("_k1"), F.xxhash64("_line", F.lit(7)).alias("_k2"))
+    seen = rows.select("_id", "_th", "_site", "_pos", F.xxhash64("_line").alias("_k1"), F.xxhash64(F.lit(7), "_line").alias("_k2"))
     # Keys are written before they are joined: with plain tables on both sides, a hot line is split as a skewed join.
     common = materialize(seen.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_sites).select("_k1", "_k2"), "common_keys")
     held = materialize(seen.hint("merge").join(common, ["_k1", "_k2"]), "common_lines")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import SpanHash, blocks, fold, ranges, words
+from .blocks import blocks, fold, ranges, span_hash, words
 from .store import materialize
 
 WINDOW = 2048
@@ -76,7 +76,6 @@ class WordTokenizer:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for text, i in self.tokenizer.get_vocab().items():
             self.ends[i] = text.endswith("</w>")
-        self.hash = SpanHash(11)
         self._forget()
 
     def _forget(self) -> None:
@@ -115,7 +114,7 @@ class WordTokenizer:
         odd = np.concatenate([[0], np.cumsum(~letter)])
         plain = odd[e] == odd[s]
         low = fold(buf)
-        value = np.where(plain, self.hash.spans(self.hash.prefix(low), s, e), ~self.hash.spans(self.hash.prefix(buf), s, e))
+        value = np.where(plain, span_hash(low, s, e, 11), ~span_hash(buf, s, e, 12))
         value, first, which = np.unique(value, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self._forget()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SpanHash, as_bytes, blocks, fold, ranges, words
+from .blocks import as_bytes, blocks, fold, ranges, span_hash, words
 
 SPAN = 6
 DECAY = 0.7
@@ -64,7 +64,7 @@ def _letters() -> np.ndarray:
 
 
 _SYMBOL = _letters()
-_HASH = SpanHash(5)
+_SEED = 5
 
 
 def strings(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ class Model:
         """Of every string; each distinct one is computed once."""
         if not len(s):
             return np.zeros(0, np.float32)
-        value, first, which = np.unique(_HASH.spans(_HASH.prefix(sym), s, s + n), return_index=True, return_inverse=True)
+        value, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         got = np.fromiter((self.known.get(v, np.nan) for v in value.tolist()), np.float32, len(value))
@@ -221,7 +221,7 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     s, n, doc = s[some], n[some], doc[some]
     if not len(s):
         return None
-    _, first, which = np.unique(_HASH.spans(_HASH.prefix(sym), s, s + n), return_index=True, return_inverse=True)
+    _, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
     pairs, at_first = np.unique(doc.astype(np.int64) * len(first) + which, return_index=True)
     bag, word = pairs // len(first), pairs % len(first)
     # A string counts once a text, by the string that it first follows there, and once for each such string: neither
