@@ -1,22 +1,25 @@
-"""Repeated substrings by bucket-pointer refinement over sampled suffixes.
-
-Suffixes are put into buckets by their first ``Q`` bytes, and a bucket is refined
-by sorting on the bucket identifiers that stand at later offsets; identifiers of
-twice the depth are made from two of the depth before, again and again, until
-strings of ``LENGTH`` bytes are told apart.  Two changes make this distributed:
-
-* A bucket's identifier is a 64-bit value of its bytes, not a rank, so all tasks
-  agree on it without a global table.
-* Windows of ``LENGTH`` bytes are held in runs.  Each window names the smallest
-  identifier among its ``Q``-grams, its anchor; neighbours with the same anchor
-  form one record.  Equal windows have equal anchors at equal offsets, so records
-  meet in the anchor's bucket, and only few suffixes need to be sorted.
-
-A bucket whose records all agree beyond every window is settled: the first stays,
-the others repeat it.  Records that differ are refined: first cells of ``CELL``
-windows, bucketed by the 93 bytes that they share, then single windows.  Tasks
-settle what they hold before anything is shuffled and send on one record per
-bucket, so a passage in a third of all documents fills no bucket.
+"""Repeated substrings by bucket-pointer refinement.
+
+Suffixes are put into buckets by their first ``Q`` bytes, and each holds a pointer
+to its bucket.  A bucket is refined by sorting its members on the pointers that
+stand at a later offset; the refined pointers are what the next round sorts on,
+so every round doubles the depth, until strings of ``LENGTH`` bytes are told
+apart (``refine``).  Buckets are made of bytes and pointers, not of hashes, so
+what is in one bucket at the end is equal byte by byte.
+
+The suffix array is cut into parts that can be refined apart from each other:
+
+* Each window of ``LENGTH`` bytes names the smallest identifier among its
+  ``GRAM``-byte grams, its anchor.  Neighbours with the same anchor form a run.
+  Equal windows have equal anchors, so an anchor that only one run names
+  repeats nothing; all others are open.
+* Bytes of open runs are refined in the task that reads them, and only the first
+  of each bucket is sent on, to the part that its anchor falls in.  There the
+  buckets of all tasks are refined together; the first stays, the others repeat
+  it.  A passage in a third of all documents is one segment of each task.
+* An anchor that very many runs name (a frequent phrase in ever different
+  surroundings) is dealt by more bytes than its own: by cells of ``CELL`` windows
+  and the bytes that all windows of a cell share.
 
 Nulls: a null text is empty; a null id comes after all others.  Rows that repeat
 an id are told apart by their text; rows alike in both are one document.  Empty
@@ -33,45 +36,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SpanHash, as_bytes, blocks, groups, mix, ranges
-from .store import parts
+from .blocks import SpanHash, blocks, groups, mix, ranges
+from .store import materialize, parts
 
 LENGTH = 100
-Q = 20
-#: Windows of a cell in the second refinement.
-CELL = 8
-#: Text bytes whose records a task settles before it sends them on.
-BATCH_BYTES = 32 << 20
+#: Bytes of the first buckets, and of the grams that anchors are chosen from.
+Q, GRAM = 8, 20
+#: Windows of a cell of a hot anchor.  An anchor is hot from HOT runs on, and at most HOT_KEYS anchors are.
+CELL, HOT, HOT_KEYS = 8, 256, 2_000_000
+#: Text bytes that are refined at a time, and whose anchors a task sends at a time.
+REFINE_BYTES, SEND_BYTES = 3 << 20, 16 << 20
 _LAST = (1 << 63) - 1
 _HASH = SpanHash(21)
-_PAYLOAD, _REPEAT, _OPEN = 0, 1, 2
-#: A row is a task's records for one part of the buckets (``data``), or one run of windows of a document (``run``).
-_ROW = "kind int, part int, id long, th long, run long, data binary"
-_NAMES = ["kind", "part", "id", "th", "run", "data"]
-_RECORD = np.dtype([("core", "<u8"), ("all", "<u4"), ("id", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("n", "u1"), ("t", "u1"), ("many", "u1")])
-
-
-def deeper(ids: np.ndarray, at: np.ndarray, length: int | np.ndarray, depth: int = Q) -> np.ndarray:
-    """Identifiers of ``length`` bytes at ``at``, from those of ``Q`` bytes: two of half the depth, at offset 0 and at the end."""
-    length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
-    if not len(at) or (length <= depth).all():
-        return ids[at]
-    half = depth
-    while 2 * half < int(length.max()):
-        half *= 2
-    left = deeper(ids, at, np.minimum(half, length), depth)
-    right = deeper(ids, at + np.maximum(length - half, 0), np.minimum(half, length), depth)
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right + length.astype(np.uint64))
-
-
-def anchors(ids: np.ndarray, at: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_PAYLOAD, _OPEN, _REPEAT, _HOT, _TOTAL = 0, 1, 2, 3, 4
+#: A row is a parcel for one part (``data``), runs of one document (``data``), or a number ``n`` of an anchor (``id``).
+_ROW = "kind int, part int, id long, th long, n long, data binary"
+_NAMES = ["kind", "part", "id", "th", "n", "data"]
+_RUN = np.dtype([("core", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<u4"), ("members", "<u4"), ("n", "u1")])
+_SEGMENT = np.dtype([("key", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<u4"), ("n", "<u4")])
+
+
+def grams(buf: np.ndarray, q: int = Q) -> np.ndarray:
+    """The first ``q`` (at most 8) bytes of every suffix as a number; past the end stand zeros."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    wide = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(buf),), (1,))
+    return wide.astype(np.uint64) >> np.uint64(8 * (8 - q))
+
+
+def refine_round(pointer: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
+    """One round: sort the suffixes ``at`` within their buckets on the pointers ``offset`` further, and point at the new buckets.
+
+    A pointer is the place of its bucket's first member in the order of suffixes,
+    so members that stay first keep theirs.  Returns the members of buckets that
+    still hold more than one; all others are told apart from every other suffix.
+    """
+    here = pointer[at].astype(np.uint64)
+    key = (here << np.uint64(32)) | pointer[at + offset]
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    start, size = groups(key)
+    old, _ = groups(key >> np.uint64(32))
+    bucket = old[np.searchsorted(old, start, "right") - 1]
+    pointer[at] = np.repeat((key[start] >> np.uint64(32)) + (start - bucket).astype(np.uint64), size).astype(np.uint32)
+    return at[np.repeat(size > 1, size)]
+
+
+def refine(buf: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bucket pointers of the suffixes ``at``, equal for two of them if and only if their first ``length`` bytes are.
+
+    Every suffix in ``at`` has ``length`` bytes at least.
+    """
+    depth = min(Q, length)
+    offsets = []
+    while depth < length:
+        offsets.append(min(depth, length - depth))
+        depth += offsets[-1]
+    # Suffixes whose pointers each round needs, from the last round to the first.
+    need = np.zeros(len(buf) + 1, bool)
+    need[at] = True
+    wanted = [need]
+    for off in reversed(offsets):
+        more = wanted[-1].copy()
+        more[off:] |= wanted[-1][:-off]
+        wanted.append(more)
+    wanted.reverse()
+    live = np.flatnonzero(wanted[0])
+    first = grams(buf, min(Q, length))[live]
+    order = np.argsort(first, kind="stable")
+    start, size = groups(first[order])
+    pointer = np.zeros(len(buf) + 1, np.uint32)
+    pointer[live[order]] = np.repeat(start, size)
+    live = live[order][np.repeat(size > 1, size)]
+    for off, here in zip(offsets, wanted[1:], strict=True):
+        live = refine_round(pointer, live[here[live]], off)
+    return pointer[at]
+
+
+def anchors(ids: np.ndarray, at: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of each run of windows of ``length`` bytes that share an anchor."""
     width = length - q + 1
     none = np.zeros(0, np.int64)
     if len(ids) < width:
         return none, none, none
-    bits = np.uint64(max(20, int(len(ids)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << 32) - 1)
     m = (ids & ~low) | np.arange(len(ids), dtype=np.uint64)
     k = 1
     while 2 * k <= width:
@@ -89,125 +137,222 @@ def anchors(ids: np.ndarray, at: np.ndarray, length: int = LENGTH, q: int = Q) -
     return anchor[first], window[first], window[first + count - 1]
 
 
-def _records(core: np.ndarray, whole: np.ndarray, doc: np.ndarray, ids: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(core), _RECORD)
-    out["core"], out["id"], out["th"], out["lo"], out["n"], out["t"] = core, ids[doc], th[doc], lo, n, t
-    out["all"] = (mix(whole ^ (n.astype(np.uint64) << np.uint64(8)) ^ t.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    return out
+def _parcels(kind: int, part: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    zero = pa.array(np.zeros(len(data), np.int64))
+    return pa.record_batch([pa.array(np.full(len(data), kind, np.int32)), pa.array(part.astype(np.int32)), zero, zero, zero, pa.array(data, pa.binary())], names=_NAMES)
 
 
-def settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(records sorted, which repeat an earlier one, which are first of their class, which stand in a bucket of several classes)."""
-    r = r[np.lexsort((r["lo"], r["th"], r["id"], r["all"], r["core"]))]
-    new_bucket = np.append(True, r["core"][1:] != r["core"][:-1])[: len(r)]
-    new_class = new_bucket | np.append(True, r["all"][1:] != r["all"][:-1])[: len(r)]
-    lead = np.flatnonzero(new_class)[np.cumsum(new_class) - 1] if len(r) else np.zeros(0, np.int64)
-    f = r[lead]
-    repeat = ~new_class & ~((f["id"] == r["id"]) & (f["th"] == r["th"]) & (f["lo"] == r["lo"]))
-    at = np.flatnonzero(new_bucket)
-    several = (np.add.reduceat(new_class.astype(np.int64), at) > 1) | (np.maximum.reduceat(r["many"], at) > 0) if len(at) else np.zeros(0, bool)
-    return r, repeat, new_class, np.repeat(several, np.diff(np.append(at, len(r))))
-
-
-def _runs(kind: int, r: np.ndarray, count: int) -> pa.RecordBatch:
-    """A row per run, dealt by document: first window, number of windows and offset to the anchor in one number."""
-    run = (r["lo"].astype(np.int64) << 16) | (r["n"].astype(np.int64) << 8) | r["t"]
-    ids, th = np.ascontiguousarray(r["id"]), r["th"].astype(np.int64)
-    part = ((ids ^ th) % count).astype(np.int32)
-    return pa.record_batch([pa.array(np.full(len(r), kind, np.int32)), pa.array(part), pa.array(ids), pa.array(th), pa.array(run), pa.nulls(len(r), pa.binary())], names=_NAMES)
-
-
-def _read_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window, number of windows and offset to the anchor of each run of an array column (null: none)."""
-    count = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    run = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(count)), count), run >> 16, run >> 8 & 255, run & 255
-
-
-def _send(r: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
-    """What a task knows of its own records: repeats and open ones by document, and one record per bucket for the others to see."""
-    if not len(r):
-        return
-    r, repeat, first, several = settle(r)
-    yield _runs(_REPEAT, r[repeat], count)
-    yield _runs(_OPEN, r[first & several], count)
-    lead = np.append(True, r["core"][1:] != r["core"][:-1])[: len(r)]
-    out = r[lead]
-    out["many"] = several[lead]
-    part = (out["core"] % np.uint64(count)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    out, part = out[order], part[order]
-    at, _ = groups(part)
-    none = pa.array(np.zeros(len(at), np.int64))
-    yield pa.record_batch([pa.array(np.full(len(at), _PAYLOAD, np.int32)), pa.array(part[at].astype(np.int32)), none, none, none, pa.array([x.tobytes() for x in np.split(out, at[1:])], pa.binary())], names=_NAMES)
-
-
-def _meet(count: int):
-    """Settle the buckets that one task receives; rows that belong to documents pass."""
+def _numbers(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    zero = np.zeros(len(key), np.int64)
+    return pa.record_batch([pa.array(np.full(len(key), kind, np.int32)), pa.array(zero.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(zero), pa.array(n.astype(np.int64)), pa.nulls(len(key), pa.binary())], names=_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            kind = b.column(0).to_numpy()
-            for i in np.flatnonzero(kind == _PAYLOAD).tolist():
-                held.append(np.frombuffer(b.column(5)[i].as_buffer(), _RECORD))
-            yield b.filter(pa.array(kind != _PAYLOAD))
-        if held:
-            r, repeat, first, several = settle(np.concatenate(held))
-            yield _runs(_REPEAT, r[repeat], count)
-            yield _runs(_OPEN, r[first & several & (r["many"] == 0)], count)
 
-    return run
+def _by_document(kind: int, ids: np.ndarray, th: np.ndarray, lo: np.ndarray, n: np.ndarray, count: int) -> pa.RecordBatch:
+    """A row per document with its runs: first window and number of windows."""
+    order = np.lexsort((lo, th, ids))
+    ids, th = np.ascontiguousarray(ids[order], np.int64), np.ascontiguousarray(th[order], np.int64)
+    run = np.stack([lo[order], n[order]], 1).astype("<u4")
+    at = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]))[: len(ids)])
+    data = [x.tobytes() for x in np.split(run, at[1:])] if len(at) else []
+    part = ((ids[at] ^ th[at]) % count).astype(np.int32)
+    return pa.record_batch([pa.array(np.full(len(at), kind, np.int32)), pa.array(part), pa.array(ids[at]), pa.array(th[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(data, pa.binary())], names=_NAMES)
+
+
+def _read_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window and number of windows of each run of a column of lists of binary values (null: none)."""
+    per_row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    size = np.array([len(x.as_buffer()) // 8 for x in values], np.int64)
+    run = np.frombuffer(b"".join(x.as_py() for x in values), "<u4").reshape(-1, 2).astype(np.int64)
+    return np.repeat(np.repeat(np.arange(len(per_row)), per_row), size), run[:, 0], run[:, 1]
+
 
+def _send_anchors(count: int):
+    """Anchors of all runs: those that several runs of a task name are known to be open; one of each goes to its part."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = np.concatenate(held)
+        r = r[np.argsort(r["core"], kind="stable")]
+        start, size = groups(r["core"])
+        own = r[np.repeat(size > 1, size)]
+        yield _by_document(_OPEN, own["id"], own["th"], own["lo"], own["n"], count)
+        out = r[start]
+        out["members"] = size
+        part = (out["core"] % np.uint64(count)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        at, _ = groups(part[order])
+        yield _parcels(_PAYLOAD, part[order][at], [x.tobytes() for x in np.split(out[order], at[1:])] if len(at) else [])
 
-def _first_level(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for b, buf, at in blocks(batches, "text"):
-            ids, th = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32)
-            bucket = _HASH.windows(_HASH.prefix(buf), Q)
-            a, lo, hi = anchors(bucket, at)
+            gram = _HASH.windows(_HASH.prefix(buf), GRAM)
+            a, lo, hi = anchors(gram, at)
             doc = np.searchsorted(at, lo, "right") - 1
-            held.append(_records(bucket[a], deeper(bucket, lo, hi - lo + LENGTH), doc, ids, th, lo - at[doc], hi - lo + 1, a - lo))
+            r = np.zeros(len(a), _RUN)
+            r["core"], r["id"], r["th"], r["lo"], r["n"] = gram[a], b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], lo - at[doc], hi - lo + 1
+            held.append(r)
             size += len(buf)
-            if size >= BATCH_BYTES:
-                yield from _send(np.concatenate(held), count)
+            if size >= SEND_BYTES:
+                yield from flush(held)
                 held, size = [], 0
         if held:
-            yield from _send(np.concatenate(held), count)
+            yield from flush(held)
 
     return run
 
 
-def _next_level(count: int, cell: int):
-    """Split open runs into cells of windows that lie alike to their anchor, and bucket each by the bytes its windows share."""
-
+def _meet_anchors(count: int):
+    """Open runs among the anchors of one part, and the anchors that very many runs name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
-        for b, buf, at in blocks(batches, "text"):
-            ids, th = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint32)
-            doc, start, n, t = _read_runs(b.column(b.schema.get_field_index("runs")))
-            # t falls as the window moves on; windows of one cell have equal t // cell.
-            each = np.repeat(np.arange(len(n)), n)
-            off = ranges(np.zeros(len(n), np.int64), n)
-            c = (t[each] - off) // cell
-            first, count_ = groups(each * 256 + (255 - c))
-            each, off, c = each[first], off[first], c[first]
-            lo, t = start[each] + off, t[each] - off
-            doc = doc[each]
-            base = at[doc] + lo
-            bucket = _HASH.windows(_HASH.prefix(buf), Q)
-            core = deeper(bucket, base + t - c * cell, LENGTH - cell + 1)
-            core = mix(core + c.astype(np.uint64)) if cell > 1 else core
-            held.append(_records(core, deeper(bucket, base, count_ - 1 + LENGTH) if cell > 1 else ~core, doc, ids, th, lo, count_, t if cell > 1 else t * 0))
-            size += len(buf)
-            if size >= BATCH_BYTES:
-                yield from _send(np.concatenate(held), count)
-                held, size = [], 0
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            held += [np.frombuffer(b.column(5)[i].as_buffer(), _RUN) for i in np.flatnonzero(kind == _PAYLOAD).tolist()]
+            yield b.filter(pa.array(kind != _PAYLOAD))
+        if not held:
+            return
+        r = np.concatenate(held)
+        held.clear()
+        r = r[np.argsort(r["core"], kind="stable")]
+        start, size = groups(r["core"])
+        own = r[np.repeat(size > 1, size) & (r["members"] == 1)]
+        yield _by_document(_OPEN, own["id"], own["th"], own["lo"], own["n"], count)
+        named = np.add.reduceat(r["members"].astype(np.int64), start)
+        hot = named >= HOT
+        yield _numbers(_HOT, r["core"][start][hot], named[hot])
+        yield _numbers(_TOTAL, np.zeros(1, np.uint64), named.sum(keepdims=True))
+
+    return run
+
+
+def _first_of_class(pointer: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are the first of their bucket, and which repeat another one; ``rank`` and ``pos`` order them.
+
+    A window that is in twice (same rank and place) is neither.
+    """
+    order = np.lexsort((pos, rank, pointer))
+    p, r, x = pointer[order], rank[order], pos[order]
+    lead = np.append(True, p[1:] != p[:-1])[: len(p)]
+    head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(p) else np.zeros(0, np.int64)
+    first, repeat = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    first[order] = lead
+    repeat[order] = ~((r == r[head]) & (x == x[head]))
+    return first, repeat
+
+
+def _spans(where: np.ndarray, *edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of neighbours in ``where`` (sorted places) that agree in ``edges``."""
+    if not len(where):
+        return where, where
+    cut = where[1:] != where[:-1] + 1
+    for e in edges:
+        cut |= e[1:] != e[:-1]
+    at = np.flatnonzero(np.append(True, cut))
+    return at, np.diff(np.append(at, len(where)))
+
+
+def _ranks(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
+    order = np.lexsort((th, ids))
+    new = np.append(True, (ids[order][1:] != ids[order][:-1]) | (th[order][1:] != th[order][:-1]))[: len(ids)]
+    out = np.zeros(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _send_segments(count: int, hot_keys):
+    """Refine the open windows of a block of documents; repeats are told by document, the first ones sent to their parts with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = hot_keys.value
+        for b, buf, at in blocks(batches, "text", REFINE_BYTES):
+            ids, th = b.column(b.schema.get_field_index("id")).to_numpy(), b.column(b.schema.get_field_index("th")).to_numpy()
+            doc, lo, _ = _read_runs(b.column(b.schema.get_field_index("runs")))
+            gram = _HASH.windows(_HASH.prefix(buf), GRAM)
+            a, first, last = anchors(gram, at)
+            is_open = np.zeros(len(buf) + 1, bool)
+            is_open[at[doc] + lo] = True
+            some = is_open[first]
+            a, first, n = a[some], first[some], (last - first + 1)[some]
+            where = ranges(first, n)
+            a = np.repeat(a, n)
+            doc = np.searchsorted(at, where, "right") - 1
+            lead, repeat = _first_of_class(refine(buf, where), _ranks(ids, th)[doc], where - at[doc])
+            s, m = _spans(where[repeat], doc[repeat])
+            r_doc = doc[repeat][s]
+            yield _by_document(_REPEAT, ids[r_doc], th[r_doc], where[repeat][s] - at[r_doc], m, count)
+            where, a, doc = where[lead], a[lead], doc[lead]
+            key = gram[a]
+            cell = np.zeros(len(a), np.int64)
+            many = np.flatnonzero(np.isin(key, hot)) if len(hot) else np.zeros(0, np.int64)
+            if len(many):
+                c = (a[many] - where[many]) // CELL
+                shared = _HASH.windows(_HASH.prefix(buf), LENGTH - CELL + 1)
+                key[many] = mix(shared[a[many] - c * CELL] + c.astype(np.uint64))
+                cell[many] = c
+            s, m = _spans(where, a, cell)
+            r = np.zeros(len(s), _SEGMENT)
+            r["key"], r["id"], r["th"], r["lo"], r["n"] = key[s], ids[doc[s]], th[doc[s]], where[s] - at[doc[s]], m
+            part = (r["key"] % np.uint64(count)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            starts, sizes = groups(part[order])
+            data = []
+            for i, k in zip(starts.tolist(), sizes.tolist(), strict=True):
+                own = order[i : i + k]
+                text = buf[ranges(where[s[own]], m[own] + LENGTH - 1)]
+                data.append(np.uint32(k).tobytes() + r[own].tobytes() + text.tobytes())
+            yield _parcels(_PAYLOAD, part[order][starts], data)
+
+    return run
+
+
+def _meet_segments(count: int):
+    """Refine the segments of one part together, a bounded number of bytes of whole keys at a time; rows that belong to documents pass."""
+
+    def settled(r: np.ndarray, buf: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        n = r["n"].astype(np.int64)
+        where = ranges(at, n)
+        seg = np.repeat(np.arange(len(r)), n)
+        pos = where - at[seg] + r["lo"][seg]
+        _, repeat = _first_of_class(refine(buf, where), _ranks(r["id"], r["th"])[seg], pos)
+        s, m = _spans(where[repeat], seg[repeat])
+        own = r[seg[repeat][s]]
+        return _by_document(_REPEAT, own["id"], own["th"], pos[repeat][s], m, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, texts = [], []
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            for i in np.flatnonzero(kind == _PAYLOAD).tolist():
+                raw = b.column(5)[i].as_py()
+                k = int(np.frombuffer(raw, "<u4", 1)[0])
+                heads.append(np.frombuffer(raw, _SEGMENT, k, 4))
+                texts.append(np.frombuffer(raw, np.uint8, offset=4 + k * _SEGMENT.itemsize))
+            yield b.filter(pa.array(kind != _PAYLOAD))
+        if not heads:
+            return
+        r, buf = np.concatenate(heads), np.concatenate(texts)
+        heads.clear(), texts.clear()
+        length = r["n"].astype(np.int64) + LENGTH - 1
+        at = np.cumsum(length) - length
+        order = np.argsort(r["key"], kind="stable")
+        start, size = groups(r["key"][order])
+        # Keys with one segment repeat nothing.
+        start, size = start[size > 1], size[size > 1]
+        held, total = [], 0
+        for i, k in zip(start.tolist(), size.tolist(), strict=True):
+            own = order[i : i + k]
+            more = int(length[own].sum())
+            if held and total + more > REFINE_BYTES:
+                own_all = np.concatenate(held)
+                yield settled(r[own_all], buf[ranges(at[own_all], length[own_all])], np.cumsum(length[own_all]) - length[own_all])
+                held, total = [], 0
+            held.append(own)
+            total += more
         if held:
-            yield from _send(np.concatenate(held), count)
+            own_all = np.concatenate(held)
+            yield settled(r[own_all], buf[ranges(at[own_all], length[own_all])], np.cumsum(length[own_all]) - length[own_all])
 
     return run
 
@@ -215,7 +360,7 @@ def _next_level(count: int, cell: int):
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, buf, at in blocks(batches, "text"):
         gone, spans, kept, sha = [], [], [], []
-        doc, lo, n, _ = _read_runs(b.column(b.schema.get_field_index("runs")))
+        doc, lo, n = _read_runs(b.column(b.schema.get_field_index("runs")))
         edge = np.zeros(len(buf) + 1, np.int64)
         np.add.at(edge, at[doc] + lo, 1)
         np.add.at(edge, at[doc] + lo + n - 1 + LENGTH, -1)
@@ -235,25 +380,22 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` has the bytes that stay.
-
-    One plan: the documents' exchange is made once and used by both refinements
-    and by the removal, and each level's exchange by its two readers.
-    """
-    count = parts(docs.sparkSession)
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` has the bytes that stay."""
+    spark = docs.sparkSession
+    count = parts(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.crc32(text.cast("binary")).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("own_id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("own_id"))
     dealt = rows.repartition(count, "id", "th")
 
-    def meet(sent: DataFrame) -> DataFrame:
-        return sent.repartition(count, "part").mapInArrow(_meet(count), _ROW)
-
     def runs(found: DataFrame, kind: int) -> DataFrame:
-        return found.filter(F.col("kind") == kind).groupBy("id", "th").agg(F.collect_list("run").alias("runs"))
-
-    found = meet(rows.mapInArrow(_first_level(count), _ROW))
-    repeats = found
-    for cell in (CELL, 1):
-        found = meet(dealt.join(runs(found, _OPEN), ["id", "th"]).mapInArrow(_next_level(count, cell), _ROW))
-        repeats = repeats.unionByName(found)
+        return found.filter(F.col("kind") == kind).groupBy("id", "th").agg(F.collect_list("data").alias("runs"))
+
+    found = rows.mapInArrow(_send_anchors(count), _ROW).repartition(count, "part").mapInArrow(_meet_anchors(count), _ROW)
+    found = materialize(found.select("kind", "id", "th", "n", "data"), "anchors")
+    total = found.filter(F.col("kind") == _TOTAL).agg(F.sum("n")).first()[0] or 0
+    # HOT_KEYS bounds what is collected here, at any size of the input.
+    hot = found.filter((F.col("kind") == _HOT) & (F.col("n") >= max(HOT, total / HOT_KEYS))).select("id").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot["id"].to_numpy().view(np.uint64)))
+    sent = dealt.join(runs(found, _OPEN), ["id", "th"]).mapInArrow(_send_segments(count, hot), _ROW)
+    repeats = sent.repartition(count, "part").mapInArrow(_meet_segments(count), _ROW)
     return dealt.join(runs(repeats, _REPEAT), ["id", "th"], "left").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
