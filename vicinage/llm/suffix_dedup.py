@@ -45,7 +45,7 @@ Q, GRAM = 8, 20
 #: Windows of a cell of a hot anchor.  An anchor is hot from HOT runs on, and at most HOT_KEYS anchors are.
 CELL, HOT, HOT_KEYS = 8, 256, 2_000_000
 #: Text bytes that are refined at a time, and whose anchors a task sends at a time.
-REFINE_BYTES, SEND_BYTES = 3 << 20, 16 << 20
+REFINE_BYTES, SEND_BYTES = 2 << 20, 8 << 20
 _LAST = (1 << 63) - 1
 _HASH = SpanHash(21)
 _PAYLOAD, _OPEN, _REPEAT, _HOT, _TOTAL = 0, 1, 2, 3, 4
@@ -73,7 +73,7 @@ def refine_round(pointer: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray
     """
     here = pointer[at].astype(np.uint64)
     key = (here << np.uint64(32)) | pointer[at + offset]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at, key = at[order], key[order]
     start, size = groups(key)
     old, _ = groups(key >> np.uint64(32))
@@ -103,11 +103,12 @@ def refine(buf: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
     wanted.reverse()
     live = np.flatnonzero(wanted[0])
     first = grams(buf, min(Q, length))[live]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     start, size = groups(first[order])
+    live = live[order].astype(np.int32)
     pointer = np.zeros(len(buf) + 1, np.uint32)
-    pointer[live[order]] = np.repeat(start, size)
-    live = live[order][np.repeat(size > 1, size)]
+    pointer[live] = np.repeat(start.astype(np.uint32), size)
+    live = live[np.repeat(size > 1, size)]
     for off, here in zip(offsets, wanted[1:], strict=True):
         live = refine_round(pointer, live[here[live]], off)
     return pointer[at]
@@ -227,19 +228,18 @@ def _meet_anchors(count: int):
     return run
 
 
-def _first_of_class(pointer: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows are the first of their bucket, and which repeat another one; ``rank`` and ``pos`` order them.
+def _first_of_class(pointer: np.ndarray, run: np.ndarray, rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are the first of their bucket, and which repeat another one; they come in the order of rank and place.
 
-    A window that is in twice (same rank and place) is neither.
+    ``run`` tells the window's run, ``rank`` the run's document.  A window that is
+    in twice (same document and place) is neither.
     """
-    order = np.lexsort((pos, rank, pointer))
-    p, r, x = pointer[order], rank[order], pos[order]
-    lead = np.append(True, p[1:] != p[:-1])[: len(p)]
-    head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(p) else np.zeros(0, np.int64)
-    first, repeat = np.zeros(len(p), bool), np.zeros(len(p), bool)
-    first[order] = lead
-    repeat[order] = ~((r == r[head]) & (x == x[head]))
-    return first, repeat
+    me = np.arange(len(pointer), dtype=np.int32)
+    head = np.zeros(int(pointer.max()) + 1 if len(pointer) else 0, np.int32)
+    head[pointer[::-1]] = me[::-1]
+    head = head[pointer]
+    first = head == me
+    return first, ~first & ~((rank[run] == rank[run[head]]) & (pos == pos[head]))
 
 
 def _spans(where: np.ndarray, *edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,34 +273,41 @@ def _send_segments(count: int, hot_keys):
             a, first, last = anchors(gram, at)
             is_open = np.zeros(len(buf) + 1, bool)
             is_open[at[doc] + lo] = True
-            some = is_open[first]
+            some = np.flatnonzero(is_open[first])
+            doc = np.searchsorted(at, first[some], "right") - 1
+            rank = _ranks(ids, th)
+            some = some[np.argsort(rank[doc], kind="stable")]
             a, first, n = a[some], first[some], (last - first + 1)[some]
-            where = ranges(first, n)
-            a = np.repeat(a, n)
-            doc = np.searchsorted(at, where, "right") - 1
-            lead, repeat = _first_of_class(refine(buf, where), _ranks(ids, th)[doc], where - at[doc])
-            s, m = _spans(where[repeat], doc[repeat])
-            r_doc = doc[repeat][s]
-            yield _by_document(_REPEAT, ids[r_doc], th[r_doc], where[repeat][s] - at[r_doc], m, count)
-            where, a, doc = where[lead], a[lead], doc[lead]
-            key = gram[a]
-            cell = np.zeros(len(a), np.int64)
-            many = np.flatnonzero(np.isin(key, hot)) if len(hot) else np.zeros(0, np.int64)
+            doc = np.searchsorted(at, first, "right") - 1
+            where = ranges(first, n).astype(np.int32)
+            run_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            lead, repeat = _first_of_class(refine(buf, where), run_of, rank[doc], where - at[doc][run_of])
+            s, m = _spans(where[repeat], doc[run_of[repeat]])
+            start, r_doc = where[repeat][s], doc[run_of[repeat][s]]
+            yield _by_document(_REPEAT, ids[r_doc], th[r_doc], start - at[r_doc], m, count)
+            where, run_of = where[lead], run_of[lead]
+            key, cell = gram[a], np.zeros(len(where), np.int32)
+            hot_run = np.isin(key, hot)
+            if hot_run.any():
+                cell = np.where(hot_run[run_of], (a[run_of] - where) // CELL + 1, 0).astype(np.int32)
+            s, m = _spans(where, run_of, cell)
+            start, cell, run_of = where[s].astype(np.int64), cell[s].astype(np.int64), run_of[s]
+            key = key[run_of]
+            many = np.flatnonzero(cell)
             if len(many):
-                c = (a[many] - where[many]) // CELL
                 shared = _HASH.windows(_HASH.prefix(buf), LENGTH - CELL + 1)
-                key[many] = mix(shared[a[many] - c * CELL] + c.astype(np.uint64))
-                cell[many] = c
-            s, m = _spans(where, a, cell)
+                c = cell[many]
+                key[many] = mix(shared[a[run_of[many]] - (c - 1) * CELL] + c.astype(np.uint64))
+            doc = doc[run_of]
             r = np.zeros(len(s), _SEGMENT)
-            r["key"], r["id"], r["th"], r["lo"], r["n"] = key[s], ids[doc[s]], th[doc[s]], where[s] - at[doc[s]], m
+            r["key"], r["id"], r["th"], r["lo"], r["n"] = key, ids[doc], th[doc], start - at[doc], m
             part = (r["key"] % np.uint64(count)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             starts, sizes = groups(part[order])
             data = []
             for i, k in zip(starts.tolist(), sizes.tolist(), strict=True):
                 own = order[i : i + k]
-                text = buf[ranges(where[s[own]], m[own] + LENGTH - 1)]
+                text = buf[ranges(start[own], m[own] + LENGTH - 1)]
                 data.append(np.uint32(k).tobytes() + r[own].tobytes() + text.tobytes())
             yield _parcels(_PAYLOAD, part[order][starts], data)
 
@@ -311,12 +318,14 @@ def _meet_segments(count: int):
     """Refine the segments of one part together, a bounded number of bytes of whole keys at a time; rows that belong to documents pass."""
 
     def settled(r: np.ndarray, buf: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((r["lo"], r["th"], r["id"]))
+        r, at = r[order], at[order]
         n = r["n"].astype(np.int64)
-        where = ranges(at, n)
-        seg = np.repeat(np.arange(len(r)), n)
-        pos = where - at[seg] + r["lo"][seg]
-        _, repeat = _first_of_class(refine(buf, where), _ranks(r["id"], r["th"])[seg], pos)
-        s, m = _spans(where[repeat], seg[repeat])
+        where = ranges(at, n).astype(np.int32)
+        seg = np.repeat(np.arange(len(r), dtype=np.int32), n)
+        pos = where + (r["lo"].astype(np.int64) - at)[seg]
+        _, repeat = _first_of_class(refine(buf, where), seg, _ranks(r["id"], r["th"]), pos)
+        s, m = _spans(pos[repeat], seg[repeat])
         own = r[seg[repeat][s]]
         return _by_document(_REPEAT, own["id"], own["th"], pos[repeat][s], m, count)
 
