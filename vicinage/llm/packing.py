@@ -2,12 +2,14 @@
 
 Every document becomes ids of a public tokenizer and one end id.  Whole windows
 of a document are sequences of their own; the rest is a length from 1 to one
-less than the window.  Combinations of two or three lengths that fill a window
-exactly are enumerated, their repeat counts are solved against the histogram of
-lengths under non-negativity, rounded down to what is there, and what remains is
-packed greedily: residual pieces are cut at powers of two, and laid end to end
-in descending size they fill windows without crossing a border.  The last,
-partly filled window is cut into sequences whose lengths are powers of two.
+less than the window.  All combinations of two or three lengths that fill a
+window exactly are enumerated, their repeat counts are solved against the
+histogram of lengths under non-negativity, rounded down, and raised again where
+lengths are left.  What remains is packed greedily: first whole, several pieces
+filling a window exactly, and only what fits nowhere is cut at powers of two and
+laid end to end in descending size, which fills windows without crossing a
+border.  The last, partly filled window is cut into sequences whose lengths are
+powers of two.
 
 Nulls: a null text is empty and still has its end id; a null id is carried on.
 Repeated rows are packed each on its own.  Empty tables give empty results.
@@ -20,7 +22,6 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,8 @@ from .store import materialize
 
 WINDOW = 2048
 END_ID = 1
-#: Lengths that triples are made of (the most frequent), and iterations of the solver.
-TRIPLE_LENGTHS = 40
-ROUNDS = 400
+#: The solver stops when CHECKED rounds lower the loss by less than this share of it.
+TOLERANCE, CHECKED = 1e-4, 20
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_500_000
 #: Text bytes that are encoded at a time.
@@ -188,76 +188,143 @@ def token_table(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: s
     return materialize(rows.mapInArrow(encode, _TOKENS), "tokens")
 
 
-def combinations(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:
-    """Pairs of lengths that fill the window, and triples with two of the most frequent lengths."""
+def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """All pairs and triples of present lengths that fill the window, ascending in each row; a pair begins with 0."""
     have = histogram > 0
-    out: set[tuple[int, ...]] = {(a, window - a) for a in range(1, window // 2 + 1) if have[a] and have[window - a]}
-    often = [int(a) for a in np.argsort(-histogram, kind="stable")[:TRIPLE_LENGTHS] if have[a] and a]
-    for a, b in combinations_with_replacement(often, 2):
-        c = window - a - b
-        if c > 0 and have[c]:
-            out.add(tuple(sorted((a, b, c))))
-    return sorted(out)
+    have[0] = False
+    a, b = np.triu_indices(len(have))
+    c = window - a - b
+    good = (c >= b) & (c < len(have)) & (have[a] | (a == 0)) & have[b]
+    a, b, c = a[good], b[good], c[good]
+    good = have[c]
+    return np.stack([a[good], b[good], c[good]], 1)
 
 
-def solve(histogram: np.ndarray, combos: list[tuple[int, ...]], rounds: int = ROUNDS) -> np.ndarray:
+def solve(histogram: np.ndarray, combos: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - histogram|^2, A's columns being the combinations (accelerated projected gradient)."""
-    if not combos:
+    if not len(combos):
         return np.zeros(0)
-    row = np.array([a for c in combos for a in c])
-    col = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
-    n, m = len(histogram), len(combos)
+    goal = histogram.astype(np.float64)
+    goal[0] = 0
+    flat = combos.ravel()
 
     def forward(x: np.ndarray) -> np.ndarray:
-        return np.bincount(row, x[col], minlength=n)
+        out = np.bincount(flat, np.repeat(x, 3), minlength=len(goal))
+        out[0] = 0
+        return out
 
     def back(y: np.ndarray) -> np.ndarray:
-        return np.bincount(col, y[row], minlength=m)
+        return y[combos].sum(1)
 
-    v = np.ones(m)
+    v = np.ones(len(combos))
     for _ in range(30):
         v = back(forward(v))
         v /= np.linalg.norm(v)
     step = 1 / (1.05 * np.linalg.norm(back(forward(v))))
-    x, y, t = np.zeros(m), np.zeros(m), 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * back(forward(y) - histogram))
+    x, y, t = np.zeros(len(combos)), np.zeros(len(combos)), 1.0
+    was = np.inf
+    for i in range(1, 1 << 30):
+        new = np.maximum(0, y - step * back(forward(y) - goal))
+        if (y - new) @ (new - x) > 0:
+            t = 1.0  # the momentum points uphill: start it anew
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    return x
-
-
-def round_counts(histogram: np.ndarray, combos: list[tuple[int, ...]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole counts that the histogram allows: rounded down first, then raised greedily; and the lengths left over."""
-    left, counts = histogram.astype(np.int64).copy(), np.zeros(len(combos), np.int64)
-    for wish in (np.floor(x + 1e-6), np.full(len(combos), np.inf)):
-        for i in np.argsort(-x, kind="stable"):
-            need = np.bincount(combos[i])
-            at = np.flatnonzero(need)
-            k = int(min(wish[i], (left[at] // need[at]).min()))
-            counts[i] += k
-            left[at] -= k * need[at]
+        if i % CHECKED == 0:
+            loss = float(((forward(x) - goal) ** 2).sum())
+            if was - loss <= tolerance * was:
+                return x
+            was = loss
+
+
+def round_counts(histogram: np.ndarray, combos: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole counts that the histogram allows, and the lengths left over: rounded down, then raised in the order of what was cut off."""
+    left = histogram.astype(np.int64).copy()
+    counts = np.zeros(len(combos), np.int64)
+    order = np.argsort(-x, kind="stable")
+    down = np.floor(x + 1e-6).astype(np.int64)
+    rest = left.tolist()
+    rest[0] = 1 << 62  # the empty place of a pair
+
+    def raise_(order: np.ndarray, wish: list[int]) -> None:
+        for i, (a, b, c) in zip(order.tolist(), combos[order].tolist(), strict=True):
+            k = min(wish[i], rest[a], rest[b], rest[c])
+            if a == b or b == c:
+                k = min(k, rest[b] // (1 + (a == b) + (b == c)))
+            if k > 0:
+                counts[i] += k
+                rest[b] -= k
+                rest[c] -= k
+                if a:
+                    rest[a] -= k
+
+    raise_(order[down[order] > 0], down.tolist())
+    raise_(np.argsort(-(x - down), kind="stable"), [1] * len(x))
+    raise_(order, [1 << 62] * len(x))
+    left[1:] = rest[1:]
     return counts, left
 
 
+def fill_whole(left: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
+    """Combinations of any number of the lengths left that fill the window exactly, each with its repeat count; ``left`` is lowered."""
+
+    def exact(gap: int, tries: int) -> list[int] | None:
+        if gap < len(left) and left[gap] > 0:
+            return [gap]
+        a = np.arange(max(1, gap - len(left) + 1), gap // 2 + 1)
+        pairs = np.where(2 * a == gap, left[a] // 2, np.minimum(left[a], left[gap - a])) if len(a) else a
+        if len(pairs) and pairs.max() > 0:
+            one = int(a[np.argmax(pairs)])
+            return [one, gap - one]
+        for one in np.flatnonzero(left[: max(0, min(gap - 2, len(left)))] > 0)[::-1][:tries].tolist():
+            left[one] -= 1
+            got = exact(gap - one, 1)
+            left[one] += 1
+            if got:
+                return [one, *got]
+        return None
+
+    out = []
+    for a in range(len(left) - 1, 0, -1):
+        while left[a] > 0:
+            left[a] -= 1
+            got = exact(window - a, len(left))
+            left[a] += 1
+            if not got:
+                break
+            pieces = [a, *got]
+            need = np.bincount(pieces)
+            own = np.flatnonzero(need)
+            k = int((left[own] // need[own]).min())
+            out.append((pieces, k))
+            left[own] -= k * need[own]
+    return out
+
+
 class Plan:
     """Where the piece of a given length and rank goes."""
 
     def __init__(self, histogram: np.ndarray, wholes: int, window: int = WINDOW):
         self.window = window
         combos = combinations(histogram, window)
-        counts, self.left = round_counts(histogram, combos, solve(histogram.astype(float), combos))
+        counts, self.left = round_counts(histogram, combos, solve(histogram, combos))
+        used = counts > 0
+        chosen = [([a for a in c if a], k) for c, k in zip(combos[used].tolist(), counts[used].tolist(), strict=True)]
+        #: Rests that the solved combinations place, that are packed whole after them, and that are cut.
+        self.solved = int(histogram.sum() - self.left[1:].sum())
+        chosen += fill_whole(self.left, window)
+        self.cut = int(self.left.sum())
         self.used = histogram.astype(np.int64) - self.left
-        slots: dict[int, list[tuple[int, int, int]]] = {}
-        base, taken = wholes, np.zeros(len(histogram), np.int64)
-        for c, k in zip(combos, counts.tolist(), strict=True):
+        slots: list[tuple[int, int, int, int]] = []
+        base, taken = wholes, [0] * len(histogram)
+        for c, k in chosen:
             at = 0
-            for a in c if k else ():
-                slots.setdefault(a, []).append((int(taken[a]), base, at))
+            for a in c:
+                slots.append((a, taken[a], base, at))
                 taken[a] += k
                 at += a
             base += k
-        self.slots = {a: np.array(v, np.int64).T for a, v in slots.items()}
+        table = np.array(sorted(slots), np.int64).reshape(-1, 4)
+        self.slot_key, self.slot_base, self.slot_at = (table[:, 0] << 48) | table[:, 1], table[:, 2].copy(), table[:, 3].astype(np.int32)
         self.base = base
         bits = max(1, (window - 1).bit_length())
         size = np.arange(len(histogram))
@@ -272,23 +339,19 @@ class Plan:
         self.full, tail = divmod(total, window)
         self.tail = np.concatenate([[0], np.cumsum(_cuts(tail))]).astype(np.int64)
 
-    def piece(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-        """(start within the rest, length, sequence, offset) of the piece, or of its cuts."""
-        if rank < self.used[length]:
-            first, base, offset = self.slots[length]
-            i = int(np.searchsorted(first, rank, "right")) - 1
-            return [(0, length, int(base[i] + rank - first[i]), int(offset[i]))]
-        rank -= int(self.used[length])
-        out, p = [], 0
-        for c in _cuts(length):
-            b = c.bit_length() - 1
-            sequence, offset = divmod(int(self.at[b] + ((self.ahead[b, length] + rank) << b)), self.window)
-            if sequence == self.full:
-                i = int(np.searchsorted(self.tail, offset, "right")) - 1
-                sequence, offset = sequence + i, offset - int(self.tail[i])
-            out.append((p, c, self.base + sequence, offset))
-            p += c
-        return out
+    def whole(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces that are not cut."""
+        i = np.searchsorted(self.slot_key, (length << 48) | rank, "right") - 1
+        return self.slot_base[i] + rank - (self.slot_key[i] & ((1 << 48) - 1)), self.slot_at[i]
+
+    def cuts(self, length: np.ndarray, rank: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of the cut of ``1 << bit`` ids of pieces that have it; ``rank`` counts the cut pieces of a length."""
+        sequence, offset = np.divmod(self.at[bit] + ((self.ahead[bit, length] + rank) << bit), self.window)
+        last = sequence == self.full
+        i = np.searchsorted(self.tail, offset[last], "right") - 1
+        sequence[last] += i
+        offset[last] -= self.tail[i]
+        return self.base + sequence, offset
 
 
 _PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -313,17 +376,26 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = plan.value
         for b in batches:
-            out: list[tuple] = []
-            cols = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("id", "n", "whole", "rest", "rest_crc", "cuts", "rank", "whole_rank", "ahead", "whole_ahead")]
-            for one, n, whole, rest, rest_crc, cuts, rank, whole_rank, ahead, whole_ahead in zip(*cols, strict=True):
-                for j, crc in enumerate(whole):
-                    out.append((one, j * window, window, crc, n, whole_ahead + whole_rank + j, 0))
-                if rest:
-                    got = made.piece(rest, ahead + rank)
-                    crcs = [rest_crc] if len(got) == 1 else cuts
-                    for (p, length, sequence, offset), crc in zip(got, crcs, strict=True):
-                        out.append((one, len(whole) * window + p, length, crc, n, sequence, offset))
-            c = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in c], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            column = {k: b.column(b.schema.get_field_index(k)) for k in b.schema.names}
+            rest, rest_crc, rank, whole_rank, ahead, whole_ahead = (column[k].fill_null(0).to_numpy().astype(np.int64) for k in ("rest", "rest_crc", "rank", "whole_rank", "ahead", "whole_ahead"))
+            wholes, cut_crc = column["whole"].value_lengths().to_numpy().astype(np.int64), column["cuts"].flatten().to_numpy()
+            first_cut = np.cumsum(n_cuts := column["cuts"].value_lengths().to_numpy().astype(np.int64)) - n_cuts
+            # Columns: row, start, length, checksum, sequence, offset.
+            row, j = np.repeat(np.arange(b.num_rows), wholes), ranges(np.zeros(len(wholes), np.int64), wholes)
+            out = [(row, j * window, np.full(len(row), window), column["whole"].flatten().to_numpy(), (whole_ahead + whole_rank)[row] + j, np.zeros(len(row), np.int64))]
+            rank = rank + ahead
+            row = np.flatnonzero((rest > 0) & (rank < made.used[rest]))
+            out.append((row, wholes[row] * window, rest[row], rest_crc[row], *made.whole(rest[row], rank[row])))
+            row = np.flatnonzero((rest > 0) & (rank >= made.used[rest]))
+            rank = rank - made.used[rest]
+            start, nth = wholes[row] * window, first_cut[row]
+            for bit in range(len(made.at) - 1, -1, -1):
+                own = rest[row] >> bit & 1 > 0
+                r = row[own]
+                out.append((r, start[own], np.full(len(r), 1 << bit), cut_crc[nth[own]], *made.cuts(rest[r], rank[r], bit)))
+                start, nth = start + (own << bit), nth + own
+            row, start, length, crc, sequence, offset = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+            at = pa.array(row)
+            yield pa.record_batch([column["id"].take(at), pa.array(start), pa.array(length), pa.array(crc), column["n"].take(at), pa.array(sequence), pa.array(offset)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return placed.mapInArrow(place, _PIECES)
