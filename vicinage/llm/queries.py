@@ -27,10 +27,14 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document whose id stands in its url."""
+    """Host, path, listed rule and verdict of every page.
+
+    A page's label is that of the document whose id stands in its url as a whole
+    path word (a suffix like ``.html`` may follow); null labels are none.
+    """
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
     poor = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_did")).agg((F.min("quality") == 0).alias("_poor"))
-    number = F.try_to_number(F.regexp_extract(url_rules.host_path(F.col("url"))[1], r"/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
+    number = F.try_to_number(F.regexp_extract(url_rules.host_path(F.col("url"))[1], r"/(\d{1,18})(?:[./]|$)", 1), F.lit("9" * 18)).cast("long")
     rules, fallback = url_rules.mine(pages.withColumn("_number", number).join(poor, F.col("_number") == F.col("_did")), "url", F.col("_poor"))
     return url_rules.judge(pages, rules, fallback).withColumnRenamed("id", "page_id")
 
