@@ -12,9 +12,14 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset on one machine (tests), a new temporary one.
+
+    Unset on a cluster, it is an error: executors do not see each other's folders.
+    """
     found = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_CONF} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vicinage-")
         spark.conf.set(_CONF, found)
     return found.rstrip("/")
@@ -38,6 +43,18 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until the table has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which are meant to be set in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
