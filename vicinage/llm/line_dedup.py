@@ -10,7 +10,7 @@ sites is kept once.  Blank lines are not judged.
 Nulls: a null text is empty, a null site is one site of its own, a null id
 counts as the largest.  Rows that repeat an id are told apart by their text;
 rows alike in both are judged alike.  Empty tables give empty results.  Extra
-columns are carried on unchanged.
+columns are carried on unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free_names, materialize
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -58,11 +58,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """``docs`` with the kept text, and ``_n_lines`` and ``_n_removed`` beside it."""
+    """``docs`` with the kept text, and ``n_lines`` and ``n_removed`` beside it.
+
+    Where ``docs`` has columns of these names, the two get underscores before
+    theirs until they are free; they are the last two columns in any case.
+    """
+    n_lines, n_removed, key, theirs, gone, lines = free_names(docs, "n_lines", "n_removed", "key", "theirs", "gone", "lines")
     held, decided = boilerplate(docs, min_sites, id_col, text_col, site_col)
-    gone = held.hint("merge").join(decided, ["_k1", "_k2"]).filter(F.col("_id") != F.col("_first")).groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set("_pos").alias("_gone"))
-    rows = docs.select("*", *_row_keys(docs, id_col, text_col))
-    both = rows.join(gone, (F.col("_id") == F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left").withColumn("_lines", _lines(F.col(text_col)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    return both.withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text_col, text).drop("_id", "_th", "_gid", "_gth", "_gone", "_lines")
+    found = held.hint("merge").join(decided, ["_k1", "_k2"]).filter(F.col("_id") != F.col("_first")).groupBy(F.struct("_id", "_th").alias(theirs)).agg(F.collect_set("_pos").alias(gone))
+    rows = docs.withColumn(key, F.struct(*_row_keys(docs, id_col, text_col)))
+    both = rows.join(found, F.col(key) == F.col(theirs), "left").withColumn(lines, _lines(F.col(text_col)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    counted = both.withColumn(n_lines, F.size(lines).cast("long")).withColumn(n_removed, F.coalesce(F.size(gone), F.lit(0)).cast("long")).withColumn(text_col, text)
+    return counted.select(*docs.columns, n_lines, n_removed)

@@ -73,7 +73,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("kept_text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("kept_text"))
 
 
 def _remainder(n: int):
