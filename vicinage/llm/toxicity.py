@@ -1,23 +1,27 @@
-"""Toxicity by a subsequence string kernel, Nystrom landmarks and a linear SVM.
-
-Strings are the letters of white-space tokens (digits and signs that stand for
-letters are read as such, runs of single letters are one string), so insults
-with inserted signs, letters or spaces between single letters stay near to the
-plain ones.  No string spans two ordinary words or parts of two or more letters
-("mor on").  The kernel
-counts common subsequences of three letters within ``SPAN`` letters, each
-weighted by ``DECAY`` to the power of its span; it is normalised and squared.
-
-The dealt method works on labelled sentences; here the labels are those of whole
-texts ("sentence" below is a text) and the unit is a single token.
-
-Landmarks are the strings that tell toxic from clean sentences best and common
-clean ones.  Strings are mapped to the landmarks' Nystrom space, and a linear
-SVM is trained on labelled sentences: a sentence is as toxic as its worst
-string, every sentence of a clean text is clean, and of a toxic text the worst
-one is toxic (chosen anew in each round).  A text scores as its worst sentence.
-
-Nulls and empty texts have no strings and get the lowest score; so does every
+"""Toxicity by a subsequence string kernel, Nystrom landmarks and a linear SVM over sentences.
+
+The kernel of two strings counts common subsequences of three letters within
+``SPAN`` letters, each weighted by ``DECAY`` to the power of its gaps, and is
+normalised.  A sentence is the set of its windows: every run of whole tokens of
+up to ``WINDOW`` letters, so strings span tokens, and insults with inserted
+letters, signs or spaces stay near to the plain ones.  The kernel of a sentence
+and a landmark string sums, over the sentence's windows, the squared part of
+their kernel above ``FLOOR``; below it, windows have next to nothing in common
+with the landmark, and a bound tells most of them without the kernel.
+
+Landmarks are the strings that tell toxic from clean training texts best, and
+the clean windows that come closest to those.  Sentences are mapped to the
+landmarks' Nystrom space, and a linear SVM is trained on sentences: all sentences
+of a clean text are clean, and of a toxic text the worst one is toxic (chosen
+anew in each round, if any of its strings is commoner in toxic texts).  A text
+scores as its worst sentence.
+
+Sentences end with a token that ends with ``.``, ``!``, ``?`` or a full stop of
+another script, and with a line.  Every letter of every script is a symbol: a to
+z, digits and signs that stand for letters, accented Latin letters without
+their accents, and all others by a hash of the character.
+
+Nulls and empty texts have no sentences and get the lowest score; so does every
 text if there is no toxic or no clean label.  Rows that repeat an id share its
 labels (toxic if any is).  Empty tables give empty results.  Other columns are
 ignored, whatever their names.
@@ -25,6 +29,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,140 +37,241 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import as_bytes, blocks, fold, ranges, span_hash, words
+from .blocks import as_bytes, blocks, fold, groups, mix, ranges, span_hash, words
 
 SPAN = 6
 DECAY = 0.7
-LANDMARKS = 64
+#: Letters of a window; a longer token is cut into overlapping windows.
+WINDOW = 12
+#: Kernel values that count for nothing.
+FLOOR = 0.5
+#: Landmarks from toxic texts, the telling strings that they are chosen from, and clean windows that come closest to them.
+LANDMARKS, POOL, NEAR_LANDMARKS = 96, 400, 32
 #: Labelled rows of each class from which the SVM is trained, at most (chosen by hash).
 LEARN_DOCS = 1500
-#: Letters of a string that are compared at a time; longer ones are cut into overlapping pieces.
-PIECE = 16
-REMEMBERED = 500_000
-#: Log-ratio of rates from which a string can tell why a text is toxic.
-TELLING = 1.0
-#: Log-ratio of rates from which a string is toxic by itself; of how many of these variants are trained on, and how many each.
-PLAIN, VARIED, VARIANTS = 3.0, 300, 6
-#: Weight that a clean string within the margin gets on top in the next round.
-LOUD = 20.0
+#: Windows whose worth a worker remembers.
+REMEMBERED = 1_000_000
+#: Log-ratio of rates from which a string can tell why a text is toxic, and from which it is toxic by itself.
+TELLING, PLAIN = 1.0, 3.0
+#: Variants with one letter inserted of each string that is toxic by itself.
+VARIANTS = 6
+#: Bits of a symbol; symbols from OTHER on are letters that are not Latin.
+_BITS, OTHER = 6, 27
+_CODES = 1 << 3 * _BITS
 _PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+_SEED = 5
 
 
-def _letters() -> np.ndarray:
-    """Symbol 1 to 31 of each byte, 0 for what is left out."""
-    out = np.zeros(256, np.uint8)
-    for b in range(128, 256):
-        out[b] = 27 + b % 5
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of each byte below 128 (0: left out), and of the Latin-1 letters by their second byte."""
+    one, two = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
     for i in range(26):
-        out[97 + i] = out[65 + i] = 1 + i
+        one[97 + i] = one[65 + i] = 1 + i
     for sign, letter in zip("0134578@$!", "oieastbasi", strict=True):
-        out[ord(sign)] = 1 + ord(letter) - 97
-    return out
-
-
-_SYMBOL = _letters()
-_SEED = 5
-
-
-def strings(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, and start, length and document of each string (pieces of ``PIECE`` symbols at most)."""
+        one[ord(sign)] = 1 + ord(letter) - 97
+    for b in range(0x80, 0xC0):
+        letter = unicodedata.normalize("NFD", chr(b + 0x40))[0].lower()
+        two[b] = 1 + ord(letter) - 97 if "a" <= letter <= "z" else OTHER + b % ((1 << _BITS) - OTHER)
+    return one, two
+
+
+_ONE, _TWO = _tables()
+#: Groups of landmarks that have a bound each, and the unit that bounds are counted in.
+GROUPS, _UNIT = 16, 1e-3
+#: Least norm of a string of n letters: no two of its subsequences are alike.
+_NORM = np.sqrt([sum(max(n - b, 0) * DECAY ** (2 * (b - 2)) for _, b in _PAIRS) for n in range(WINDOW + 1)])
+
+
+def _symbols(low: np.ndarray) -> np.ndarray:
+    """One symbol per character, at its first byte; 0 for what is no letter and for the other bytes."""
+    sym = _ONE[low]
+    lead = np.flatnonzero(low >= 0xC2)
+    if len(lead):
+        padded = np.concatenate([low, np.zeros(3, np.uint8)])
+        code = low[lead].astype(np.uint64)
+        for k in (1, 2, 3):
+            own = padded[lead + k]
+            code = code << np.uint64(8) | np.where((own & 0xC0) == 0x80, own, 0).astype(np.uint64)
+        other = OTHER + (mix(code) % np.uint64((1 << _BITS) - OTHER)).astype(np.int64)
+        latin = low[lead] == 0xC3
+        other[latin] = _TWO[padded[lead[latin] + 1]]
+        # Signs: U+2000 to U+206F and U+3000 to U+303F.
+        sign = ((low[lead] == 0xE2) & (padded[lead + 1] <= 0x81)) | ((low[lead] == 0xE3) & (padded[lead + 1] == 0x80))
+        sym[lead] = np.where(sign, 0, other)
+    return sym
+
+
+def sentences(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols end to end; start, end and sentence of each token that has any; document of each sentence."""
     low = fold(buf)
     s, e, doc = words(low, at)
-    sym = _SYMBOL[low]
+    if not len(s):
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), z, z, z, z
+    sym = _symbols(low)
     # A trailing "!" ends a sentence; inside a token it stands for a letter.
-    bang = low == 33
-    if bang.any():
-        ends = np.zeros(len(low), bool)
-        ends[e - 1] = True
-        sym[bang & ends] = 0
+    last = e - 1
+    sym[last[low[last] == 33]] = 0
+    stop = np.isin(low[last], (33, 46, 63)) | ((low[last] == 0x82) & (low[last - 1] == 0x80) & (e - s >= 3))
+    lines = np.concatenate([[0], np.cumsum(low == 10)])
+    new = np.append(True, stop[:-1] | (doc[1:] != doc[:-1]) | (lines[s[1:]] != lines[e[:-1]]))
+    sentence = np.cumsum(new) - 1
     kept = np.concatenate([[0], np.cumsum(sym > 0)])
-    s, e = kept[s], kept[e]
+    s, e, of = kept[s], kept[e], doc[new]
     some = e > s
-    s, e, doc = s[some], e[some], doc[some]
-    sym = sym[sym > 0]
-    single = e - s == 1
-    if single.any():
-        # Single letters in a row are read as one string.
-        join = np.zeros(len(s), bool)
-        join[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
-        head = np.flatnonzero(~join)
-        e = np.append(s[head[1:]], e[-1]) if len(head) else e
-        s, doc = s[head], doc[head]
-    n = e - s
-    long = n > PIECE
-    if long.any():
-        pieces = np.where(long, -(-(n - PIECE) // (PIECE // 2)) + 1, 1)
-        which = np.repeat(np.arange(len(n)), pieces)
-        off = (ranges(np.zeros(len(n), np.int64), pieces)) * (PIECE // 2)
-        s2 = s[which] + off
-        n = np.minimum(n[which] - off, PIECE)
-        s, doc = s2, doc[which]
-    return sym, s, n, doc
-
-
-def features(sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subsequences of each string: (string, subsequence, weight), equal ones summed."""
-    who, what, weight = [], [], []
+    return sym[sym > 0], s[some], e[some], sentence[some], of
+
+
+def windows(s: np.ndarray, e: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and sentence of every run of whole tokens of 3 to WINDOW letters; longer tokens in overlapping pieces."""
+    long = np.flatnonzero(e - s > WINDOW)
+    n = (e - s)[long]
+    pieces = -(-(n - WINDOW) // (WINDOW // 2)) + 1
+    off = ranges(np.zeros(len(n), np.int64), pieces) * (WINDOW // 2)
+    which = np.repeat(np.arange(len(n)), pieces)
+    out = [(s[long][which] + off, np.minimum(n[which] - off, WINDOW), sentence[long][which])]
+    i = np.flatnonzero(e - s <= WINDOW)
+    k = 0
+    while len(i):
+        n = e[i + k] - s[i]
+        good = n >= 3
+        out.append((s[i][good], n[good], sentence[i][good]))
+        k += 1
+        i = i[i + k < len(s)]
+        i = i[(sentence[i + k] == sentence[i]) & (e[i + k] - s[i] <= WINDOW)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _codes(sym: np.ndarray) -> Iterator[tuple[np.ndarray, int, float]]:
+    """(subsequences, reach, weight) of each pair of gaps: the numbers of those that begin at the first letters, in order."""
+    wide = sym.astype(np.int32)
     for a, b in _PAIRS:
-        m = np.maximum(n - b, 0)
-        i = ranges(s, m)
-        who.append(np.repeat(np.arange(len(n)), m))
-        what.append((sym[i].astype(np.int64) << 10) | (sym[i + a].astype(np.int64) << 5) | sym[i + b])
-        weight.append(np.full(len(i), DECAY ** (b - 2), np.float32))
-    key = np.concatenate(who) << 15 | np.concatenate(what)
-    weight = np.concatenate(weight)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(weight, at) if len(at) else weight
-    key = key[at]
-    return key >> 15, key & 32767, total
+        n = max(sym.shape[-1] - b, 0)
+        yield (wide[..., :n] << 2 * _BITS) | (wide[..., a : n + a] << _BITS) | wide[..., b : n + b], b, DECAY ** (b - 2)
+
+
+def _all_codes(sym: np.ndarray, s: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(subsequences, weights, norms) of strings of one length: a row of subsequences for each string."""
+    each = list(_codes(sym[s[:, None] + np.arange(size)]))
+    code = np.concatenate([c for c, _, _ in each], 1)
+    weight = np.concatenate([np.full(c.shape[1], w, np.float32) for c, _, w in each])
+    # Equal subsequences of a string are summed before they are squared.
+    bits = max(1, int(len(weight) - 1).bit_length())
+    packed = np.sort((code << bits) | np.arange(len(weight), dtype=np.int32), 1)
+    w = weight[packed & ((1 << bits) - 1)].ravel()
+    packed >>= bits
+    new = np.ones(packed.shape, bool)
+    new[:, 1:] = packed[:, 1:] != packed[:, :-1]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(w, at) ** 2
+    return code, weight, np.sqrt(np.add.reduceat(total, np.append(0, np.cumsum(new.sum(1))[:-1])))
 
 
 class Kernel:
-    """The kernel of strings against fixed landmarks, each given as a string's features."""
+    """Kernels of strings with fixed landmark strings; all have 3 to WINDOW letters."""
 
     def __init__(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray):
-        who, what, weight = features(sym, s, n)
-        norm = np.sqrt(np.maximum(np.bincount(who, weight * weight, len(n)), 1e-12))
-        self.table = np.zeros((32768, len(n)), np.float32)
-        self.table[what, who] = weight / norm[who]
-        self.bound = self.table.max(1)
-
-    def __call__(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        who, what, weight = features(sym, s, n)
-        out = np.zeros((len(n), self.table.shape[1]), np.float32)
-        if len(who):
-            at = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-            own = np.sqrt(np.add.reduceat(weight * weight, at))
-            out[who[at]] = np.add.reduceat(self.table[what] * weight[:, None], at) / own[:, None]
-        return out * out
+        who, what, weight = [], [], []
+        for k, (at, size) in enumerate(zip(s.tolist(), n.tolist(), strict=True)):
+            code, w, norm = _all_codes(sym, np.array([at]), size)
+            who.append(np.full(len(w), k)), what.append(code[0]), weight.append(w / norm[0])
+        what, row = np.unique(np.concatenate(what), return_inverse=True)
+        table = np.zeros((len(what) + 1, len(n)), np.float32)
+        np.add.at(table, (row + 1, np.concatenate(who)), np.concatenate(weight))
+        # Landmarks that are alike form a group; empty places fill the last ones up.
+        alike, free, groups_ = table.T @ table, list(range(len(n))), []
+        self.size = -(-len(n) // GROUPS)
+        while free:
+            own = sorted(free, key=lambda k: -alike[free[0], k])[: self.size]
+            groups_.append(own)
+            free = [k for k in free if k not in set(own)]
+        #: Place of each landmark among the columns.
+        self.column = np.zeros(len(n), np.int64)
+        self.table = np.zeros((len(what) + 1, len(groups_), self.size), np.float32)
+        for g, own in enumerate(groups_):
+            self.table[:, g, : len(own)] = table[:, own]
+            self.column[own] = g * self.size + np.arange(len(own))
+        #: Subsequences of landmarks have a row in the table; row 0 is that of all others.
+        self.row = np.zeros(_CODES, np.int32)
+        self.row[what] = np.arange(1, len(what) + 1)
+        #: The most that any landmark of a group has of a subsequence, by its weight, rounded up to _UNIT.
+        self.most = {b: np.ceil(self.table.max(2) * np.float32(DECAY ** (b - 2)) / _UNIT).astype(np.uint16) for _, b in _PAIRS}
+
+    def strings(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
+        """Kernel of each string with each landmark, less FLOOR, scaled and squared; only with the groups that are ``near`` it."""
+        g = self.table.shape[1]
+        who, group = np.nonzero(np.ones((len(n), g), bool) if near is None else near)
+        out = np.zeros((len(n), g, self.size), np.float32)
+        size_of = n[who]
+        for size in np.unique(size_of).tolist():
+            mine = np.flatnonzero(size_of == size)
+            for k in range(0, len(mine), 2000):
+                own = mine[k : k + 2000]
+                code, weight, norm = _all_codes(sym, s[who[own]], size)
+                row, of = self.row[code].T.copy(), group[own]
+                total = np.zeros((len(own), self.size), np.float32)
+                for j, w in enumerate(weight):
+                    total += self.table[row[j], of] * w
+                out[who[own], of] = np.maximum((total / norm[:, None] - FLOOR) / (1 - FLOOR), 0) ** 2
+        return out.reshape(len(n), -1)[:, self.column]
+
+    def near(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Strings that can have a kernel above FLOOR, and with which groups, by a bound from above.
+
+        No landmark of a group has more of a subsequence than ``most``, and no string has a smaller norm than its length's.
+        """
+        g = self.table.shape[1]
+        total = np.zeros((len(sym) + 1, g), np.uint32)
+        for lo in range(0, len(sym), 16384):
+            part = sym[lo : lo + 16384 + SPAN]
+            each = np.zeros((min(16384, len(sym) - lo), g), np.uint16)
+            for code, b, _ in _codes(part):
+                code = code[: len(each)]
+                each[: len(code)] += self.most[b][self.row[code]]
+            np.cumsum(each, axis=0, dtype=np.uint32, out=total[lo + 1 : lo + 1 + len(each)])
+            total[lo + 1 : lo + 1 + len(each)] += total[lo]
+        # Subsequences begin three letters before the window's end at the latest.
+        least = (FLOOR * _NORM / _UNIT).astype(np.uint32)[n]
+        kept, masks = [], []
+        for lo in range(0, len(s), 65536):
+            own = slice(lo, lo + 65536)
+            mask = total[s[own] + n[own] - 2] - total[s[own]] >= least[own, None]
+            some = np.flatnonzero(mask.any(1))
+            kept.append(some + lo), masks.append(mask[some])
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64), np.concatenate(masks) if masks else np.zeros((0, g), bool)
 
 
 class Model:
-    """Landmarks, Nystrom map and SVM weights; ``score`` maps a margin to 0 to 1."""
+    """Landmarks, Nystrom map and SVM weights; ``margins`` are those of sentences."""
 
     def __init__(self, kernel: Kernel, root: np.ndarray, weight: np.ndarray, bias: float):
         self.kernel, self.beta, self.bias = kernel, (root @ weight).astype(np.float32), float(bias)
-        self.known: dict[int, float] = {}
+        self._forget()
 
-    def margins(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of every string; each distinct one is computed once."""
-        if not len(s):
-            return np.zeros(0, np.float32)
-        value, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        got = np.fromiter((self.known.get(v, np.nan) for v in value.tolist()), np.float32, len(value))
-        new = np.flatnonzero(np.isnan(got))
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            got[part] = self.kernel(sym, s[first[part]], n[first[part]]) @ self.beta + self.bias
-        self.known.update(zip(value[new].tolist(), got[new].tolist(), strict=True))
-        return got[which]
+    def _forget(self) -> None:
+        #: Windows that this worker has seen (by hash, sorted), and what they are worth.
+        self.known, self.known_worth = np.zeros(1, np.uint64), np.zeros(1, np.float32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": np.zeros(1, np.uint64), "known_worth": np.zeros(1, np.float32)}
+
+    def margins(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(margin and document of each sentence; the windows that count: symbols, start, length, sentence and worth)."""
+        sym, s, e, sentence, doc = sentences(buf, at)
+        s, n, sentence = windows(s, e, sentence)
+        near, groups_ = self.kernel.near(sym, s, n)
+        s, n, sentence = s[near], n[near], sentence[near]
+        value, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        place = np.searchsorted(self.known, value)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != value)
+        # Equal windows have one bound but for what follows them; groups out of bound add nothing.
+        own = first[new]
+        worth = self.kernel.strings(sym, s[own], n[own], groups_[own]) @ self.beta
+        self.known, self.known_worth = np.insert(self.known, place[new], value[new]), np.insert(self.known_worth, place[new], worth)
+        worth = self.known_worth[np.searchsorted(self.known, value)][which]
+        return np.bincount(sentence, worth, len(doc)) + self.bias, doc, (sym, s, n, sentence, worth)
 
 
 def probability(margin: np.ndarray) -> np.ndarray:
@@ -205,85 +311,125 @@ def _variants(sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
         own = sym[a : a + k]
         for v in range(VARIANTS):
             at = int(rng.integers(1, k))
-            out.append(np.insert(own, at, own[at - 1] if v % 2 else rng.integers(1, 27)))
+            out.append(np.insert(own, at, own[at - 1] if v % 2 else rng.integers(1, 27))[:WINDOW])
     length = np.array([len(x) for x in out])
     return np.concatenate(out).astype(np.uint8), np.cumsum(length) - length, length
 
 
+def _spread(sym: np.ndarray, s: np.ndarray, n: np.ndarray, merit: np.ndarray) -> list[int]:
+    """LANDMARKS strings of most merit, where what a string has in common with one that is chosen counts for nothing more."""
+    alike = Kernel(sym, s, n).strings(sym, s, n)
+    left, out = merit.astype(np.float64), []
+    while len(out) < LANDMARKS and left.max(initial=0) > 0:
+        out.append(int(np.argmax(left)))
+        left = np.minimum(left, merit * (1 - np.minimum(alike[:, out[-1]], 1)))
+        left[out] = 0
+    return out
+
+
+def _distinct(sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
+    return first, which
+
+
 def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
-    """Train on labelled texts; None if a class is missing."""
+    """Train on labelled texts; None if a class is missing or no text has a string of three letters."""
     toxic = np.asarray(toxic).astype(bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return None
     buf, at = as_bytes(pa.array(texts, pa.string()))
-    sym, s, n, doc = strings(buf, at)
-    some = n >= 3
-    s, n, doc = s[some], n[some], doc[some]
+    sym, ts, te, t_sentence, doc_of = sentences(buf, at)
+    s, n, sentence = windows(ts, te, t_sentence)
     if not len(s):
         return None
-    _, first, which = np.unique(span_hash(sym, s, s + n, _SEED), return_index=True, return_inverse=True)
-    pairs, at_first = np.unique(doc.astype(np.int64) * len(first) + which, return_index=True)
-    bag, word = pairs // len(first), pairs % len(first)
-    # A string counts once a text, by the string that it first follows there, and once for each such string: neither
-    # copies of a text nor what one text repeats bring up anything new.
-    before = np.where(np.append(True, doc[1:] != doc[:-1]), 0, np.append(0, which[:-1] + 1))[at_first]
+    # What tells toxic texts: tokens (windows that are one token or a piece of one), by the number of different strings
+    # before them, so that neither copies of a text nor what one text repeats bring up anything new.
+    token = np.flatnonzero(np.isin(s, ts) & (n == np.minimum(te[np.searchsorted(ts, s, "right") - 1] - s, WINDOW)))
+    token = token[np.argsort(s[token], kind="stable")]
+    first, which = _distinct(sym, s[token], n[token])
+    bag = doc_of[sentence[token]]
+    before = np.where(np.append(True, bag[1:] != bag[:-1]), 0, np.append(0, which[:-1] + 1))
+    once = np.unique(bag * len(first) + which, return_index=True)[1]
 
     def contexts(own: np.ndarray) -> np.ndarray:
-        return np.bincount(np.unique(word[own].astype(np.int64) * (len(first) + 1) + before[own]) // (len(first) + 1), minlength=len(first))
+        own = once[own[bag[once]]]
+        return np.bincount(np.unique(which[own] * (len(first) + 1) + before[own]) // (len(first) + 1), minlength=len(first))
 
-    in_toxic, in_clean = contexts(toxic[bag]), contexts(~toxic[bag])
+    in_toxic, in_clean = contexts(toxic), contexts(~toxic)
     rate = np.log((in_toxic + 0.5) / (in_toxic.sum() + 1)) - np.log((in_clean + 0.5) / (in_clean.sum() + 1))
-    # Landmarks: strings that tell toxic texts, and the commonest and the rarest of clean ones.
     merit = np.where(in_toxic >= 2, in_toxic * np.maximum(rate, 0), 0)
-    most = LANDMARKS * 3 // 4
-    marks = [k for k in np.argsort(-merit, kind="stable")[:most].tolist() if merit[k] > 0]
-    clean = np.argsort(-in_clean, kind="stable")
-    marks += [k for k in clean[:: max(1, len(clean) // (4 * LANDMARKS))].tolist() if k not in set(marks)][: LANDMARKS - len(marks)]
-    at_marks = first[np.array(marks)]
-    kernel = Kernel(sym, s[at_marks], n[at_marks])
-    value, vector = np.linalg.eigh(kernel(sym, s[at_marks], n[at_marks]).astype(np.float64) + 1e-3 * np.eye(len(marks)))
+    if not merit.any():
+        merit = np.exp(rate)  # too few texts to compare rates
+    pool = np.argsort(-merit, kind="stable")[:POOL]
+    marks = token[first[pool[_spread(sym, s[token[first[pool]]], n[token[first[pool]]], merit[pool])]]]
+    # Clean windows of any tokens that come closest to them.
+    kernel = Kernel(sym, s[marks], n[marks])
+    clean = np.flatnonzero(~toxic[doc_of[sentence]])
+    clean = clean[kernel.near(sym, s[clean], n[clean])[0]]
+    clean = clean[_distinct(sym, s[clean], n[clean])[0]]
+    close = kernel.strings(sym, s[clean], n[clean]).max(1, initial=0)
+    order = np.argsort(-close, kind="stable")
+    order = order[close[order] > 0][:NEAR_LANDMARKS]
+    marks = np.concatenate([marks, clean[order]])
+    marks = marks[_distinct(sym, s[marks], n[marks])[0]]
+    kernel = Kernel(sym, s[marks], n[marks])
+    value, vector = np.linalg.eigh(kernel.strings(sym, s[marks], n[marks]).astype(np.float64) + 1e-3 * np.eye(len(marks)))
     root = vector / np.sqrt(np.maximum(value, 1e-3))
-    x = np.empty((len(first), root.shape[1]), np.float32)
-    for k in range(0, len(first), 2000):
-        x[k : k + 2000] = kernel(sym, s[first[k : k + 2000]], n[first[k : k + 2000]]) @ root
-    order = np.argsort(bag, kind="stable")
-    bag, word = bag[order], word[order]
-    starts = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
-    clean_words = np.flatnonzero(in_clean > 0)
-    margin = np.where(in_toxic >= 2, rate, -9.0).astype(np.float64)
-    # Strings that toxic texts alone bring up again and again are toxic wherever they stand; so are variants of
-    # them with one letter more, which teach the machine to bear insertions.
-    plain = np.flatnonzero((in_toxic >= 5) & (rate >= PLAIN))
-    varied = plain[np.argsort(-merit[plain], kind="stable")[:VARIED]]
-    more = kernel(*_variants(sym, s[first[varied]], n[first[varied]])) @ root if len(varied) else x[:0]
-    told_apart = (rate >= TELLING) & (in_toxic >= 2)
-    if not told_apart.any():
-        told_apart = in_toxic > 0  # too few texts to compare rates
-    w = None
-    for _ in range(4):
-        # The worst string of each toxic text against all strings of clean texts, the hardest first. A text none of
-        # whose strings is commoner in toxic texts bears no witness: its label says nothing about its strings.
-        telling = np.where(told_apart, margin, -np.inf)
-        worst_of = (b[np.argmax(telling[b])] for b, o in zip(np.split(word, starts[1:]), bag[starts], strict=True) if toxic[o])
-        witness = np.unique(np.array([k for k in worst_of if told_apart[k]], np.int64))
-        hard = clean_words if w is None else clean_words[np.argsort(-margin[clean_words], kind="stable")[:20_000]]
-        if w is None and len(hard) > 20_000:
-            hard = hard[:: len(hard) // 20_000 + 1]
-        rows = np.concatenate([np.union1d(witness, plain), hard])
-        told = np.concatenate([np.ones(len(more)), np.where(np.arange(len(rows)) < len(rows) - len(hard), 1.0, -1.0)])
-        often = np.where(told[len(more) :] > 0, in_toxic[rows], 1.0 + LOUD * (margin[rows] > -1))
-        w = _svm(np.concatenate([more, x[rows]]), told, np.concatenate([np.repeat(in_toxic[varied] / (2 * VARIANTS), VARIANTS), often]))
+    # All sentences in Nystrom space: sums over their windows.
+    near, groups_ = kernel.near(sym, s, n)
+    f2, w2 = _distinct(sym, s[near], n[near])
+    each = kernel.strings(sym, s[near][f2], n[near][f2], groups_[f2])
+    counts = each.any(1)[w2]
+    near, w2 = near[counts], w2[counts]
+    x = np.stack([np.bincount(sentence[near], column[w2], len(doc_of)) for column in each.T], 1)
+    some = x.any(1)
+    x = x @ root
+    # Strings that toxic texts alone bring up again and again are toxic in any sentence, and so are their variants.
+    plain = token[first[(in_toxic >= 5) & (rate >= PLAIN)]]
+    more = kernel.strings(sym, s[plain], n[plain])
+    if len(plain):
+        more = np.concatenate([more, kernel.strings(*_variants(sym, s[plain], n[plain]))])
+    more = more @ root
+    more_weight = np.concatenate([np.ones(len(plain)), np.full(len(plain) * VARIANTS, 1 / VARIANTS)])
+    telling = np.full(len(doc_of), -np.inf)
+    np.maximum.at(telling, sentence[token], np.where(in_toxic >= 2, rate, -np.inf)[which])
+    if not (telling[toxic[doc_of]] >= TELLING).any():
+        telling = np.zeros(len(doc_of))  # too few texts to compare rates
+    clean_rows = np.flatnonzero(~toxic[doc_of])
+    # Sentences without any window near a landmark are all alike: one row stands for them, with their number.
+    bare = clean_rows[~some[clean_rows]]
+    rows_clean = np.concatenate([clean_rows[some[clean_rows]], bare[:1]])
+    clean_weight = np.ones(len(rows_clean))
+    if len(bare):
+        clean_weight[-1] = len(bare)
+    margin = telling.copy()
+    w = np.zeros(x.shape[1] + 1)
+    was = None
+    for _ in range(20):
+        # The worst sentence of each toxic text. A text none of whose strings is commoner in toxic texts bears no witness:
+        # its label says nothing about its sentences.
+        can = np.flatnonzero(toxic[doc_of] & (telling >= TELLING) if np.isfinite(telling).any() else toxic[doc_of])
+        can = can[np.lexsort((-margin[can], doc_of[can]))]
+        witness = can[groups(doc_of[can])[0]]
+        if was is not None and np.array_equal(witness, was):
+            break
+        was = witness
+        y = np.concatenate([np.ones(len(more) + len(witness)), -np.ones(len(rows_clean))])
+        w = _svm(np.concatenate([more, x[witness], x[rows_clean]]), y, np.concatenate([more_weight, np.ones(len(witness)), clean_weight]))
         margin = x @ w[:-1] + w[-1]
-    worst = np.maximum.reduceat(margin[word], starts)
-    own = toxic[bag[starts]]
-    # The border: where clean and toxic training texts part with fewest errors, so that stray labels do not pull it in.
-    cut = np.sort(worst)
+    return Model(kernel, root, w[:-1], float(w[-1]) - _border(margin, doc_of, toxic))
+
+
+def _border(margin: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> float:
+    """Where clean and toxic training texts part with fewest errors; the middle of all such places."""
+    at, _ = groups(doc)
+    worst, own = np.maximum.reduceat(margin, at), toxic[doc[at]]
+    cut = np.unique(worst)
     cut = (cut[1:] + cut[:-1]) / 2 if len(cut) > 1 else np.zeros(1)
     t, f = np.sort(worst[own]), np.sort(worst[~own])
     loss = np.searchsorted(t, cut) + len(f) - np.searchsorted(f, cut)
     good = np.flatnonzero(loss == loss.min())
-    border = float(cut[good].mean())
-    return Model(kernel, root, w[:-1], float(w[-1]) - border)
+    return float(cut[good].mean())
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", most: int = LEARN_DOCS) -> Model | None:
@@ -300,7 +446,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, worst) per row; ``worst`` is the string that decided."""
+    """(id, score, worst) per row; ``worst`` is the window that weighs most in the worst sentence, null if none is near a landmark."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +455,13 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             margin = np.full(b.num_rows, -20.0)
             worst: list[str | None] = [None] * b.num_rows
             if model is not None:
-                sym, s, n, doc = strings(buf, at)
-                got = model.margins(sym, s, n)
-                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-                for i, j in zip(first.tolist(), np.append(first[1:], len(doc)).tolist(), strict=True):
-                    k = i + int(np.argmax(got[i:j]))
-                    margin[doc[i]] = got[k]
-                    worst[doc[i]] = "".join(chr(96 + c) if c < 27 else "*" for c in sym[s[k] : s[k] + n[k]].tolist())
+                got, doc, (sym, s, n, sentence, worth) = model.margins(buf, at)
+                np.maximum.at(margin, doc, got)
+                # The window that is worth most in the document's worst sentence.
+                chosen = np.flatnonzero((got[sentence] == margin[doc[sentence]]) & (worth > 0))
+                chosen = chosen[np.lexsort((-worth[chosen], doc[sentence[chosen]]))]
+                for k in chosen[groups(doc[sentence[chosen]])[0]].tolist():
+                    worst[doc[sentence[k]]] = "".join(chr(96 + c) if c < OTHER else "*" for c in sym[s[k] : s[k] + n[k]].tolist())
             yield pa.record_batch([b.column(0), pa.array(probability(margin)), pa.array(worst, pa.string())], names=["id", "score", "worst"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, worst string")
