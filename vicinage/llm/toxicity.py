@@ -213,7 +213,7 @@ class Kernel:
                 for j, w in enumerate(weight):
                     total += self.table[row[j], of] * w
                 out[who[own], of] = np.maximum((total / norm[:, None] - FLOOR) / (1 - FLOOR), 0) ** 2
-        return out.reshape(len(n), -1)[:, self.column]
+        return out.reshape(len(n), g * self.size)[:, self.column]
 
     def near(self, sym: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Strings that can have a kernel above FLOOR, and with which groups, by a bound from above.
@@ -221,24 +221,23 @@ class Kernel:
         No landmark of a group has more of a subsequence than ``most``, and no string has a smaller norm than its length's.
         """
         g = self.table.shape[1]
-        total = np.zeros((len(sym) + 1, g), np.uint32)
+        least = (FLOOR * _NORM / _UNIT).astype(np.uint32)
+        order = np.argsort(s, kind="stable")
+        kept, masks = [np.zeros(0, np.int64)], [np.zeros((0, g), bool)]
         for lo in range(0, len(sym), 16384):
-            part = sym[lo : lo + 16384 + SPAN]
-            each = np.zeros((min(16384, len(sym) - lo), g), np.uint16)
+            part = sym[lo : lo + 16384 + WINDOW]
+            each = np.zeros((len(part), g), np.uint16)
             for code, b, _ in _codes(part):
-                code = code[: len(each)]
                 each[: len(code)] += self.most[b][self.row[code]]
-            np.cumsum(each, axis=0, dtype=np.uint32, out=total[lo + 1 : lo + 1 + len(each)])
-            total[lo + 1 : lo + 1 + len(each)] += total[lo]
-        # Subsequences begin three letters before the window's end at the latest.
-        least = (FLOOR * _NORM / _UNIT).astype(np.uint32)[n]
-        kept, masks = [], []
-        for lo in range(0, len(s), 65536):
-            own = slice(lo, lo + 65536)
-            mask = total[s[own] + n[own] - 2] - total[s[own]] >= least[own, None]
+            total = np.zeros((len(part) + 1, g), np.uint32)
+            np.cumsum(each, axis=0, dtype=np.uint32, out=total[1:])
+            own = order[slice(*np.searchsorted(s, (lo, lo + 16384), sorter=order))]
+            at = s[own] - lo
+            # Subsequences begin three letters before the window's end at the latest.
+            mask = total[at + n[own] - 2] - total[at] >= least[n[own], None]
             some = np.flatnonzero(mask.any(1))
-            kept.append(some + lo), masks.append(mask[some])
-        return np.concatenate(kept) if kept else np.zeros(0, np.int64), np.concatenate(masks) if masks else np.zeros((0, g), bool)
+            kept.append(own[some]), masks.append(mask[some])
+        return np.concatenate(kept), np.concatenate(masks)
 
 
 class Model:
@@ -281,23 +280,36 @@ def probability(margin: np.ndarray) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Squared-hinge linear SVM with intercept by Newton steps; the weights of either class sum to the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
     c = np.where(y > 0, 1 / weight[y > 0].sum(), 1 / weight[y < 0].sum()) * weight
-    reg = np.diag(np.append(np.full(x.shape[1] - 1, 1e-4), 1e-8))
-    w = np.zeros(x.shape[1])
+    m = x.shape[1]
+    reg = np.diag(np.append(np.full(m, 1e-4), 1e-8))
+    w = np.zeros(m + 1)
     live = np.ones(len(x), bool)
+
+    def loss(w: np.ndarray) -> float:
+        return float(reg.diagonal() @ (w * w) + c @ np.maximum(0, 1 - y * (x @ w[:m] + w[m])) ** 2)
+
+    def moments(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted second moments of the rows with a one beside them, and those with the labels; a block of rows at a time."""
+        square, cross = np.zeros((m + 1, m + 1)), np.zeros(m + 1)
+        for k in range(0, len(own), 8192):
+            part = own[k : k + 8192]
+            z = np.hstack([x[part], np.ones((len(part), 1))])
+            square += (z * c[part, None]).T @ z
+            cross += z.T @ (c[part] * y[part])
+        return square, cross
+
     for _ in range(rounds):
-        part = x[live] * c[live, None]
-        full = np.linalg.solve(reg + part.T @ x[live], part.T @ y[live])
-        step = 1.0
-        old = reg.diagonal() @ (w * w) + c @ np.maximum(0, 1 - y * (x @ w)) ** 2
+        square, cross = moments(np.flatnonzero(live))
+        full = np.linalg.solve(reg + square, cross)
+        step, old = 1.0, loss(w)
         while step > 1e-3:
             new = w + step * (full - w)
-            if reg.diagonal() @ (new * new) + c @ np.maximum(0, 1 - y * (x @ new)) ** 2 <= old + 1e-12:
+            if loss(new) <= old + 1e-12:
                 break
             step /= 2
         w, was = new, live
-        live = y * (x @ w) < 1
+        live = y * (x @ w[:m] + w[m]) < 1
         if step == 1.0 and (live == was).all():
             break
     return w
@@ -381,42 +393,43 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Model | None:
     each = kernel.strings(sym, s[near][f2], n[near][f2], groups_[f2])
     counts = each.any(1)[w2]
     near, w2 = near[counts], w2[counts]
-    x = np.stack([np.bincount(sentence[near], column[w2], len(doc_of)) for column in each.T], 1)
-    some = x.any(1)
-    x = x @ root
+    # Sentences without any window near a landmark are all alike and have no row of their own (row -1).
+    some = np.unique(sentence[near])
+    row = np.full(len(doc_of), -1, np.int64)
+    row[some] = np.arange(len(some))
+    x = np.stack([np.bincount(row[sentence[near]], column[w2], len(some)).astype(np.float32) for column in each.T], 1)
+    x = np.concatenate([x @ root, np.zeros((1, len(marks)))]).astype(np.float32)
     # Strings that toxic texts alone bring up again and again are toxic in any sentence, and so are their variants.
     plain = token[first[(in_toxic >= 5) & (rate >= PLAIN)]]
     more = kernel.strings(sym, s[plain], n[plain])
     if len(plain):
         more = np.concatenate([more, kernel.strings(*_variants(sym, s[plain], n[plain]))])
-    more = more @ root
+    more = (more @ root).astype(np.float32)
     more_weight = np.concatenate([np.ones(len(plain)), np.full(len(plain) * VARIANTS, 1 / VARIANTS)])
     telling = np.full(len(doc_of), -np.inf)
     np.maximum.at(telling, sentence[token], np.where(in_toxic >= 2, rate, -np.inf)[which])
-    if not (telling[toxic[doc_of]] >= TELLING).any():
-        telling = np.zeros(len(doc_of))  # too few texts to compare rates
-    clean_rows = np.flatnonzero(~toxic[doc_of])
-    # Sentences without any window near a landmark are all alike: one row stands for them, with their number.
-    bare = clean_rows[~some[clean_rows]]
-    rows_clean = np.concatenate([clean_rows[some[clean_rows]], bare[:1]])
-    clean_weight = np.ones(len(rows_clean))
-    if len(bare):
-        clean_weight[-1] = len(bare)
+    can = toxic[doc_of] & (telling >= TELLING)
+    if not can.any():
+        can = toxic[doc_of]  # too few texts to compare rates
+    can = np.flatnonzero(can)
+    clean_rows = row[~toxic[doc_of]]
+    bare = int((clean_rows < 0).sum())
+    rows_clean = np.concatenate([clean_rows[clean_rows >= 0], np.full(min(bare, 1), -1)])
+    clean_weight = np.concatenate([np.ones(len(clean_rows) - bare), np.full(min(bare, 1), float(bare))])
     margin = telling.copy()
     w = np.zeros(x.shape[1] + 1)
     was = None
     for _ in range(20):
         # The worst sentence of each toxic text. A text none of whose strings is commoner in toxic texts bears no witness:
         # its label says nothing about its sentences.
-        can = np.flatnonzero(toxic[doc_of] & (telling >= TELLING) if np.isfinite(telling).any() else toxic[doc_of])
         can = can[np.lexsort((-margin[can], doc_of[can]))]
         witness = can[groups(doc_of[can])[0]]
         if was is not None and np.array_equal(witness, was):
             break
         was = witness
         y = np.concatenate([np.ones(len(more) + len(witness)), -np.ones(len(rows_clean))])
-        w = _svm(np.concatenate([more, x[witness], x[rows_clean]]), y, np.concatenate([more_weight, np.ones(len(witness)), clean_weight]))
-        margin = x @ w[:-1] + w[-1]
+        w = _svm(np.concatenate([more, x[row[witness]], x[rows_clean]]), y, np.concatenate([more_weight, np.ones(len(witness)), clean_weight]))
+        margin = (x @ w[:-1] + w[-1])[row]
     return Model(kernel, root, w[:-1], float(w[-1]) - _border(margin, doc_of, toxic))
 
 
