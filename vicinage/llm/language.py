@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NOT_LETTER, blocks, fold, words
+from .blocks import NOT_LETTER, blocks, fold, ranges, words
 
 UNKNOWN = "und"
 BITS = 15
 #: Labelled documents of each language from which its model is learned, at most (chosen by hash).
 LEARN_DOCS = 4000
-ROUNDS = 8
+#: Expectation-maximisation of a document ends when no proportion moves by more than this.
+TOLERANCE = 1e-3
 
 
 def trigrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,18 +97,27 @@ class Mixture:
         return full, chosen
 
     def _em(self, rel, which, at, size, pi) -> tuple[np.ndarray, np.ndarray]:
-        pi = pi.astype(np.float64)
-        total = None
-        for _ in range(ROUNDS):
-            share = rel * pi.T.astype(np.float32)[:, which]
+        """(proportions, log-likelihood) of each document; those that have settled leave the rounds."""
+        pi, like = pi.astype(np.float64), np.zeros(len(size))
+        live = np.arange(len(size))
+        while len(live):
+            share = rel * pi[live].T.astype(np.float32)[:, which]
             total = np.maximum(share.sum(0), np.float32(1e-30))
-            pi = (np.add.reduceat(share / total, at, axis=1) / size).T.astype(np.float64)
-        return pi, np.add.reduceat(np.log(total.astype(np.float64)), at)
+            new = (np.add.reduceat(share / total, at, axis=1) / size).T.astype(np.float64)
+            like[live] = np.add.reduceat(np.log(total.astype(np.float64)), at)
+            moved = np.abs(new - pi[live]).max(1) > TOLERANCE
+            pi[live] = new
+            if moved.all():
+                continue
+            own = np.flatnonzero(moved)
+            live = live[own]
+            at, rows = _part(at, size, own)
+            size, rel = size[own], rel[:, rows]
+            which = np.repeat(np.arange(len(own)), size.astype(np.int64))
+        return pi, like
 
 
 def _part(at: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from .blocks import ranges
-
     n = size[docs].astype(np.int64)
     return np.cumsum(n) - n, ranges(at[docs], n)
 

@@ -438,11 +438,11 @@ def _border(margin: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> float:
     at, _ = groups(doc)
     worst, own = np.maximum.reduceat(margin, at), toxic[doc[at]]
     cut = np.unique(worst)
-    cut = (cut[1:] + cut[:-1]) / 2 if len(cut) > 1 else np.zeros(1)
+    cut = np.concatenate([cut[:1] - 1, (cut[1:] + cut[:-1]) / 2, cut[-1:] + 1])
     t, f = np.sort(worst[own]), np.sort(worst[~own])
     loss = np.searchsorted(t, cut) + len(f) - np.searchsorted(f, cut)
     good = np.flatnonzero(loss == loss.min())
-    return float(cut[good].mean())
+    return float(cut[good[len(good) // 2]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", most: int = LEARN_DOCS) -> Model | None:
