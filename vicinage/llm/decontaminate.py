@@ -48,7 +48,7 @@ FILTER_BITS = 1 << 24
 
 _SEED = 3
 #: Stands for "no word" in training texts and in items; the two never agree.
-_NO_WORD = (np.uint64(0), np.uint64(1))
+_NO_WORD = (np.uint32(0), np.uint32(1))
 
 
 def _cut_unspaced(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +120,17 @@ def _items_seeds(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.
         yield kind, h[fits], at[fits]
 
 
-def _around(word: np.ndarray, first: np.ndarray, at: np.ndarray, none: np.uint64) -> np.ndarray:
-    """AROUND words about each place, of the same document only."""
+def _around(word: np.ndarray, first: np.ndarray, at: np.ndarray, none: np.uint32) -> np.ndarray:
+    """AROUND words about each place, of the same document only, by 32 bits of their hashes."""
+    word = np.maximum((word >> np.uint64(32)).astype(np.uint32), np.uint32(2))
     doc = np.searchsorted(first, at, "right") - 1
     place = at[:, None] + np.arange(-BEFORE, AROUND - BEFORE)
     inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
-    return np.where(inside, word[np.clip(place, 0, max(len(word) - 1, 0))], none) if len(at) else np.zeros((0, AROUND), np.uint64)
+    return np.where(inside, word[np.clip(place, 0, max(len(word) - 1, 0))], none) if len(at) else np.zeros((0, AROUND), np.uint32)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * AROUND), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AROUND), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
 def _item_table(items: DataFrame) -> DataFrame:
@@ -179,7 +180,10 @@ def agreeing(text: np.ndarray, item: np.ndarray, n: np.ndarray) -> tuple[np.ndar
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """Per hit with a verified window: places in the text that agree inside such windows, and the first and last place covered."""
+    """Per hit with a verified window: the first place that such windows cover, the one after the last, and the places that agree there.
+
+    ``marks`` holds the place of the hit's context and a bit for each of its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +191,7 @@ def _verified(hits: DataFrame) -> DataFrame:
                 part = b.slice(k, 4096)
                 col = {x: part.column(part.schema.get_field_index(x)) for x in part.schema.names}
                 n, at, place = (col[x].to_numpy().astype(np.int64) for x in ("n", "at", "place"))
-                text, item = (np.frombuffer(b"".join(col[x].to_pylist()), np.uint64).reshape(-1, AROUND) for x in ("text_words", "item_words"))
+                text, item = (np.frombuffer(b"".join(col[x].to_pylist()), np.uint32).reshape(-1, AROUND) for x in ("text_words", "item_words"))
                 same, good = agreeing(text, item, n)
                 # A line of its own agrees as a whole; what stands around it does not count.
                 line = col["kind"].to_numpy() == 2
@@ -199,11 +203,13 @@ def _verified(hits: DataFrame) -> DataFrame:
                 np.add.at(edge, (r, c), 1)
                 np.add.at(edge, (r, c + w[r]), -1)
                 covered = np.cumsum(edge, 1)[:, :AROUND] > 0
-                r, c = np.nonzero(covered)
-                take = pa.array(r)
-                yield pa.record_batch([col["id"].take(take), col["th"].take(take), col["item"].take(take), pa.array((at - place)[r]), pa.array(at[r] + c - BEFORE), pa.array(same[r, c])], names=["id", "th", "item", "diagonal", "word", "same"])
+                some = np.flatnonzero(covered.any(1))
+                covered, base = covered[some], at[some] - BEFORE
+                marks = (base + BEFORE << 32) | ((same[some] & covered) << np.arange(AROUND)).sum(1)
+                take = pa.array(some)
+                yield pa.record_batch([col["id"].take(take), col["th"].take(take), col["item"].take(take), pa.array((at - place)[some]), pa.array(base + covered.argmax(1)), pa.array(base + AROUND - covered[:, ::-1].argmax(1)), pa.array(marks)], names=["id", "th", "item", "diagonal", "start", "end", "marks"])
 
-    return hits.mapInArrow(run, "id long, th long, item long, diagonal long, word long, same boolean")
+    return hits.mapInArrow(run, "id long, th long, item long, diagonal long, start long, end long, marks long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -225,9 +231,10 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     # Written before they are joined, so that a hot seed is split as a skewed join.
     found = materialize(_text_table(_keyed(docs, id_col, text_col), passing), "text_seeds")
     hits = found.join(seeds, ["hash", "kind"])
-    # A word that two seeds of a diagonal see is one word.
-    seen = _verified(hits).groupBy("id", "th", "item", "diagonal", "word").agg(F.max("same").alias("same"))
-    return seen.groupBy("id", "th", "item", "diagonal").agg(F.min("word").alias("start"), (F.max("word") - F.min("word") + 1).alias("length"), F.count(F.when(F.col("same"), 1)).alias("matches"))
+    found = _verified(hits).groupBy("id", "th", "item", "diagonal").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("marks").alias("marks"))
+    # A word that several seeds of a diagonal see is one word; a diagonal has no more seeds than twice the item's words.
+    seen = F.transform("marks", lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(AROUND - 1)), lambda i: F.getbit(m, i) == 1), lambda i: F.shiftright(m, 32) + i))
+    return found.select("id", "th", "item", "start", (F.col("end") - F.col("start")).alias("length"), F.size(F.array_distinct(F.flatten(seen))).cast("long").alias("matches"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
