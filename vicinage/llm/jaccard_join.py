@@ -439,7 +439,7 @@ def _cluster_links(sets: DataFrame, percent: int, width: int, count: int) -> Dat
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links, equal_sets) per row.
+    """(id, th, n_shingles, component_id, n_links, equal_sets) per row; ``th`` is the 64-bit hash of the text (null: empty).
 
     ``equal_sets`` counts the rows with the same set; ``n_links`` all different
     sets that link to the row's, each verified exactly.
@@ -447,7 +447,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
     spark = docs.sparkSession
     count = parts(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(id_col).cast("long").alias("own_id"), F.crc32(text.cast("binary")).alias("th"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sets = materialize(_sets(rows, width), "sets")
     classes = materialize(sets.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("equal_sets")), "set_classes")
     maybe = materialize(_maybe_linked(rows, percent, width, count), "maybe_linked")
