@@ -79,7 +79,7 @@ def tokens(url: Column) -> Column:
     keys = F.when(F.size(keys) > 0, F.array(F.concat(F.lit("keys="), F.array_join(keys, "&")))).otherwise(F.array().cast("array<string>"))
     scheme = F.array(F.concat(F.lit("scheme="), F.lower(F.substring_index(url, "://", 1))))
     mark = F.when(F.instr(url, "#") > 0, F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
-    return F.coalesce(F.array_distinct(F.concat(scheme, named, paths, keys, mark)), F.array().cast("array<string>"))
+    return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(scheme, named, paths, keys, mark)))
 
 
 def mine(labelled: DataFrame, url_col: str, bad: Column, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_errors: float = MIN_ERRORS) -> tuple[DataFrame, str]:
