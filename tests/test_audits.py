@@ -1,6 +1,7 @@
 import hashlib
 import heapq
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -30,12 +31,20 @@ def test_balanced_select_equals_the_plain_loop(spark):
     pool = [(i, int(rng.integers(3)), int(rng.integers(4))) for i in range(60)]
     got = {r["key"]: r["step"] for r in selection.balanced_select(spark.createDataFrame(pool, "key long, a long, b long"), "key", ["a", "b"], 20).collect()}
     h = lambda k: hashlib.sha256(f"select|{k}".encode()).hexdigest()
-    la, lb, left, want = Counter(), Counter(), list(pool), {}
+    loads, left, want = [Counter(), Counter()], list(pool), {}
+    sizes = [len({r[1] for r in pool}), len({r[2] for r in pool})]
+
+    def score(r, step):
+        now = [loads[0][r[1]], loads[1][r[2]]]
+        ideal = [Fraction(step + 1, n) for n in sizes]
+        deviation = sum(((n + 1 - i) ** 2 - (n - i) ** 2) / max(i, 1) for n, i in zip(now, ideal, strict=True))
+        return max(Fraction((n + 1) * size, step + 1) for n, size in zip(now, sizes, strict=True)), deviation, h(r[0]), r[0]
+
     for step in range(20):
-        best = min(left, key=lambda r: (max(la[r[1]], lb[r[2]]), la[r[1]] + lb[r[2]], h(r[0]), r[0]))
+        best = min(left, key=lambda r: score(r, step))
         left.remove(best)
-        la[best[1]] += 1
-        lb[best[2]] += 1
+        loads[0][best[1]] += 1
+        loads[1][best[2]] += 1
         want[best[0]] = step
     assert got == want
 

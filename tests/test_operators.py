@@ -139,3 +139,18 @@ def test_case_draws_against_brute_force(spark):
         cells = [[x for x in one if x[0] == fold] for fold in (0, 1)]
         assert abs(by_case[i] - mean([mean([y[x[4]] for x in c]) for c in cells])) < 1e-9
         assert abs(by_occurrence[i] - mean([mean([mean([y[x[4]] for x in c if x[2] == o]) for o in {x[2] for x in c}]) for c in cells])) < 1e-9
+
+
+def test_balanced_means_skip_nothing(spark):
+    from vicinage.operators import hierarchy
+
+    rows = [(0, "f", 1, 1, 1.0), (0, "f", 1, 2, 3.0), (0, "g", 2, 3, 5.0), (1, "f", 3, 4, None), (1, "f", 3, 4, 2.0), (1, "g", 4, 5, 7.0), (2, "f", 5, 6, float("nan")), (2, "g", 6, 7, 9.0)]
+    df = spark.createDataFrame(rows, "fold int, family string, lineage int, case_id int, y double")
+    by = {r["fold"]: r["y"] for r in hierarchy.balanced(df, "y", upto="fold").collect()}
+    assert by == {0: 3.5, 1: None, 2: None}
+    assert hierarchy.balanced(df, "y").first()["y"] is None and hierarchy.balanced(df.filter("fold = 0"), "y").first()["y"] == 3.5
+    cells = hierarchy.cell_mean(df, "y")
+    assert {(r["fold"], r["family"]): (r["y"], r["cases"]) for r in cells.collect()} == {(0, "f"): (2.0, 2), (0, "g"): (5.0, 1), (1, "f"): (None, 1), (1, "g"): (7.0, 1), (2, "f"): (None, 1), (2, "g"): (9.0, 1)}
+    scopes = {(r["scope"], r["scope_id"]): r["y"] for r in hierarchy.scope_rows(cells, "y").collect()}
+    assert scopes["FAMILY", "g"] == 7.0 and scopes["FAMILY", "f"] is None and scopes["FOLD", "0"] == 3.5 and scopes["OVERALL", "ALL"] is None
+    assert hierarchy.balanced(df.limit(0), "y").first()["y"] is None and hierarchy.cell_mean(df.limit(0), "y").count() == 0

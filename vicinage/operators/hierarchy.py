@@ -1,16 +1,23 @@
-"""Balanced aggregation over case, lineage, family and fold."""
+"""Balanced aggregation over case, lineage, family and fold.
+
+A mean is null if any of its members is null, NaN or infinite, at every level;
+nothing is skipped.  Empty input gives no rows, and one null where there are no
+keys.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import strict_mean
+
 LEVELS = ("case_id", "lineage", "family", "fold")
 
 
 def case_mean(rows: DataFrame, *values: str) -> DataFrame:
     """Mean of each value by case, with the number of rows."""
-    return rows.groupBy("fold", "family", "lineage", "case_id").agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("rows"))
+    return rows.groupBy("fold", "family", "lineage", "case_id").agg(*[strict_mean(F.col(v)).alias(v) for v in values], F.count(F.lit(1)).alias("rows"))
 
 
 def balanced(rows: DataFrame, *values: str, upto: str = "all") -> DataFrame:
@@ -20,7 +27,7 @@ def balanced(rows: DataFrame, *values: str, upto: str = "all") -> DataFrame:
     """
     out = case_mean(rows, *values).drop("rows")
     for keys in (("fold", "family", "lineage"), ("fold", "family"), ("fold",), ()):
-        out = out.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+        out = out.groupBy(*keys).agg(*[strict_mean(F.col(v)).alias(v) for v in values])
         if keys and keys[-1] == upto:
             break
     return out
@@ -28,12 +35,12 @@ def balanced(rows: DataFrame, *values: str, upto: str = "all") -> DataFrame:
 
 def cell_mean(rows: DataFrame, *values: str) -> DataFrame:
     """Mean over the cases of each fold and family, without the level of lineages."""
-    return case_mean(rows, *values).groupBy("fold", "family").agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("cases"))
+    return case_mean(rows, *values).groupBy("fold", "family").agg(*[strict_mean(F.col(v)).alias(v) for v in values], F.count(F.lit(1)).alias("cases"))
 
 
 def scope_rows(cells: DataFrame, value: str) -> DataFrame:
     """OVERALL, FAMILY and FOLD rows over cells that count alike."""
-    grouped = cells.groupingSets([(), ("family",), ("fold",)], "family", "fold").agg(F.avg(value).alias(value), F.grouping("family").alias("gf"), F.grouping("fold").alias("gd"))
+    grouped = cells.groupingSets([(), ("family",), ("fold",)], "family", "fold").agg(strict_mean(F.col(value)).alias(value), F.grouping("family").alias("gf"), F.grouping("fold").alias("gd"))
     scope = F.when(F.col("gf") == 0, "FAMILY").when(F.col("gd") == 0, "FOLD").otherwise("OVERALL")
     return grouped.select(scope.alias("scope"), F.coalesce("family", F.col("fold").cast("string"), F.lit("ALL")).alias("scope_id"), value)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +49,13 @@ def greedy_folds(items: DataFrame, key: str, load: str, folds: int, domain: str
 
 
 def balanced_select(pool: DataFrame, key: str, axes: list[str], k: int, domain: str = "select") -> DataFrame:
-    """(key, axes, step): k rows, each step the one with the least (largest axis load, sum of axis loads, hash, key).
+    """(key, axes, step): k rows, each step the one that keeps the axes' loads nearest to even shares.
+
+    After a step each value of an axis should hold its even share of the rows
+    chosen so far.  Of the rows left, the one comes next whose largest load over
+    its even share is least; then the one that raises the squared deviations
+    from the shares, each over its share (1 at least), by the least sum; then
+    the one with the least hash and key.  A null is a value of its axis.
 
     Rows of equal axis values differ by hash alone, so k of each combination
     are enough; the driver gets k rows of each combination of axis values.
@@ -60,11 +67,18 @@ def balanced_select(pool: DataFrame, key: str, axes: list[str], k: int, domain:
     for r in few.orderBy(F.desc("_h"), F.desc(key)).collect():
         waiting.setdefault(tuple(r[a] for a in axes), []).append((r["_h"], r[key]))
     loads = [Counter() for _ in axes]
+    values = [len({c[i] for c in waiting}) for i in range(len(axes))]
     out = []
     for step in range(k):
         if not waiting:
             break
-        score = lambda c: (max(m[v] for m, v in zip(loads, c, strict=True)), sum(m[v] for m, v in zip(loads, c, strict=True)), waiting[c][-1])
+        shares = [Fraction(step + 1, n) for n in values]
+
+        def score(c: tuple) -> tuple:
+            own = [m[v] for m, v in zip(loads, c, strict=True)]
+            over = max((n + 1) / share for n, share in zip(own, shares, strict=True))
+            return over, sum((2 * (n - share) + 1) / max(share, 1) for n, share in zip(own, shares, strict=True)), waiting[c][-1]
+
         best = min(waiting, key=score)
         out.append((waiting[best].pop()[1], step))
         for m, v in zip(loads, best, strict=True):
