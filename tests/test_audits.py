@@ -53,7 +53,7 @@ def test_ablation_equals_plain_ridge(spark, sf_dir):
     p = base.points(spark, sf_dir).select("fold", "x", "y").toPandas()
     x, y, fold = np.stack(p["x"].to_numpy()), p["y"].to_numpy(), p["fold"].to_numpy()
     for r in base.QUERIES["M7_P14_group_ablation"](spark, sf_dir).collect():
-        cols = [c - 1 for c in models.designs([1, 2, 3, 4], audits._GROUPS)[r["design"]]]
+        cols = [c - 1 for c in models.designs(audits._BASE, audits._GROUPS)[r["design"]]]
         error = []
         for f in range(6):
             t = fold != f

@@ -210,7 +210,8 @@ def b9(s, d):
 
 # Models ----------------------------------------------------------------------------------------------------------
 
-_GROUPS = {"g1": [5, 6, 7, 8], "g2": [9, 10, 11, 12], "g3": [13, 14, 15, 16]}
+_BASE = list(range(1, 17))
+_GROUPS = {"g1": list(range(17, 33)), "g2": list(range(33, 49)), "g3": list(range(49, 65))}
 
 
 def _moments(s, d) -> dict:
@@ -220,7 +221,7 @@ def _moments(s, d) -> dict:
 @query("M7_P14_group_ablation")
 def m7(s, d):
     """Cross-fitted ridge error of each design; one pass of moments serves all."""
-    got = models.ablation(_moments(s, d), models.designs([1, 2, 3, 4], _GROUPS), 17)
+    got = models.ablation(_moments(s, d), models.designs(_BASE, _GROUPS), 65)
     return s.createDataFrame([(a, b, round(c, 6)) for a, b, c in got], "design string, columns long, error double")
 
 
@@ -239,7 +240,7 @@ def m6(s, d):
 def m8(s, d):
     """Condition numbers of each training set's normal matrix, and the error of a solve with a known answer."""
     by = _moments(s, d)
-    got = [(f, models.solver_preflight(sum(m for k, m in by.items() if k != f), list(range(1, 17)))) for f in sorted(by)]
+    got = [(f, models.solver_preflight(sum(m for k, m in by.items() if k != f), list(range(1, 65)))) for f in sorted(by)]
     return s.createDataFrame([(f, g["condition"], g["condition_alpha"], int(g["alpha_lost"]), g["error"] < 1e-9) for f, g in got], "fold long, condition double, condition_alpha double, alpha_lost long, exact boolean")
 
 

@@ -27,6 +27,20 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+#: Queries by name that take many minutes even on the smallest tables; not among those that run everywhere.
+LONG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def long_query(name: str) -> Callable:
+    """Register a query that is run on its own only."""
+
+    def add(f: Callable) -> Callable:
+        LONG[name] = f
+        return f
+
+    return add
+
+
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """Lineitems as rows; order, customer, market segment and customer key modulo 6 are case, lineage, family and fold."""
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("long").alias("row_id"), F.col("l_quantity").alias("y"), F.col("l_tax").alias("n"), F.col("l_discount").alias("b"), F.col("l_returnflag").alias("flag"))
@@ -46,7 +60,7 @@ folds AS (SELECT fold, avg(y) AS y, avg(n) AS n, avg(b) AS b FROM fams GROUP BY
 cells AS (SELECT fold, family, avg(y) AS y, avg(n) AS n, avg(b) AS b, count(*) AS cases FROM cases GROUP BY ALL)"""
 
 
-def points(spark: SparkSession, d: str, dims: int = 16) -> DataFrame:
+def points(spark: SparkSession, d: str, dims: int = 64) -> DataFrame:
     """Embeddings as rows of cases of two and lineages of ten; the fold follows from the lineage."""
     lineage = F.floor(F.col("vec_id") / 10)
     return table(spark, d, "embeddings").select(
@@ -55,7 +69,7 @@ def points(spark: SparkSession, d: str, dims: int = 16) -> DataFrame:
     )
 
 
-def points_sql(dims: int = 16, name: str = "pts") -> str:
+def points_sql(dims: int = 64, name: str = "pts") -> str:
     return f"""{name} AS (
   SELECT vec_id AS row_id, vec_id // 2 AS case_id, vec_id // 10 AS lineage, (label % 4)::BIGINT AS family, (vec_id // 10) % 6 AS fold, (vec_id // 10) % 3 AS seed,
          embedding[1:{dims}]::DOUBLE[] AS x, label::DOUBLE AS y FROM embeddings)"""

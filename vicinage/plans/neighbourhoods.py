@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls, vectors
 from ..operators import bootstrap, geometry, hierarchy, models, stats
 from ..operators.neighbours import legal_neighbours
-from .base import K, ROWS, edge_sql, edge_targets, knn_sql, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
+from .base import K, ROWS, edge_sql, edge_targets, knn_sql, long_query, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
 
 R = 6
 _r = lambda c: F.round(c, R)
@@ -228,25 +228,25 @@ def b7(s, d):
 WHOLE = 10_000
 
 
-@query("B1_B2_case_draws")
+@long_query("B1_B2_case_draws")
 def b1_cases(s, d):
     drawn = bootstrap.case_draws(_cases(s, d), WHOLE, SEED)
     return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("drawn_cases"), F.count_distinct("lineage").alias("lineages"), F.count_distinct("case_id").alias("cases"))
 
 
-@query("B4_case_occurrence_weighted")
+@long_query("B4_case_occurrence_weighted")
 def b4_cases(s, d):
     c = _cases(s, d)
     return bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").select("replicate", _r("y").alias("stat"))
 
 
-@query("B5_case_count_weighted")
+@long_query("B5_case_count_weighted")
 def b5_cases(s, d):
     c = _cases(s, d)
     return bootstrap.case_count_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").withColumn("stat", _r("stat"))
 
 
-@query("B6_case_max_t_bound")
+@long_query("B6_case_max_t_bound")
 def b6_cases(s, d):
     c = _cases(s, d)
     stats_ = bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), *"nby")
@@ -282,7 +282,7 @@ def m3(s, d):
     knn = neighbours(p).join(p.select(F.col("row_id").alias("neighbour"), "y"), "neighbour").groupBy(F.col("query").alias("row_id")).agg(F.avg("y").alias("k"))
     z = F.concat(F.array(F.lit(1.0)), "x", models.quadratic("x", list(range(7))), F.array("k", "y"))
     moments = models.moments(p.join(knn, "row_id").select("fold", z.alias("z")), "fold", "z")
-    chosen = models.nested_selection(moments, {"ridge": range(1, 17), "quadratic": range(17, 52)}, given={"knn": 52}, y=53)
+    chosen = models.nested_selection(moments, {"ridge": range(1, 65), "quadratic": range(65, 100)}, given={"knn": 100}, y=101)
     return s.createDataFrame(chosen, "fold long, best string, ridge double, quadratic double, knn double, mean double")
 
 
@@ -294,7 +294,7 @@ def g1(s, d):
     spec = geometry.spectrum(geometry.covariance(p, "x")[2])
     out = None
     for kind in ("U0", "U1", "U2", "U3"):
-        groups = [list(range(8)), list(range(8, 16))]
+        groups = [list(range(k, k + 16)) for k in range(0, 64, 16)]
         offset, linear = geometry.transform(p, "x", kind, groups)
         half = [geometry.transform(p.filter(F.col("fold") % 2 == h), "x", kind, groups)[1] for h in (0, 1)]
         shared = geometry.overlap(*half)[1]
