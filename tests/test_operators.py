@@ -154,3 +154,57 @@ def test_balanced_means_skip_nothing(spark):
     scopes = {(r["scope"], r["scope_id"]): r["y"] for r in hierarchy.scope_rows(cells, "y").collect()}
     assert scopes["FAMILY", "g"] == 7.0 and scopes["FAMILY", "f"] is None and scopes["FOLD", "0"] == 3.5 and scopes["OVERALL", "ALL"] is None
     assert hierarchy.balanced(df.limit(0), "y").first()["y"] is None and hierarchy.cell_mean(df.limit(0), "y").count() == 0
+
+
+def test_neighbours_of_pruned_cells_equal_brute_force(spark, monkeypatch):
+    from vicinage.operators import neighbours as nb
+
+    monkeypatch.setattr(nb, "BLOCK", 8)
+    visited = []
+    pairs = nb.cell_pairs
+    monkeypatch.setattr(nb, "cell_pairs", lambda *a: visited.append((len(a[0]), pairs(*a))) or visited[-1][1])
+    rng = np.random.default_rng(5)
+    n = 400
+    centre = rng.normal(size=(25, 6)) * 50
+    x = np.round(centre[np.arange(n) % 25] + rng.normal(size=(n, 6)), 1)
+    x[:40] = x[0]  # a hot point with ties
+    rows = [(i, i // 2, i // 3, i % 4, x[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, case_id long, lineage long, seed long, x array<double>")
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in legal_neighbours(df, df, 5).collect()}
+    for i in range(n):
+        legal = [j for j in range(n) if i // 2 != j // 2 and i // 3 != j // 3 and (i % 4 == 0 or i % 4 != j % 4)]
+        want = sorted(legal, key=lambda j: (np.sqrt(((x[i] - x[j]) ** 2).sum()), j // 2, j))[:5]
+        assert [got[i, r + 1] for r in range(5)] == want
+    cells, (a, _) = visited[0]
+    assert cells == 50 and len(a) < cells**2 / 4
+    # Queries other than the training rows, some far away from all of them.
+    far = spark.createDataFrame([(1000, 1000, 1000, 0, [1e3] * 6), (1001, 1001, 1001, 0, x[7].tolist())], df.schema)
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in legal_neighbours(far, df, 2).collect()}
+    for q, at in ((1000, np.full(6, 1e3)), (1001, x[7])):
+        assert [got[q, 1], got[q, 2]] == sorted(range(n), key=lambda j: (np.sqrt(((at - x[j]) ** 2).sum()), j // 2, j))[:2]
+
+
+def test_vectors_with_gaps_and_empty_tables(spark):
+    schema = "row_id long, case_id long, lineage long, seed long, x array<double>"
+    whole = [(i, i, i, 0, [float(i), 1.0]) for i in range(4)]
+    gaps = [(10, 10, 10, 0, None), (11, 11, 11, 0, [None, 1.0]), (12, 12, 12, 0, [float("nan"), 0.0]), (13, None, 13, 0, [0.0, 0.0]), (None, 14, 14, 0, [0.0, 0.0])]
+    df, clean = spark.createDataFrame(whole + gaps, schema), spark.createDataFrame(whole, schema)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(legal_neighbours(df, df, 2)) == rows(legal_neighbours(clean, clean, 2)) and len(rows(legal_neighbours(clean, clean, 9))) == 12
+    assert legal_neighbours(clean.limit(0), clean, 2).count() == 0 == legal_neighbours(clean, clean.limit(0), 2).count()
+    df = spark.createDataFrame(whole + gaps[:3], schema)  # the others have whole vectors
+    y = F.col("row_id").cast("double").alias("y")
+    a, b = models.ridge(df.select("x", y), "x", "y"), models.ridge(clean.select("x", y), "x", "y")
+    assert np.allclose(a[0], b[0]) and a[1] == pytest.approx(b[1])
+    none = clean.limit(0).select("x", y)
+    beta, bias = models.ridge(none, "x", "y")
+    assert len(beta) == 0 and np.isnan(bias) and clean.select(models.predict("x", beta, bias).alias("p")).filter("p IS NOT NULL").count() == 0
+    z = df.select(F.lit(0).alias("k"), "x")
+    assert np.allclose(models.moments(z, "k", "x")[0], models.moments(clean.select(F.lit(0).alias("k"), "x"), "k", "x")[0]) and models.moments(z.limit(0), "k", "x") == {}
+    for kind in ("U0", "U1", "U2", "U3"):
+        offset, linear = geometry.transform(df, "x", kind)
+        assert np.allclose(linear, geometry.transform(clean, "x", kind)[1])
+        shown = {r["row_id"]: r["x"] for r in geometry.applied(df, "x", offset, linear).collect()}
+        assert shown[10] is shown[11] is shown[12] is None and np.allclose(shown[2], (np.array([2.0, 1.0]) - offset) @ linear)
+        offset, linear = geometry.transform(none, "x", kind)
+        assert not linear.size and geometry.applied(none, "x", offset, linear).count() == 0 and np.isnan(geometry.overlap(linear, linear)[1])

@@ -10,6 +10,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def whole(x: Column) -> Column:
+    """Whether a vector is not null and all its entries are finite; never null itself."""
+    return x.isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+
+
 def norm_sq(x: Column) -> Column:
     return total(F.transform(x, lambda v: v * v))
 

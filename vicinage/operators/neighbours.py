@@ -1,10 +1,17 @@
 """Exact nearest-neighbour joins under a legality rule.
 
 Legal: another case and another lineage, and seeds that differ unless one is 0.
-Both sides are packed into blocks of bounded size and every block of queries
-meets every block of the training rows; each meeting keeps its best k with all
-ties, and the k best overall are ranked by (distance, case, row).  A block fits
-a task whatever the number of rows, and no side is broadcast.
+Rows are dealt to the cell of their nearest pivot, cells are cut into blocks of
+bounded size, and blocks of queries meet blocks of training rows; each meeting
+keeps its best k with all ties, and the k best overall are ranked by (distance,
+case, row).  Two cells do not meet where the triangle inequality shows that no
+query of the one can have one of its k nearest in the other: every query's kth
+legal distance inside the nearest cells bounds the true one from above.  A block
+fits a task whatever the number of rows, and no side is broadcast.
+
+Rows with a null in any field, and vectors with an entry that is null, NaN or
+infinite, have no neighbours and are nobody's neighbour.  Empty tables give no
+rows; a query with fewer than k legal rows gets those it has.
 """
 
 from __future__ import annotations
@@ -17,15 +24,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 #: Rows of a block.
 BLOCK = 2048
+#: Cells at most: their pivots, radii and pairs are held by the driver.
+PIVOTS = 1024
+DRAWN = 4
+#: With no more cells than this, bounds cost as much as they save, and all cells meet.
+FEW = 8
+#: Cells of which one block each gives a query's bound: work in proportion to the queries.
+NEAREST = 2
+#: Tasks that share the queries of one block of training rows.
+SALTS = 8
 _FIELDS = ("row_id", "case_id", "lineage", "seed", "x")
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    count = max(1, math.ceil(rows.count() / BLOCK))
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.select(*_FIELDS).dropna(subset=list(_FIELDS[:4])).filter(vectors.whole(F.col("x")))
+
+
+def _pivots(train: DataFrame) -> np.ndarray:
+    """As many different rows as there are blocks, up to ``PIVOTS``: of ``DRAWN`` times as many, the first by a hash of the id, each the farthest from those before it."""
+    want = min(PIVOTS, math.ceil(train.count() / BLOCK))
+    got = train.select("x", "row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(want * DRAWN).collect()
+    x = np.array([r["x"] for r in got], dtype=np.float64)
+    chosen, away = [], np.full(len(x), np.inf)
+    while len(chosen) < min(want, len(x)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _celled(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` with the nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                cell = ((pivots**2).sum(1) - 2 * x @ pivots.T).argmin(1)
+                away = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+                yield pa.record_batch([*b.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*b.schema.names, "cell", "away"])
+
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kind}, cell int, away double")
+
+
+def _extent(celled: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, radius) of each cell."""
+    size, radius = np.zeros(cells, np.int64), np.zeros(cells)
+    for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    return size, radius
+
+
+def _parts(size: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-size // BLOCK))
+
+
+def _blocks(celled: DataFrame, size: np.ndarray, name: str) -> DataFrame:
+    parts = F.element_at(F.array(*[F.lit(n) for n in _parts(size).tolist()]), F.col("cell") + 1)
     one = F.struct(*[F.col(c) for c in _FIELDS])
-    return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(count)).alias(f"{name}_block")).agg(F.collect_list(one).alias(name))
+    return celled.groupBy(F.col("cell").alias(f"{name}_cell"), F.pmod(F.xxhash64("row_id"), parts).cast("long").alias(f"{name}_part")).agg(F.collect_list(one).alias(name))
 
 
 def _columns(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
@@ -35,8 +96,35 @@ def _columns(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
     return (*(got.field(k).to_numpy(zero_copy_only=False) for k in _FIELDS[:4]), x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64))
 
 
-def legal_neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """(query, rank, neighbour, distance) of both sides (row_id, case_id, lineage, seed, x array<double>)."""
+def cell_pairs(pivots: np.ndarray, q_radius: np.ndarray, bound: np.ndarray, t_size: np.ndarray, t_radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (cell of queries, cell of training rows) that may hold a neighbour.
+
+    ``bound``: largest kth distance of a cell's queries, -1 where it has none.  A
+    row of the second cell is no nearer to a query of the first than the pivots'
+    distance less both radii; equality, and what rounding could hide, is kept.
+    """
+    sq = (pivots**2).sum(1)
+    between = np.sqrt(np.maximum(sq[:, None] + sq - 2 * pivots @ pivots.T, 0))
+    slack = 1e-6 * (1 + np.sqrt(sq.max()) + q_radius.max() + t_radius.max())
+    least = between - q_radius[:, None] - t_radius
+    return np.nonzero((bound[:, None] >= 0) & (t_size > 0) & (least <= bound[:, None] + slack))
+
+
+def _met(q: DataFrame, t: DataFrame, pairs: tuple[np.ndarray, np.ndarray], t_size: np.ndarray) -> DataFrame:
+    """(q, t, q_cell) of all blocks of the paired cells; a block of t is sent ``SALTS`` times, one of q once a meeting."""
+    spark = q.sparkSession
+    keys = ["t_cell", "t_part", "salt"]
+    # At most PIVOTS ** 2 rows of three numbers.
+    names = pa.table({"q_cell": pa.array(pairs[0], pa.int32()), "t_cell": pa.array(pairs[1], pa.int32()), "parts": pa.array(_parts(t_size)[pairs[1]], pa.int64())})
+    sent = q.join(F.broadcast(spark.createDataFrame(names)), "q_cell").withColumn("t_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    sent = sent.withColumn("salt", F.pmod(F.xxhash64("q_cell", "q_part"), F.lit(SALTS)))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = t.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return sent.repartition(tasks, *keys).join(kept, keys).select("q", "t", "q_cell")
+
+
+def _meet(k: int, all_ties: bool):
+    """Per query and block the k nearest with ties, or their distances alone (infinite where legal rows run out)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,16 +138,58 @@ def legal_neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
                     near = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1) - 2 * q[part] @ t.T
                     near[~legal] = np.inf
                     m = min(k, near.shape[1])
+                    least = np.partition(near, m - 1, 1)[:, :m]
+                    if not all_ties:
+                        out.append((q_id[part], np.pad(np.sqrt(np.maximum(least, 0)), ((0, 0), (0, k - m)), constant_values=np.inf)))
+                        continue
+                    edge = least.max(1)
                     # Rows near the kth of the expanded form are measured again, exactly, so no tie is lost.
-                    edge = np.partition(near, m - 1, 1)[:, m - 1]
                     r, c = np.nonzero(legal & (near <= np.where(np.isfinite(edge), edge * (1 + 1e-9) + 1e-9, np.inf)[:, None]))
                     d = np.sqrt(((q[part][r] - t[c]) ** 2).sum(1))
                     out.append((q_id[part][r], t_id[c], t_case[c], d))
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.record_batch([pa.array(x) for x in cols], names=["query", "neighbour", "case_id", "distance"])
+                if all_ties:
+                    yield pa.record_batch([pa.array(x) for x in cols], names=["query", "neighbour", "case_id", "distance"])
+                else:
+                    at = pa.array(np.arange(len(cols[0]) + 1, dtype=np.int32) * k)
+                    yield pa.record_batch([pa.array(np.full(len(cols[0]), b.column(2)[i].as_py(), np.int32)), pa.array(cols[0]), pa.ListArray.from_arrays(at, pa.array(cols[1].ravel()))], names=["q_cell", "query", "near"])
+
+    return meet
+
+
+def _bounds(q: DataFrame, t: DataFrame, k: int, pivots: np.ndarray, q_size: np.ndarray, t_size: np.ndarray) -> np.ndarray:
+    """Per cell the largest of its queries' kth distances inside blocks of the nearest filled cells; -1 for cells without queries."""
+    filled = np.nonzero(t_size)[0]
+    sq = (pivots**2).sum(1)
+    near = np.argsort(sq[filled] - 2 * pivots @ pivots[filled].T, axis=1, kind="stable")[:, :NEAREST]
+    own = np.nonzero(q_size)[0]
+    pairs = np.repeat(own, near.shape[1]), filled[near[own]].ravel()
+    # One block of a cell is enough for a bound, however many rows the cell has.
+    met = _met(q, t.filter("t_part = 0"), pairs, np.minimum(t_size, BLOCK))
+    near = met.mapInArrow(_meet(k, False), "q_cell int, query long, near array<double>")
+    kth = near.groupBy("q_cell", "query").agg(F.array_sort(F.flatten(F.collect_list("near")))[k - 1].alias("kth"))
+    out = np.where(q_size > 0, np.inf, -1.0)
+    for r in kth.groupBy("q_cell").agg(F.max("kth").alias("most")).collect():
+        out[r["q_cell"]] = r["most"]
+    return out
 
-    pairs = _blocks(queries, "q").crossJoin(_blocks(train, "t")).select("q", "t")
-    found = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(meet, "query long, neighbour long, case_id long, distance double")
+
+def legal_neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """(query, rank, neighbour, distance) of both sides (row_id, case_id, lineage, seed, x array<double>)."""
+    same = queries is train
+    queries, train = _usable(queries), _usable(train)
+    pivots = _pivots(train)
+    if not len(pivots):
+        return queries.sparkSession.createDataFrame([], "query long, rank long, neighbour long, distance double")
+    t_rows = _celled(train, pivots)
+    q_rows = t_rows if same else _celled(queries, pivots)
+    t_size, t_radius = _extent(t_rows, len(pivots))
+    q_size, q_radius = (t_size, t_radius) if same else _extent(q_rows, len(pivots))
+    q, t = _blocks(q_rows, q_size, "q"), _blocks(t_rows, t_size, "t")
+    bound = np.where(q_size > 0, np.inf, -1.0)
+    if len(pivots) > FEW:
+        bound = _bounds(q, t, k, pivots, q_size, t_size)
+    found = _met(q, t, cell_pairs(pivots, q_radius, bound, t_size, t_radius), t_size).select("q", "t").mapInArrow(_meet(k, True), "query long, neighbour long, case_id long, distance double")
     order = Window.partitionBy("query").orderBy("distance", "case_id", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
 
@@ -70,6 +200,6 @@ def matched_random(queries: DataFrame, train: DataFrame, k: int, domain: str) ->
     legal = (F.col("qc") != F.col("case_id")) & (F.col("ql") != F.col("lineage")) & ((F.col("qs") == 0) | (F.col("qs") != F.col("seed")))
     drawn = F.sha2(F.concat_ws("|", F.lit(domain), F.col("query").cast("string"), F.col("row_id").cast("string")), 256)
     best = q.join(train.select("row_id", "case_id", "lineage", "seed"), legal).select("query", F.struct(drawn.alias("h"), F.col("row_id").alias("comparator")).alias("s"))
-    # Smallest k without a window over all pairs of a query: an aggregate that keeps no more than k per task and query.
+    # The optimizer puts a limit of k per query before the shuffle (WindowGroupLimit); all legal pairs are hashed once.
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("s"))).filter(F.col("rank") <= k)
     return ranked.select("query", F.col("rank").cast("long").alias("rank"), "s.comparator")

@@ -81,7 +81,8 @@ def _keyed(p: DataFrame) -> DataFrame:
 
 
 def neighbours(p: DataFrame, k: int = K) -> DataFrame:
-    return legal_neighbours(_keyed(p), _keyed(p), k)
+    both = _keyed(p)
+    return legal_neighbours(both, both, k)
 
 
 def randoms(p: DataFrame, k: int = K) -> DataFrame:

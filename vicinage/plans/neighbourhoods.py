@@ -262,12 +262,11 @@ def b6_cases(s, d):
 @query("M2_ridge_one_feature", f"""WITH {PTS}, f AS (SELECT f AS fold, regr_sxy(y, x[1]) / (regr_sxx(y, x[1]) + 1) AS beta, avg(y) AS my, avg(x[1]) AS mx FROM pts, range(6) t(f) WHERE fold <> f GROUP BY f)
 SELECT row_id, round(my + beta * (x[1] - mx), 6) AS predicted FROM pts JOIN f USING (fold)""")
 def m2(s, d):
+    # One pass sums a matrix per fold; each training set is the sum of five of these.
     p = points(s, d).withColumn("x", F.slice("x", 1, 1))
-    out = None
-    for fold in range(6):
-        part = p.filter(F.col("fold") == fold).select("row_id", _r(models.predict("x", *models.ridge(p.filter(F.col("fold") != fold), "x", "y"))).alias("predicted"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    by = models.moments(p.select("fold", F.concat(F.array(F.lit(1.0)), "x", F.array("y")).alias("z")), "fold", "z")
+    line = s.createDataFrame([(f, *map(float, models.fitted(by, f, [1], 2)[:2])) for f in sorted(by) if len(by) > 1], "fold long, intercept double, beta double")
+    return p.join(F.broadcast(line), "fold").select("row_id", _r(F.col("intercept") + F.col("beta") * F.col("x")[0]).alias("predicted"))
 
 
 @query("M3_M4_M5_nested_selection")
@@ -298,8 +297,11 @@ def g1(s, d):
         offset, linear = geometry.transform(p, "x", kind, groups)
         half = [geometry.transform(p.filter(F.col("fold") % 2 == h), "x", kind, groups)[1] for h in (0, 1)]
         shared = geometry.overlap(*half)[1]
-        k = geometry.applied(p.select("row_id", "case_id", F.col("fold").alias("lineage"), "seed", "x"), "x", offset, linear)
-        other = legal_neighbours(k, k, K).groupBy("query").agg(F.collect_set("neighbour").alias("b"))
+        if kind == "U0":
+            other = plain.withColumnRenamed("a", "b")
+        else:
+            k = geometry.applied(p.select("row_id", "case_id", F.col("fold").alias("lineage"), "seed", "x"), "x", offset, linear)
+            other = legal_neighbours(k, k, K).groupBy("query").agg(F.collect_set("neighbour").alias("b"))
         turn = plain.join(other, "query").agg((1 - F.avg(F.size(F.array_intersect("a", "b")) / float(K))).alias("turnover"))
         row = turn.select(F.lit(kind).alias("kind"), F.lit(int(linear.shape[1])).alias("rank"), F.lit(round(spec["participation"], 6)).alias("participation"), F.lit(round(float(shared), 6)).alias("overlap"), _r("turnover").alias("turnover"))
         out = row if out is None else out.unionByName(row)
