@@ -208,3 +208,26 @@ def test_vectors_with_gaps_and_empty_tables(spark):
         assert shown[10] is shown[11] is shown[12] is None and np.allclose(shown[2], (np.array([2.0, 1.0]) - offset) @ linear)
         offset, linear = geometry.transform(none, "x", kind)
         assert not linear.size and geometry.applied(none, "x", offset, linear).count() == 0 and np.isnan(geometry.overlap(linear, linear)[1])
+
+
+def test_drop_one_equals_the_mean_of_what_is_left(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(f), a, int(f * 100 + i * 10), int(f * 1000 + i * 100 + c), float(rng.integers(0, 9))) for f in range(3) for i, a in enumerate("ab"[: 1 + f % 2]) for c in range(1 + i) for _ in range(2)]
+    rows += [(0, "a", 1, 1, 4.0), (0, "b", 2, 2, None), (0, "b", 2, 3, 1.0)]
+
+    def balanced(left):
+        for n in (4, 3, 2, 1, 0):
+            held = {}
+            for *key, v in left:
+                held.setdefault(tuple(key[:n]), []).append(v)
+            left = [(*k, None if None in v else sum(v) / len(v)) for k, v in held.items()]
+        return left[0][0] if left else None
+
+    for data in (rows, [r for r in rows if r[4] is not None], rows[:1]):
+        df = spark.createDataFrame(data, "fold long, family string, lineage long, case_id long, y double")
+        for n, level in enumerate(("fold", "family", "lineage", "case_id"), 1):
+            want = {k: balanced([r for r in data if r[:n] != k]) for k in {r[:n] for r in data}}
+            got = {tuple(r)[:-1]: r["without"] for r in hierarchy.drop_one(df, "y", level).collect()}
+            assert got.keys() == want.keys()
+            assert all(got[k] is None if want[k] is None else got[k] == pytest.approx(want[k]) for k in want)
+    assert hierarchy.drop_one(df.limit(0), "y", "lineage").count() == 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import strict_mean
+from ..functions.nulls import finite, strict_mean
 
 LEVELS = ("case_id", "lineage", "family", "fold")
 
@@ -48,3 +48,33 @@ def scope_rows(cells: DataFrame, value: str) -> DataFrame:
 def without(rows: DataFrame, level: str, member: Column) -> DataFrame:
     """Rows less one member of a level, for counterfactual means."""
     return rows.filter(F.col(level) != member)
+
+
+def drop_one(rows: DataFrame, value: str, level: str) -> DataFrame:
+    """(members' keys, ``without``): the balanced mean of all rows less one member, for each member of a level.
+
+    ``level``: ``case_id``, ``lineage``, ``family`` (of a fold) or ``fold``.  A member's
+    own mean is taken out of its parent, the parent's new mean replaces its old one
+    above, and a parent left without members is taken out as well, so all members
+    cost one pass and one small join a level.  The last member's mean is null, and
+    so is each one that a member which is not finite has a part in.
+    """
+    chain = {"case_id": ("fold", "family", "lineage", "case_id"), "lineage": ("fold", "family", "lineage"), "family": ("fold", "family"), "fold": ("fold",)}[level]
+    at = {4: rows.groupBy("fold", "family", "lineage", "case_id").agg(strict_mean(F.col(value)).alias("v"))}
+    for n in (3, 2, 1):
+        at[n] = at[n + 1].groupBy(*("fold", "family", "lineage")[:n]).agg(strict_mean(F.col("v")).alias("v"))
+    out = at[len(chain)].select(*chain, F.col("v").alias("old"), F.lit(None).cast("double").alias("new"), F.lit(True).alias("gone"))
+    for n in range(len(chain) - 1, -1, -1):
+        # Sum of the finite members, number of members, members that are not finite.
+        bad = ~finite(F.col("v"))
+        totals = [F.sum(F.when(bad, 0.0).otherwise(F.col("v"))).alias("s"), F.count(F.lit(1)).alias("c"), F.count_if(bad).alias("bad")]
+        own = at[n + 1].groupBy(*chain[:n]).agg(*totals)
+        out = out.join(own, list(chain[:n])) if n else out.crossJoin(F.broadcast(own))
+        left = F.col("c") - F.col("gone").cast("long")
+        bads = F.col("bad") - (~finite(F.col("old"))).cast("long") + (~F.col("gone") & ~finite(F.col("new"))).cast("long")
+        moved = F.col("s") - F.when(finite(F.col("old")), F.col("old")).otherwise(0.0) + F.when(~F.col("gone") & finite(F.col("new")), F.col("new")).otherwise(0.0)
+        out = out.withColumns({"_new": F.when((left > 0) & (bads == 0), moved / left), "_gone": left == 0})
+        if n:
+            out = out.join(at[n].withColumnRenamed("v", "_old"), list(chain[:n]))
+            out = out.select(*chain, F.col("_old").alias("old"), F.col("_new").alias("new"), F.col("_gone").alias("gone"))
+    return out.select(*chain, F.col("_new").alias("without"))

@@ -301,6 +301,25 @@ def a31(s, d):
     return s.range(6).withColumnRenamed("id", "dropped").join(by, F.col("dropped") != F.col("fold")).groupBy("dropped").agg(_r(F.avg("y")).alias("y"))
 
 
+@query("A31_drop_one_family", f"WITH {ROWS}, d AS (SELECT m.fold, m.family, f.fold AS of, avg(f.y) AS y FROM fams m JOIN fams f ON NOT (m.fold = f.fold AND m.family = f.family) GROUP BY ALL) SELECT fold, family, round(avg(y), 6) AS y FROM d GROUP BY ALL")
+def a31_family(s, d):
+    return hierarchy.drop_one(rows(s, d), "y", "family").select("fold", "family", _r("without").alias("y"))
+
+
+@query("A31_drop_one_lineage", f"""WITH {ROWS}, f AS (SELECT m.lineage, l.fold, l.family, avg(l.y) AS y FROM lins m JOIN lins l ON m.lineage <> l.lineage GROUP BY ALL),
+d AS (SELECT lineage, fold, avg(y) AS y FROM f GROUP BY ALL) SELECT lineage, round(avg(y), 6) AS y FROM d GROUP BY lineage""")
+def a31_lineage(s, d):
+    return hierarchy.drop_one(rows(s, d), "y", "lineage").select("lineage", _r("without").alias("y"))
+
+
+@query("A31_drop_one_case", f"""WITH {ROWS}, l AS (SELECT m.case_id, c.fold, c.family, c.lineage, avg(c.y) AS y FROM cases m JOIN cases c USING (fold, family, lineage) WHERE m.case_id <> c.case_id GROUP BY ALL),
+f AS (SELECT m.case_id, m.fold, m.family, (coalesce(sum(o.y), 0) + coalesce(any_value(l.y), 0)) / nullif(count(o.y) + count(DISTINCT l.case_id), 0) AS y FROM cases m LEFT JOIN lins o ON o.fold = m.fold AND o.family = m.family AND o.lineage <> m.lineage LEFT JOIN l ON l.case_id = m.case_id GROUP BY ALL),
+d AS (SELECT m.case_id, m.fold, (coalesce(sum(o.y), 0) + coalesce(any_value(f.y), 0)) / nullif(count(o.y) + count(DISTINCT CASE WHEN f.y IS NOT NULL THEN 1 END), 0) AS y FROM cases m LEFT JOIN fams o ON o.fold = m.fold AND o.family <> m.family LEFT JOIN f ON f.case_id = m.case_id GROUP BY ALL)
+SELECT d.case_id, round((coalesce(sum(o.y), 0) + coalesce(any_value(d.y), 0)) / (count(o.y) + count(DISTINCT CASE WHEN d.y IS NOT NULL THEN 1 END)), 6) AS y FROM d LEFT JOIN folds o ON o.fold <> d.fold GROUP BY d.case_id""")
+def a31_case(s, d):
+    return hierarchy.drop_one(rows(s, d), "y", "case_id").select("case_id", _r("without").alias("y"))
+
+
 @query("A32_A33_positive_minimum", f"WITH {ROWS} SELECT fold, min(CASE WHEN n > 0 THEN n END) AS least, round(avg((n = 0)::INT), 6) AS zero_share FROM rows GROUP BY fold")
 def a32(s, d):
     return rows(s, d).groupBy("fold").agg(F.min(F.when(F.col("n") > 0, F.col("n"))).alias("least"), _r(F.avg((F.col("n") == 0).cast("int"))).alias("zero_share"))
