@@ -1,10 +1,11 @@
-"""Queries of the ten operators over the driver's tables, and their SQL where SQL can express them."""
+"""Queries of the operators over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_stream, centroids
 from . import decontaminate as dc
 from . import language, toxicity, url_rules
 from .exact_dedup import exact_dedup
@@ -15,6 +16,7 @@ from .sharding import assign_shards
 from .suffix_dedup import suffix_dedup
 
 SHARDS = 8
+CLUSTERS, ROUNDS, COMPONENTS = 8, 10, 64
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs", "proportions")
 
 
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final cluster of every whole vector of 64 components; vectors with gaps or of another length have no row."""
+    rows, found = centroids.cluster(_table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, components=COMPONENTS)
+    # One row a centroid, so it may be sent to all.
+    each = found.select("cluster", F.col("inertia").alias("cluster_inertia"), centroids.digest("centroid").alias("centroid_sha256"), "members")
+    total = found.agg(F.sum("inertia").alias("inertia"))
+    return rows.join(F.broadcast(each.crossJoin(total)), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", F.col("members").alias("cluster_size"))
+
+
+def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, and the text that they decode to; a null text has none and decodes to an empty one."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = bpe_stream.decode(bpe_stream.encode(_table(spark, sf_dir, "documents"), path), path)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return got.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -98,6 +119,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op12_annulus_clusters": op12_annulus_clusters,
+    "op13_bpe_stream": op13_bpe_stream,
 }
 
 
@@ -110,7 +133,33 @@ def _crc_table() -> list[int]:
     return out
 
 
+def _clusters_sql() -> str:
+    """Rounds one after the other: each assigns every vector and floors the means of the members."""
+
+    def assigned(name: str, of: str) -> str:
+        square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        return f"""{name} AS MATERIALIZED (SELECT n, i, vec_id, x, distance FROM (
+  SELECT v.n, v.vec_id, v.x, c.i, ({square})::BIGINT AS distance FROM v, {of} c) QUALIFY row_number() OVER (PARTITION BY n ORDER BY distance, i) = 1)"""
+
+    steps = [f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {COMPONENTS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS i, x FROM (SELECT x, sha256('3:' || vec_id::VARCHAR) AS h FROM v) ORDER BY h, x LIMIT {CLUSTERS})"""]
+    for r in range(ROUNDS):
+        steps.append(assigned(f"a{r}", f"c{r}"))
+        steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT i, list((s - ((s % k) + k) % k) // k ORDER BY j) AS x FROM (
+      SELECT i, j, sum(x)::BIGINT AS s, count(*) AS k FROM (SELECT i, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM a{r}) GROUP BY i, j) GROUP BY i) m USING (i))""")
+    steps.append(assigned("z", f"c{ROUNDS}"))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, i::INT AS cluster, distance, sum(distance) OVER (PARTITION BY i)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY i) AS cluster_size
+FROM z JOIN c{ROUNDS} c USING (i)"""
+
+
 ORACLE = {
+    "op12_annulus_clusters": _clusters_sql(),
     "op5_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, coalesce(source, chr(0)) AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
