@@ -157,7 +157,8 @@ class _Known(dict):
 class Vocabulary:
     """What a tokenizer file says: merges, ids, added tokens and classes of characters."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
+        """Without ``special``, strings of added tokens are plain text."""
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         model, pre = said["model"], said["pre_tokenizer"] or {}
@@ -166,7 +167,7 @@ class Vocabulary:
             raise ValueError("not a plain byte-level tokenizer")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
             raise ValueError("added tokens take their surroundings")
-        self.added = {t["content"]: t["id"] for t in said["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in said["added_tokens"] if special}
         alphabet, ids = byte_alphabet(), model["vocab"]
         pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in model["merges"]]
         self.lookahead = sufficient_lookahead(pairs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, centroids
+from . import alignment, bpe_stream, centroids
 from . import decontaminate as dc
 from . import language, toxicity, url_rules
 from .exact_dedup import exact_dedup
@@ -89,6 +89,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id").select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs", "proportions")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every whole text between two public tokenizers; texts without tokens have zeros and an empty digest."""
+    import public_tokenizers
+
+    got, _ = alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final cluster of every whole vector of 64 components; vectors with gaps or of another length have no row."""
     rows, found = centroids.cluster(_table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, components=COMPONENTS)
@@ -119,6 +127,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_token_alignment": op11_token_alignment,
     "op12_annulus_clusters": op12_annulus_clusters,
     "op13_bpe_stream": op13_bpe_stream,
 }
