@@ -106,41 +106,6 @@ def test_sources(spark, tmp_path):
         tables.checked(spark.range(1), StructType([StructField("id", IntegerType())]))
 
 
-def test_case_draws_against_brute_force(spark):
-    import hashlib
-    from collections import defaultdict
-
-    from vicinage.operators import bootstrap
-
-    cases = [(0, "a", 1, 10, 1.0), (0, "a", 1, 11, 5.0), (0, "a", 2, 12, 2.0), (1, "a", 3, 13, 7.0), (1, "a", 3, 14, 8.0)]
-    df = spark.createDataFrame(cases, "fold long, family string, lineage long, case_id long, y double")
-    at = lambda m, *x: int(hashlib.sha256("|".join(map(str, ("t", *x))).encode()).hexdigest()[:12], 16) % m
-    strata = defaultdict(lambda: defaultdict(list))
-    for fold, family, lineage, case, _ in cases:
-        strata[fold, family][lineage].append(case)
-    seen, repeats, candidate = [], 0, 0
-    while len(seen) < 20:
-        one = []
-        for (fold, family), lineages in sorted(strata.items()):
-            for o in range(len(lineages)):
-                own = lineages[sorted(lineages)[at(len(lineages), candidate, fold, family, o)]]
-                one += [(fold, family, o, k, own[at(len(own), candidate, fold, family, o, k)]) for k in range(len(own))]
-        repeats += one in seen
-        seen += [one] if one not in seen else []
-        candidate += 1
-    drawn = bootstrap.case_draws(df, 20, "t")
-    got = {tuple(r) for r in drawn.select("replicate", "fold", "family", "occurrence", "slot", "case_id").collect()}
-    assert repeats and got == {(i, *x) for i, one in enumerate(seen) for x in one}
-    y = {c[3]: c[4] for c in cases}
-    mean = lambda v: sum(v) / len(v)
-    by_case = {r["replicate"]: r["stat"] for r in bootstrap.case_count_weighted(df, drawn, "y").collect()}
-    by_occurrence = {r["replicate"]: r["y"] for r in bootstrap.case_occurrence_weighted(df, drawn, "y").collect()}
-    for i, one in enumerate(seen):
-        cells = [[x for x in one if x[0] == fold] for fold in (0, 1)]
-        assert abs(by_case[i] - mean([mean([y[x[4]] for x in c]) for c in cells])) < 1e-9
-        assert abs(by_occurrence[i] - mean([mean([mean([y[x[4]] for x in c if x[2] == o]) for o in {x[2] for x in c}]) for c in cells])) < 1e-9
-
-
 def test_balanced_means_skip_nothing(spark):
     from vicinage.operators import hierarchy
 

@@ -7,9 +7,11 @@ lineage whose place is the hash of (domain, r, stratum, i) modulo m.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nulls import finite
+
 
 def strata(cases: DataFrame) -> DataFrame:
     """(fold, family, lineage, place, m): lineages numbered within their stratum."""
@@ -20,60 +22,15 @@ def strata(cases: DataFrame) -> DataFrame:
 
 def draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
     """(replicate, fold, family, occurrence, lineage)."""
-    placed = strata(cases)
-    slots = placed.select("fold", "family", F.col("place").alias("occurrence"), "m").crossJoin(cases.sparkSession.range(replicates).withColumnRenamed("id", "replicate"))
+    spark, placed = cases.sparkSession, strata(cases)
+    # Spread over all tasks before each lineage's slot meets every replicate.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = placed.select("fold", "family", F.col("place").alias("occurrence"), "m").repartition(tasks, "fold", "family", "occurrence").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))
     text = F.concat_ws("|", F.lit(domain), *[F.col(c).cast("string") for c in ("replicate", "fold", "family", "occurrence")])
     at = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") % F.col("m")
     return slots.withColumn("place", at).drop("m").join(placed.drop("m"), ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", "lineage")
 
 
-def _hit(domain: str, names: tuple[str, ...], m: str):
-    text = F.concat_ws("|", F.lit(domain), *[F.col(c).cast("string") for c in names])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") % F.col(m)
-
-
-def case_draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
-    """(replicate, fold, family, occurrence, lineage, slot, case_id): lineages, then as many cases inside each drawn one as it has.
-
-    Candidates are drawn until so many differ; one that repeats an earlier
-    candidate is left out, and the rest are numbered from 0 in their order.
-    """
-    key = ["fold", "family", "lineage"]
-    w = Window.partitionBy(*key)
-    placed = cases.select(*key, "case_id").withColumn("slot", (F.row_number().over(w.orderBy("case_id")) - 1).cast("long")).withColumn("cases", F.count(F.lit(1)).over(w))
-    total, before = replicates, 0
-    while True:
-        slots = draws(cases, total, domain).join(placed.select(*key, "slot", "cases"), key)
-        hit = slots.withColumn("hit", _hit(domain, ("replicate", "fold", "family", "occurrence", "slot"), "cases")).drop("cases")
-        drawn = hit.join(placed.select(*key, F.col("slot").alias("hit"), "case_id"), [*key, "hit"]).drop("hit")
-        place = ("fold", "family", "occurrence", "slot", "lineage", "case_id")
-        marks = [F.bit_xor(F.xxhash64(F.lit(k), *place)).alias(f"mark{k}") for k in (0, 1)]
-        firsts = drawn.groupBy("replicate").agg(*marks).groupBy("mark0", "mark1").agg(F.min("replicate").alias("replicate"))
-        kept = sorted(r[0] for r in firsts.select("replicate").collect())
-        if len(kept) >= replicates or not kept:
-            break
-        if len(kept) == before:
-            raise ValueError(f"only {before} different replicates among {total} candidates")
-        total, before = 2 * total, len(kept)
-    number = cases.sparkSession.createDataFrame([(c, i) for i, c in enumerate(kept[:replicates])], "candidate long, number long")
-    named = drawn.join(F.broadcast(number), F.col("replicate") == F.col("candidate"))
-    return named.select(F.col("number").alias("replicate"), "fold", "family", "occurrence", "lineage", "slot", "case_id")
-
-
-def case_occurrence_weighted(cases: DataFrame, drawn: DataFrame, *values: str) -> DataFrame:
-    """(replicate, values): mean of the cases drawn in each occurrence, mean in the stratum, mean of strata."""
-    out = drawn.join(cases.select("fold", "family", "lineage", "case_id", *values), ["fold", "family", "lineage", "case_id"])
-    for keys in (("replicate", "fold", "family", "occurrence"), ("replicate", "fold", "family"), ("replicate",)):
-        out = out.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
-    return out
-
-
-def case_count_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
-    """(replicate, stat): every case weighs as often as it was itself drawn; mean of the strata's weighted means."""
-    cell = drawn.join(cases.select("fold", "family", "lineage", "case_id", value), ["fold", "family", "lineage", "case_id"])
-    return cell.groupBy("replicate", "fold", "family").agg(F.avg(value).alias("v")).groupBy("replicate").agg(F.avg("v").alias("stat"))
-
-
 def occurrence_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
     """(replicate, stat): case mean in each drawn lineage, mean in the stratum, mean of strata."""
     lineage = cases.groupBy("fold", "family", "lineage").agg(F.avg(value).alias("v"))
@@ -101,3 +58,66 @@ def max_t(points: DataFrame, replicates: DataFrame, n: int, level: float = 0.95)
     at = -int(-level * n // 1)
     critical = worst.agg(F.greatest(F.lit(0.0), F.sort_array(F.collect_list("t"))[at - 1]).alias("critical"))
     return points.join(se, "component").crossJoin(critical).withColumn("bound", F.col("theta") + F.col("critical") * F.col("se"))
+
+
+#: The replicate that holds point estimates.
+POINT = -1
+
+
+def simultaneous_bounds(stats: DataFrame, replicates: int, allowed: int | None = None, level: float = 0.95) -> DataFrame:
+    """(bounds, component, direction, scale, theta, se, critical, bound, valid, degenerate, status) of all families of bounds in one pass.
+
+    ``stats`` (bounds, component, direction, scale, replicate, stat): ``bounds`` names
+    a family, whose components share one critical value; ``direction`` is ``upper``
+    or ``lower``, ``scale`` ``identity`` or ``log``; replicate ``POINT`` holds the point
+    estimate.  A null, NaN or infinite ``stat`` is invalid, as is one not over 0 on
+    the log scale.
+
+    One mask for all components of a family: a replicate in which one is invalid is
+    degenerate for all.  More than ``allowed`` (two in a hundred) degenerate
+    replicates, or fewer than two valid ones, are NOT_EVALUABLE, and so is a
+    component without spread unless all its replicates equal the point.  On the log
+    scale a component takes part only if its point is over 0 and its own replicates
+    suffice; a point of exactly 0 whose replicates are all 0 is an
+    EXACT_ZERO_DOMINANCE with bound 0, any other is NOT_EVALUABLE.  The critical
+    value is the order statistic at ceil(level n) of the largest standardised
+    deviation of each valid replicate, at least 0.  Empty input gives no rows.
+    """
+    allowed = replicates // 50 if allowed is None else allowed
+    key, one = ["bounds"], ["bounds", "component"]
+    sound, log = finite(F.col("stat")), F.col("scale") == "log"
+    flat = stats.withColumns({"value": F.when(sound & log & (F.col("stat") > 0), F.log("stat")).when(sound & ~log, F.col("stat")), "zero": sound & (F.col("stat") == 0), "sound": sound})
+    points = flat.filter(F.col("replicate") == POINT).select(*one, "direction", "scale", F.col("stat").alias("theta"), F.col("value").alias("point"))
+    drawn = flat.filter(F.col("replicate") != POINT).select(*one, "replicate", "value", "zero", "sound")
+    own = drawn.groupBy(*one).agg(F.count("value").alias("good"), F.count_if("sound").alias("sound"), F.count_if("zero").alias("zeros"))
+    enough = (F.col("sound") >= 2) & (F.lit(replicates) - F.col("sound") <= allowed)
+    points = points.join(own, one, "left").withColumns({
+        "dominant": log & (F.col("theta") == 0) & enough & (F.col("zeros") == F.col("sound")),
+        "eligible": F.coalesce(~log | ((F.col("theta") > 0) & (F.col("good") >= 2) & (F.lit(replicates) - F.col("good") <= allowed)), F.lit(False)),
+    })
+    part = points.filter("eligible").select(*one, "direction", "point")
+    masked = drawn.join(part, one).withColumn("invalid", F.max(F.col("value").isNull() | F.col("point").isNull()).over(Window.partitionBy("bounds", "replicate")))
+    counts = masked.groupBy(*key).agg(F.count_distinct(F.when(~F.col("invalid"), F.col("replicate"))).alias("valid"))
+    kept = masked.filter(~F.col("invalid"))
+    spread = kept.groupBy(*one).agg(F.stddev_samp("value").alias("se"), F.min("value").alias("low"), F.max("value").alias("high"), F.first("point").alias("at"))
+    flat_ = F.col("low") == F.col("high")
+    spread = spread.select(*one, F.when(flat_, 0.0).otherwise(F.col("se")).alias("se"), (flat_ & (F.col("low") != F.col("at"))).alias("stuck"))
+    off = F.when(F.col("direction") == "upper", F.col("point") - F.col("value")).otherwise(F.col("value") - F.col("point"))
+    worst = kept.join(spread, one).groupBy(*key, "replicate").agg(F.max(F.when(F.col("se") > 0, off / F.col("se")).otherwise(0.0)).alias("t"))
+    # A family has as many rows as there are replicates.
+    by = Window.partitionBy(*key)
+    ranked = worst.withColumns({"i": F.row_number().over(by.orderBy("t")), "n": F.count(F.lit(1)).over(by)})
+    critical = ranked.filter(F.col("i") == F.greatest(F.lit(1), F.ceil(F.lit(level) * F.col("n")))).select(*key, F.greatest(F.lit(0.0), F.col("t")).alias("critical"))
+    stuck = spread.groupBy(*key).agg(F.max("stuck").alias("stuck"))
+    all_ = points.join(counts, key, "left").join(spread.drop("stuck"), one, "left").join(critical, key, "left").join(stuck, key, "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
+    status = F.when(F.col("dominant"), "EXACT_ZERO_DOMINANCE").when(F.col("eligible") & (F.col("valid") >= 2) & (F.lit(replicates) - F.col("valid") <= allowed) & ~F.col("stuck"), "EVALUABLE").otherwise("NOT_EVALUABLE")
+    moved = F.col("point") + F.when(F.col("direction") == "upper", 1.0).otherwise(-1.0) * F.col("critical") * F.col("se")
+
+    def told(c: Column, dominant: Column) -> Column:
+        return F.when(F.col("status") == "EVALUABLE", c).when(F.col("status") == "EXACT_ZERO_DOMINANCE", dominant)
+
+    valid = F.when(F.col("dominant"), F.col("sound")).when(F.col("eligible"), F.col("valid")).otherwise(0)
+    return all_.withColumn("status", status).select(
+        *one, "direction", "scale", "theta", told(F.col("se"), F.lit(0.0)).alias("se"), told(F.col("critical"), F.lit(0.0)).alias("critical"),
+        told(F.when(log, F.exp(moved)).otherwise(moved), F.lit(0.0)).alias("bound"), valid.alias("valid"), (F.lit(replicates) - valid).alias("degenerate"), "status",
+    )

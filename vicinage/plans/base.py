@@ -27,20 +27,6 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-#: Queries by name that take many minutes even on the smallest tables; not among those that run everywhere.
-LONG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def long_query(name: str) -> Callable:
-    """Register a query that is run on its own only."""
-
-    def add(f: Callable) -> Callable:
-        LONG[name] = f
-        return f
-
-    return add
-
-
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """Lineitems as rows; order, customer, market segment and customer key modulo 6 are case, lineage, family and fold."""
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("long").alias("row_id"), F.col("l_quantity").alias("y"), F.col("l_tax").alias("n"), F.col("l_discount").alias("b"), F.col("l_returnflag").alias("flag"))

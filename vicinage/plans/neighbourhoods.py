@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import nulls, vectors
 from ..operators import bootstrap, geometry, hierarchy, models, stats
 from ..operators.neighbours import legal_neighbours
-from .base import K, ROWS, edge_sql, edge_targets, knn_sql, long_query, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
+from .base import K, ROWS, edge_sql, edge_targets, knn_sql, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
 
 R = 6
 _r = lambda c: F.round(c, R)
@@ -157,7 +157,7 @@ def m1(s, d):
 
 # Bootstrap -----------------------------------------------------------------------------------------------------
 
-REPLICATES, SEED = 50, "bootstrap"
+REPLICATES, SEED = 10_000, "bootstrap"
 _H = f"('0x' || substr(sha256(concat_ws('|', '{SEED}', replicate::VARCHAR, fold::VARCHAR, family, occurrence::VARCHAR)), 1, 12))::BIGINT"
 DRAWS = f"""strata AS (SELECT fold, family, lineage, row_number() OVER (PARTITION BY fold, family ORDER BY lineage) - 1 AS place, count(*) OVER (PARTITION BY fold, family) AS m FROM lins),
 slots AS (SELECT replicate, fold, family, place AS occurrence, m FROM strata, range({REPLICATES}) r(replicate)),
@@ -224,38 +224,6 @@ def b7(s, d):
     return a.withColumn("status", F.when(bad, "NOT_EVALUABLE").otherwise("EVALUABLE"))
 
 
-#: The whole operator: cases inside lineages, repeated replicates rejected, the reference's number. Too slow for SQL.
-WHOLE = 10_000
-
-
-@long_query("B1_B2_case_draws")
-def b1_cases(s, d):
-    drawn = bootstrap.case_draws(_cases(s, d), WHOLE, SEED)
-    return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("drawn_cases"), F.count_distinct("lineage").alias("lineages"), F.count_distinct("case_id").alias("cases"))
-
-
-@long_query("B4_case_occurrence_weighted")
-def b4_cases(s, d):
-    c = _cases(s, d)
-    return bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").select("replicate", _r("y").alias("stat"))
-
-
-@long_query("B5_case_count_weighted")
-def b5_cases(s, d):
-    c = _cases(s, d)
-    return bootstrap.case_count_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), "y").withColumn("stat", _r("stat"))
-
-
-@long_query("B6_case_max_t_bound")
-def b6_cases(s, d):
-    c = _cases(s, d)
-    stats_ = bootstrap.case_occurrence_weighted(c, bootstrap.case_draws(c, WHOLE, SEED), *"nby")
-    long = lambda t, at, v: t.select(*at, F.inline(F.array(*[F.struct(F.lit(x).alias("component"), F.col(x).alias(v)) for x in "nby"])))
-    fams = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[F.avg(v).alias(v) for v in "nby"])
-    out = bootstrap.max_t(long(fams, (), "theta"), long(stats_, ("replicate",), "stat"), WHOLE)
-    return out.select("component", _r("theta").alias("theta"), _r("se").alias("se"), F.round("critical", 5).alias("critical"), _r("bound").alias("bound"))
-
-
 # Models and geometry -------------------------------------------------------------------------------------------
 
 
