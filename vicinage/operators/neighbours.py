@@ -123,16 +123,18 @@ def _met(q: DataFrame, t: DataFrame, pairs: tuple[np.ndarray, np.ndarray], t_siz
     return sent.repartition(tasks, *keys).join(kept, keys).select("q", "t", "q_cell")
 
 
-def _meet(k: int, all_ties: bool):
-    """Per query and block the k nearest with ties, or their distances alone (infinite where legal rows run out)."""
+def _meet(k: int, all_ties: bool, by_lineage: bool = False):
+    """Per query and block the k nearest with ties, or their distances alone (infinite where legal rows run out); with ``by_lineage`` the k nearest of each training lineage."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 q_id, q_case, q_lin, q_seed, q = _columns(b.column(0), i)
-                t_id, t_case, t_lin, t_seed, t = _columns(b.column(1), i)
+                whole = _columns(b.column(1), i)
                 out: list[tuple] = []
-                for s in range(0, len(q), 256):
+                own = [np.flatnonzero(whole[2] == x) for x in np.unique(whole[2])] if by_lineage else [slice(None)]
+                for s, of in ((s, of) for s in range(0, len(q), 256) for of in own):
+                    t_id, t_case, t_lin, t_seed, t = (x[of] for x in whole)
                     part = slice(s, s + 256)
                     legal = (q_case[part, None] != t_case) & (q_lin[part, None] != t_lin) & ((q_seed[part, None] == 0) | (q_seed[part, None] != t_seed))
                     near = (q[part] ** 2).sum(1)[:, None] + (t**2).sum(1) - 2 * q[part] @ t.T
@@ -140,24 +142,27 @@ def _meet(k: int, all_ties: bool):
                     m = min(k, near.shape[1])
                     least = np.partition(near, m - 1, 1)[:, :m]
                     if not all_ties:
-                        out.append((q_id[part], np.pad(np.sqrt(np.maximum(least, 0)), ((0, 0), (0, k - m)), constant_values=np.inf)))
+                        near_k = np.pad(np.sqrt(np.maximum(least, 0)), ((0, 0), (0, k - m)), constant_values=np.inf)
+                        # A query has no neighbours in its own lineage, and no bound from it.
+                        mine = q_lin[part] != t_lin[0] if by_lineage else slice(None)
+                        out.append((q_id[part][mine], np.full(len(q_id[part]), t_lin[0])[mine], near_k[mine]))
                         continue
                     edge = least.max(1)
                     # Rows near the kth of the expanded form are measured again, exactly, so no tie is lost.
                     r, c = np.nonzero(legal & (near <= np.where(np.isfinite(edge), edge * (1 + 1e-9) + 1e-9, np.inf)[:, None]))
                     d = np.sqrt(((q[part][r] - t[c]) ** 2).sum(1))
-                    out.append((q_id[part][r], t_id[c], t_case[c], d))
+                    out.append((q_id[part][r], t_id[c], t_case[c], t_lin[c], d))
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 if all_ties:
-                    yield pa.record_batch([pa.array(x) for x in cols], names=["query", "neighbour", "case_id", "distance"])
+                    yield pa.record_batch([pa.array(x) for x in cols], names=["query", "neighbour", "case_id", "lineage", "distance"])
                 else:
                     at = pa.array(np.arange(len(cols[0]) + 1, dtype=np.int32) * k)
-                    yield pa.record_batch([pa.array(np.full(len(cols[0]), b.column(2)[i].as_py(), np.int32)), pa.array(cols[0]), pa.ListArray.from_arrays(at, pa.array(cols[1].ravel()))], names=["q_cell", "query", "near"])
+                    yield pa.record_batch([pa.array(np.full(len(cols[0]), b.column(2)[i].as_py(), np.int32)), pa.array(cols[0]), pa.array(cols[1]), pa.ListArray.from_arrays(at, pa.array(cols[2].ravel()))], names=["q_cell", "query", "lineage", "near"])
 
     return meet
 
 
-def _bounds(q: DataFrame, t: DataFrame, k: int, pivots: np.ndarray, q_size: np.ndarray, t_size: np.ndarray) -> np.ndarray:
+def _bounds(q: DataFrame, t: DataFrame, k: int, pivots: np.ndarray, q_size: np.ndarray, t_size: np.ndarray, by_lineage: bool, same: bool) -> np.ndarray:
     """Per cell the largest of its queries' kth distances inside blocks of the nearest filled cells; -1 for cells without queries."""
     filled = np.nonzero(t_size)[0]
     sq = (pivots**2).sum(1)
@@ -166,21 +171,30 @@ def _bounds(q: DataFrame, t: DataFrame, k: int, pivots: np.ndarray, q_size: np.n
     pairs = np.repeat(own, near.shape[1]), filled[near[own]].ravel()
     # One block of a cell is enough for a bound, however many rows the cell has.
     met = _met(q, t.filter("t_part = 0"), pairs, np.minimum(t_size, BLOCK))
-    near = met.mapInArrow(_meet(k, False), "q_cell int, query long, near array<double>")
-    kth = near.groupBy("q_cell", "query").agg(F.array_sort(F.flatten(F.collect_list("near")))[k - 1].alias("kth"))
+    near = met.mapInArrow(_meet(k, False, by_lineage), "q_cell int, query long, lineage long, near array<double>")
+    kth = near.groupBy("q_cell", "query", *(["lineage"] if by_lineage else [])).agg(F.array_sort(F.flatten(F.collect_list("near")))[k - 1].alias("kth"))
     out = np.where(q_size > 0, np.inf, -1.0)
+    if by_lineage:
+        # A query that has not met all lineages but its own near by has no bound.
+        lineages = -int(same) + t.select(F.explode("t.lineage").alias("lineage")).distinct().count()
+        full = kth.groupBy("q_cell", "query").agg(F.max("kth").alias("most"), F.count(F.lit(1)).alias("met"))
+        kth = full.select("q_cell", F.when(F.col("met") >= lineages, F.col("most")).otherwise(float("inf")).alias("kth"))
     for r in kth.groupBy("q_cell").agg(F.max("kth").alias("most")).collect():
         out[r["q_cell"]] = r["most"]
     return out
 
 
-def legal_neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """(query, rank, neighbour, distance) of both sides (row_id, case_id, lineage, seed, x array<double>)."""
+def legal_neighbours(queries: DataFrame, train: DataFrame, k: int, by_lineage: bool = False) -> DataFrame:
+    """(query, rank, neighbour, distance) of both sides (row_id, case_id, lineage, seed, x array<double>).
+
+    With ``by_lineage`` the k nearest in each training lineage, from which those
+    of any set of lineages can be merged, with two more columns (lineage, case_id).
+    """
     same = queries is train
     queries, train = _usable(queries), _usable(train)
     pivots = _pivots(train)
     if not len(pivots):
-        return queries.sparkSession.createDataFrame([], "query long, rank long, neighbour long, distance double")
+        return queries.sparkSession.createDataFrame([], "query long, rank long, neighbour long, distance double" + (", lineage long, case_id long" if by_lineage else ""))
     t_rows = _celled(train, pivots)
     q_rows = t_rows if same else _celled(queries, pivots)
     t_size, t_radius = _extent(t_rows, len(pivots))
@@ -188,10 +202,10 @@ def legal_neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     q, t = _blocks(q_rows, q_size, "q"), _blocks(t_rows, t_size, "t")
     bound = np.where(q_size > 0, np.inf, -1.0)
     if len(pivots) > FEW:
-        bound = _bounds(q, t, k, pivots, q_size, t_size)
-    found = _met(q, t, cell_pairs(pivots, q_radius, bound, t_size, t_radius), t_size).select("q", "t").mapInArrow(_meet(k, True), "query long, neighbour long, case_id long, distance double")
-    order = Window.partitionBy("query").orderBy("distance", "case_id", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
+        bound = _bounds(q, t, k, pivots, q_size, t_size, by_lineage, same)
+    found = _met(q, t, cell_pairs(pivots, q_radius, bound, t_size, t_radius), t_size).select("q", "t").mapInArrow(_meet(k, True, by_lineage), "query long, neighbour long, case_id long, lineage long, distance double")
+    order = Window.partitionBy("query", *(["lineage"] if by_lineage else [])).orderBy("distance", "case_id", "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "neighbour", "distance", *(["lineage", "case_id"] if by_lineage else []))
 
 
 def matched_random(queries: DataFrame, train: DataFrame, k: int, domain: str) -> DataFrame:
