@@ -16,8 +16,9 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def strict_mean(c: Column) -> Column:
+def strict_mean(c: Column | str) -> Column:
     """The mean, or null if any member is not finite."""
+    c = F.col(c) if isinstance(c, str) else c
     return F.when(F.count_if(~finite(c)) == 0, F.avg(c))
 
 

@@ -2,7 +2,9 @@
 
 Draws come from SHA-256, so every replicate is the same on every engine: in a
 stratum (fold and family) with m lineages, occurrence i of replicate r takes the
-lineage whose place is the hash of (domain, r, stratum, i) modulo m.
+lineage whose place is the hash of (domain, r, stratum, i) modulo m.  A replicate
+that draws a value which is null, NaN or infinite is null.  Empty input gives no
+rows.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import finite
+from ..functions.nulls import finite, strict_mean
 
 
 def strata(cases: DataFrame) -> DataFrame:
@@ -33,16 +35,16 @@ def draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
 
 def occurrence_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
     """(replicate, stat): case mean in each drawn lineage, mean in the stratum, mean of strata."""
-    lineage = cases.groupBy("fold", "family", "lineage").agg(F.avg(value).alias("v"))
-    cell = drawn.join(lineage, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg(F.avg("v").alias("v"))
-    return cell.groupBy("replicate").agg(F.avg("v").alias("stat"))
+    lineage = cases.groupBy("fold", "family", "lineage").agg(strict_mean(value).alias("v"))
+    cell = drawn.join(lineage, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg(strict_mean("v").alias("v"))
+    return cell.groupBy("replicate").agg(strict_mean("v").alias("stat"))
 
 
 def count_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
     """(replicate, stat): every case weighs as often as it was drawn; mean of the strata's weighted means."""
     weight = drawn.groupBy("replicate", "fold", "family", "lineage").agg(F.count(F.lit(1)).alias("w"))
-    cell = weight.join(cases, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("v"))
-    return cell.groupBy("replicate").agg(F.avg("v").alias("stat"))
+    cell = weight.join(cases, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg(F.when(F.count_if(~finite(F.col(value))) == 0, F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("v"))
+    return cell.groupBy("replicate").agg(strict_mean("v").alias("stat"))
 
 
 def max_t(points: DataFrame, replicates: DataFrame, n: int, level: float = 0.95) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Verdicts from counts and gates, and metric candidates on zero-laden ratios."""
+"""Verdicts from counts and gates, and metric candidates on zero-laden ratios.
+
+A null input gives NOT_EVALUABLE, or does not count as met; empty tables give no
+rows, and one row of nulls where there are no keys.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import strict_mean
 from . import hierarchy
 
 
@@ -46,7 +51,7 @@ def metric_candidates(rows: DataFrame, q2: float) -> DataFrame:
     a = rows.agg(F.avg(_quotient(F.col("n"), F.col("b"))).alias("value"), F.count_if((F.col("b") == 0) & (F.col("n") == 0)).alias("_none"), F.count_if((F.col("b") == 0) & (F.col("n") > 0)).alias("_open"))
     a_status = F.when(F.col("_none") > 0, "NO_CONTRAST").when(F.col("_open") > 0, "UNBOUNDED").otherwise("EVALUABLE")
     a = a.select(F.lit("A").alias("candidate"), F.when(a_status == "EVALUABLE", F.col("value")).alias("value"), a_status.alias("status"))
-    cases = hierarchy.case_mean(rows, "n", "b").agg(F.avg("n").alias("n"), F.avg("b").alias("b"))
+    cases = hierarchy.case_mean(rows, "n", "b").agg(strict_mean("n").alias("n"), strict_mean("b").alias("b"))
     w = hierarchy.balanced(rows, "n", "b")
     one = lambda df, name, d: df.select(F.lit(name).alias("candidate"), _quotient(F.col("n"), d).alias("value"), _status(F.col("n"), d).alias("status"))
     return a.unionByName(one(cases, "B", F.col("b"))).unionByName(one(w, "C", F.col("b"))).unionByName(one(w, "D", F.lit(float(q2))))

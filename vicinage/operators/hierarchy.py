@@ -38,6 +38,13 @@ def cell_mean(rows: DataFrame, *values: str) -> DataFrame:
     return case_mean(rows, *values).groupBy("fold", "family").agg(*[strict_mean(F.col(v)).alias(v) for v in values], F.count(F.lit(1)).alias("cases"))
 
 
+def expected_cells(cells: DataFrame, *values: str) -> DataFrame:
+    """Every fold with every family; a cell that has no rows has null values, which no mean skips."""
+    # A handful of folds and families.
+    every = cells.select("fold").distinct().crossJoin(F.broadcast(cells.select("family").distinct()))
+    return every.join(cells.select("fold", "family", *values), ["fold", "family"], "left")
+
+
 def scope_rows(cells: DataFrame, value: str) -> DataFrame:
     """OVERALL, FAMILY and FOLD rows over cells that count alike."""
     grouped = cells.groupingSets([(), ("family",), ("fold",)], "family", "fold").agg(strict_mean(F.col(value)).alias(value), F.grouping("family").alias("gf"), F.grouping("fold").alias("gd"))

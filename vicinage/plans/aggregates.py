@@ -172,7 +172,7 @@ def a3(s, d):
 
 @query("A4_equal_lineage_scopes", f"WITH {ROWS} SELECT family, round(avg(y), 6) AS y FROM fams GROUP BY family")
 def a4(s, d):
-    return hierarchy.balanced(rows(s, d), "y", upto="family").groupBy("family").agg(_r(F.avg("y")).alias("y"))
+    return hierarchy.balanced(rows(s, d), "y", upto="family").groupBy("family").agg(_r(nulls.strict_mean("y")).alias("y"))
 
 
 @query("A5_case_equal_cells", f"WITH {ROWS} SELECT fold, family, round(y, 6) AS y, cases FROM cells")
@@ -185,29 +185,57 @@ def a6(s, d):
     return hierarchy.scope_rows(hierarchy.cell_mean(rows(s, d), "y"), "y").withColumn("y", _r("y"))
 
 
+def _gaps(s, d) -> DataFrame:
+    """Rows with nulls and NaN in some cases, and without the lineages of one fold and family."""
+    y = F.when((F.col("fold") == 1) & (F.col("case_id") % 7 == 3), None).when((F.col("fold") == 2) & (F.col("family") == "BUILDING") & (F.col("case_id") % 5 == 1), float("nan")).otherwise(F.col("y"))
+    return rows(s, d).filter("NOT (fold = 4 AND family = 'MACHINERY')").withColumn("y", y)
+
+
+_GAPS = """gaps AS (SELECT fold, family, lineage, case_id, CASE WHEN fold = 1 AND case_id % 7 = 3 THEN NULL WHEN fold = 2 AND family = 'BUILDING' AND case_id % 5 = 1 THEN 'nan'::DOUBLE ELSE y END AS y FROM rows WHERE NOT (fold = 4 AND family = 'MACHINERY'))"""
+
+
+def _strict(c: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({c} IS NULL OR NOT isfinite({c})) = 0 THEN avg({c}) END"
+
+
+@query("A4_A6_null_rule", f"""WITH {ROWS}, {_GAPS}, gc AS (SELECT fold, family, lineage, case_id, {_strict("y")} AS y FROM gaps GROUP BY ALL), gl AS (SELECT fold, family, lineage, {_strict("y")} AS y FROM gc GROUP BY ALL), gf AS (SELECT fold, family, {_strict("y")} AS y FROM gl GROUP BY ALL),
+g AS (SELECT fold, family, y FROM (SELECT DISTINCT fold FROM gf) CROSS JOIN (SELECT DISTINCT family FROM gf) LEFT JOIN gf USING (fold, family))
+SELECT 'OVERALL' AS scope, 'ALL' AS scope_id, round({_strict("y")}, 6) AS y FROM g UNION ALL SELECT 'FAMILY', family, round({_strict("y")}, 6) FROM g GROUP BY family UNION ALL SELECT 'FOLD', fold::VARCHAR, round({_strict("y")}, 6) FROM g GROUP BY fold""")
+def a4_gaps(s, d):
+    cells = hierarchy.expected_cells(hierarchy.balanced(_gaps(s, d), "y", upto="family"), "y")
+    return hierarchy.scope_rows(cells, "y").withColumn("y", _r("y"))
+
+
+@query("A31_null_rule", f"""WITH {ROWS}, {_GAPS}, gc AS (SELECT fold, family, lineage, case_id, {_strict("y")} AS y FROM gaps GROUP BY ALL), gl AS (SELECT fold, family, lineage, {_strict("y")} AS y FROM gc GROUP BY ALL), gf AS (SELECT fold, family, {_strict("y")} AS y FROM gl GROUP BY ALL),
+gd AS (SELECT fold, {_strict("y")} AS y FROM gf WHERE fold <> 2 GROUP BY ALL) SELECT m.fold AS dropped, round({_strict("f.y")}, 6) AS y FROM gd m JOIN gd f ON m.fold <> f.fold GROUP BY m.fold""")
+def a31_gaps(s, d):
+    """Means less one fold where one fold's is null: only without that fold is there a mean."""
+    return hierarchy.drop_one(_gaps(s, d).filter("fold <> 2"), "y", "fold").select(F.col("fold").alias("dropped"), _r("without").alias("y"))
+
+
 @query("A7_nrmse", f"WITH {ROWS}, e AS (SELECT fold, family, case_id, avg((y - 25) ** 2) AS e, avg(y * y) AS t FROM rows GROUP BY ALL) SELECT round(avg(r), 6) AS nrmse FROM (SELECT sqrt(avg(e)) / sqrt(avg(t)) AS r FROM e GROUP BY fold, family)")
 def a7(s, d):
-    e = rows(s, d).groupBy("fold", "family", "case_id").agg(F.avg((F.col("y") - 25) * (F.col("y") - 25)).alias("e"), F.avg(F.col("y") * F.col("y")).alias("t"))
-    return e.groupBy("fold", "family").agg((F.sqrt(F.avg("e")) / F.sqrt(F.avg("t"))).alias("r")).agg(_r(F.avg("r")).alias("nrmse"))
+    e = rows(s, d).groupBy("fold", "family", "case_id").agg(nulls.strict_mean((F.col("y") - 25) * (F.col("y") - 25)).alias("e"), nulls.strict_mean(F.col("y") * F.col("y")).alias("t"))
+    return e.groupBy("fold", "family").agg((F.sqrt(nulls.strict_mean("e")) / F.sqrt(nulls.strict_mean("t"))).alias("r")).agg(_r(nulls.strict_mean("r")).alias("nrmse"))
 
 
 @query("A8_target_rms", f"WITH {ROWS}, e AS (SELECT family, case_id, avg(y * y) AS e FROM rows GROUP BY ALL) SELECT round(sqrt(avg(f)), 6) AS rms FROM (SELECT avg(e) AS f FROM e GROUP BY family)")
 def a8(s, d):
-    e = rows(s, d).groupBy("family", "case_id").agg(F.avg(F.col("y") * F.col("y")).alias("e"))
-    return e.groupBy("family").agg(F.avg("e").alias("f")).agg(_r(F.sqrt(F.avg("f"))).alias("rms"))
+    e = rows(s, d).groupBy("family", "case_id").agg(nulls.strict_mean(F.col("y") * F.col("y")).alias("e"))
+    return e.groupBy("family").agg(nulls.strict_mean("e").alias("f")).agg(_r(F.sqrt(nulls.strict_mean("f"))).alias("rms"))
 
 
 @query("A9_trace_variance", f"WITH {ROWS}, e AS (SELECT family, case_id, avg(y * y + n * n) AS e, avg(y) AS y, avg(n) AS n FROM rows GROUP BY ALL), f AS (SELECT avg(e) AS e, avg(y) AS y, avg(n) AS n FROM e GROUP BY family) SELECT round(avg(e) - avg(y) ** 2 - avg(n) ** 2, 6) AS trace FROM f")
 def a9(s, d):
-    e = rows(s, d).groupBy("family", "case_id").agg(F.avg(F.col("y") * F.col("y") + F.col("n") * F.col("n")).alias("e"), F.avg("y").alias("y"), F.avg("n").alias("n"))
-    f = e.groupBy("family").agg(*[F.avg(c).alias(c) for c in ("e", "y", "n")]).agg(*[F.avg(c).alias(c) for c in ("e", "y", "n")])
+    e = rows(s, d).groupBy("family", "case_id").agg(nulls.strict_mean(F.col("y") * F.col("y") + F.col("n") * F.col("n")).alias("e"), nulls.strict_mean("y").alias("y"), nulls.strict_mean("n").alias("n"))
+    f = e.groupBy("family").agg(*[nulls.strict_mean(c).alias(c) for c in ("e", "y", "n")]).agg(*[nulls.strict_mean(c).alias(c) for c in ("e", "y", "n")])
     return f.select(_r(F.col("e") - F.col("y") * F.col("y") - F.col("n") * F.col("n")).alias("trace"))
 
 
 @query("A10_mean_vector", f"WITH {ROWS}, f AS (SELECT family, avg(y) AS y, avg(n) AS n, avg(b) AS b FROM cases GROUP BY family) SELECT round(avg(y), 6) AS y, round(avg(n), 6) AS n, round(avg(b), 6) AS b FROM f")
 def a10(s, d):
-    f = hierarchy.case_mean(rows(s, d), "y", "n", "b").groupBy("family").agg(*[F.avg(c).alias(c) for c in "ynb"])
-    return f.agg(*[_r(F.avg(c)).alias(c) for c in "ynb"])
+    f = hierarchy.case_mean(rows(s, d), "y", "n", "b").groupBy("family").agg(*[nulls.strict_mean(c).alias(c) for c in "ynb"])
+    return f.agg(*[_r(nulls.strict_mean(c)).alias(c) for c in "ynb"])
 
 
 @query("A12_A13_quantiles", "SELECT l_returnflag, quantile_disc(l_quantity, 0.9) AS p90_disc, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50 FROM lineitem GROUP BY 1")
@@ -298,7 +326,7 @@ def a30(s, d):
 def a31(s, d):
     # Folds are the outermost level, so each mean less one follows from the six fold means.
     by = hierarchy.balanced(rows(s, d), "y", upto="fold")
-    return s.range(6).withColumnRenamed("id", "dropped").join(by, F.col("dropped") != F.col("fold")).groupBy("dropped").agg(_r(F.avg("y")).alias("y"))
+    return s.range(6).withColumnRenamed("id", "dropped").join(by, F.col("dropped") != F.col("fold")).groupBy("dropped").agg(_r(nulls.strict_mean("y")).alias("y"))
 
 
 @query("A31_drop_one_family", f"WITH {ROWS}, d AS (SELECT m.fold, m.family, f.fold AS of, avg(f.y) AS y FROM fams m JOIN fams f ON NOT (m.fold = f.fold AND m.family = f.family) GROUP BY ALL) SELECT fold, family, round(avg(y), 6) AS y FROM d GROUP BY ALL")
@@ -428,7 +456,7 @@ def n16(s, d):
 @query("D1_D2_gates", f"""WITH {ROWS}, m AS (SELECT family, avg(n) / avg(b) AS ratio FROM fams GROUP BY family), t(gate, most) AS (VALUES ('strict', 0.75), ('loose', 0.85))
 SELECT gate, family, round(ratio, 6) AS ratio, ratio <= most AS passed FROM m, t""")
 def d1(s, d):
-    m = hierarchy.balanced(rows(s, d), "n", "b", upto="family").groupBy("family").agg((F.avg("n") / F.avg("b")).alias("ratio"))
+    m = hierarchy.balanced(rows(s, d), "n", "b", upto="family").groupBy("family").agg((nulls.strict_mean("n") / nulls.strict_mean("b")).alias("ratio"))
     t = s.createDataFrame([("strict", 0.75), ("loose", 0.85)], "gate string, most double")
     return m.crossJoin(F.broadcast(t)).select("gate", "family", _r("ratio").alias("ratio"), (F.col("ratio") <= F.col("most")).alias("passed"))
 

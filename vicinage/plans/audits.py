@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import nulls, vectors
 from ..operators import bootstrap, decisions, hierarchy, joins, models, particles, selection
 from ..sources import publish
 from ..sources.tables import table
@@ -96,7 +96,7 @@ def r5(s, d):
 
 @query("A11_inner_fold_error", f"WITH {ROWS} SELECT fold, round(avg(e), 6) AS energy FROM (SELECT fold, family, avg(e) AS e FROM (SELECT fold, family, case_id, avg(y * y) AS e FROM rows GROUP BY ALL) GROUP BY ALL) GROUP BY fold")
 def a11(s, d):
-    return hierarchy.cell_mean(rows(s, d).withColumn("e", F.col("y") * F.col("y")), "e").groupBy("fold").agg(_r(F.avg("e")).alias("energy"))
+    return hierarchy.cell_mean(rows(s, d).withColumn("e", F.col("y") * F.col("y")), "e").groupBy("fold").agg(_r(nulls.strict_mean("e")).alias("energy"))
 
 
 @query("W8_order_statistic", f"WITH {ROWS}, o AS (SELECT family, y, row_number() OVER (PARTITION BY family ORDER BY y) AS i, count(*) OVER (PARTITION BY family) AS n FROM rows) SELECT family, y AS value FROM o WHERE i = (95 * n + 99) // 100")
@@ -127,7 +127,7 @@ o AS (SELECT t.candidate, folds_won, (t.y < r.y)::BIGINT + (t.n < r.n)::BIGINT +
 l AS (SELECT *, candidate <> 'N' AND folds_won >= 3 AND gains >= 1 AS eligible FROM o)
 SELECT *, row_number() OVER (ORDER BY CASE WHEN eligible THEN 0 WHEN candidate = 'N' THEN 1 ELSE 2 END, CASE WHEN eligible THEN rank_sum END, candidate) = 1 AS chosen FROM l""")
 def g5(s, d):
-    m = rows(s, d).groupBy(F.col("flag").alias("candidate"), "fold").agg(*[F.avg(v).alias(v) for v in "ynb"])
+    m = rows(s, d).groupBy(F.col("flag").alias("candidate"), "fold").agg(*[nulls.strict_mean(v).alias(v) for v in "ynb"])
     return selection.blind_choice(m, "N", ["y", "n", "b"], 3, 1)
 
 
@@ -153,7 +153,7 @@ def n13(s, d):
 @query("N17_polarization_replication", f"WITH {ROWS}, o AS (SELECT family, avg(n) > avg(b) AS above FROM fams GROUP BY family) SELECT family, any_value(above) AS above, count(*) AS folds, count(*) FILTER ((n > b) = above) AS agreeing, count(*) FILTER ((n > b) = above) = count(*) AS replicated FROM fams JOIN o USING (family) GROUP BY family")
 def n17(s, d):
     f = hierarchy.balanced(rows(s, d), "n", "b", upto="family")
-    o = f.groupBy("family").agg((F.avg("n") > F.avg("b")).alias("above"))
+    o = f.groupBy("family").agg((nulls.strict_mean("n") > nulls.strict_mean("b")).alias("above"))
     same = (F.col("n") > F.col("b")) == F.col("above")
     return f.join(o, "family").groupBy("family").agg(F.first("above").alias("above"), F.count(F.lit(1)).alias("folds"), F.count_if(same).alias("agreeing"), (F.count_if(same) == F.count(F.lit(1))).alias("replicated"))
 
@@ -168,7 +168,7 @@ def n19(s, d):
 
 @query("D3_evaluability", f"WITH {ROWS}, m AS (SELECT family, avg(n) AS n, avg(b) AS b, max(CASE WHEN b > 0 THEN n / b END) AS bound FROM fams GROUP BY family) SELECT family, round(n / b, 6) AS ratio, round(bound, 6) AS bound, CASE WHEN b IS NULL OR b <= 0 OR n IS NULL OR bound IS NULL THEN 'NOT_EVALUABLE' WHEN n / b < 0.9 AND bound < 0.9 THEN 'QUALIFIED' ELSE 'NOT_QUALIFIED' END AS verdict FROM m")
 def d3(s, d):
-    m = hierarchy.balanced(rows(s, d), "n", "b", upto="family").groupBy("family").agg(F.avg("n").alias("n"), F.avg("b").alias("b"), F.max(F.when(F.col("b") > 0, F.col("n") / F.col("b"))).alias("bound"))
+    m = hierarchy.balanced(rows(s, d), "n", "b", upto="family").groupBy("family").agg(nulls.strict_mean("n").alias("n"), nulls.strict_mean("b").alias("b"), F.max(F.when(F.col("b") > 0, F.col("n") / F.col("b"))).alias("bound"))
     return m.select("family", _r(F.col("n") / F.col("b")).alias("ratio"), _r("bound").alias("bound"), decisions.evaluability(F.col("n"), F.col("b"), F.col("bound"), 0.9).alias("verdict"))
 
 
@@ -196,7 +196,7 @@ def b9(s, d):
     c = hierarchy.case_mean(rows(s, d), "y", "n", "b")
     drawn = bootstrap.draws(c, REPLICATES, SEED)
     r = {v: bootstrap.occurrence_weighted(c, drawn, v).select("replicate", F.lit(v).alias("component"), "stat") for v in "nby"}
-    theta = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[F.avg(v).alias(v) for v in "nby"])
+    theta = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[nulls.strict_mean(v).alias(v) for v in "nby"])
     out = None
     for name, members in _FAMILIES.items():
         p = theta.select(F.inline(F.array(*[F.struct(F.lit(v).alias("component"), F.col(v).alias("theta")) for v in members])))
@@ -280,7 +280,7 @@ def i1(s, d):
 def i3(s, d):
     r = rows(s, d)
     stated = hierarchy.balanced(r, "y", upto="fold").withColumnRenamed("y", "_y")
-    again = hierarchy.balanced(r, "y", upto="family").groupBy("fold").agg(F.avg("y").alias("y"))
+    again = hierarchy.balanced(r, "y", upto="family").groupBy("fold").agg(nulls.strict_mean("y").alias("y"))
     return stated.join(again, "fold").select("fold", _r("_y").alias("stated"), _r("y").alias("recomputed"), (F.abs(F.col("_y") - F.col("y")) <= 1e-9).alias("same"))
 
 

@@ -74,7 +74,7 @@ def n3(s, d):
 def n4(s, d):
     p = points(s, d)
     v = neighbours(p).join(p.select(F.col("row_id").alias("neighbour"), "y"), "neighbour").groupBy("query").agg(F.var_samp("y").alias("v"))
-    t = p.groupBy("family").agg(F.avg(F.col("y") * F.col("y")).alias("e"), F.avg("y").alias("m")).agg((F.avg("e") - F.avg("m") * F.avg("m")).alias("t"))
+    t = p.groupBy("family").agg(nulls.strict_mean(F.col("y") * F.col("y")).alias("e"), nulls.strict_mean("y").alias("m")).agg((nulls.strict_mean("e") - nulls.strict_mean("m") * nulls.strict_mean("m")).alias("t"))
     return v.join(p.select(F.col("row_id").alias("query"), "family"), "query").crossJoin(F.broadcast(t)).groupBy("family").agg(_r(F.avg(nulls.divide(F.col("v"), F.col("t")))).alias("cvar"))
 
 
@@ -207,7 +207,7 @@ def b6(s, d):
     drawn = bootstrap.draws(c, REPLICATES, SEED)
     one = lambda v: bootstrap.occurrence_weighted(c, drawn, v).select("replicate", F.lit(v).alias("component"), "stat")
     r = one("n").unionByName(one("b")).unionByName(one("y"))
-    fams = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[F.avg(v).alias(v) for v in "nby"])
+    fams = hierarchy.balanced(rows(s, d), "n", "b", "y", upto="family").agg(*[nulls.strict_mean(v).alias(v) for v in "nby"])
     p = fams.select(F.inline(F.array(*[F.struct(F.lit(v).alias("component"), F.col(v).alias("theta")) for v in "nby"])))
     out = bootstrap.max_t(p, r, REPLICATES)
     return out.select("component", _r("theta").alias("theta"), _r("se").alias("se"), F.round("critical", 5).alias("critical"), _r("bound").alias("bound"))
