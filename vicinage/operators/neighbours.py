@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.scratch import written
+from .quantiles import numbered
 
 #: Rows of a block.
 BLOCK = 2048
@@ -208,12 +210,78 @@ def legal_neighbours(queries: DataFrame, train: DataFrame, k: int, by_lineage: b
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", F.col("rank").cast("long").alias("rank"), "neighbour", "distance", *(["lineage", "case_id"] if by_lineage else []))
 
 
-def matched_random(queries: DataFrame, train: DataFrame, k: int, domain: str) -> DataFrame:
-    """(query, rank, comparator): k legal training rows by the SHA-256 of domain, query and row; the same for every arm."""
-    q = queries.select(F.col("row_id").alias("query"), F.col("case_id").alias("qc"), F.col("lineage").alias("ql"), F.col("seed").alias("qs"))
+#: Candidates that a query draws first; every round draws twice as many.
+DRAWS = 32
+
+
+def _candidates(queries: DataFrame, train: DataFrame, n: int, first: int, upto: int, domain: str) -> DataFrame:
+    """(query, i, comparator) of the legal ones among candidates ``first`` to ``upto`` of each query, a number of a training row each."""
+    drawn = queries.withColumn("i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(upto - 1).cast("long"))))
+    text = F.concat_ws("|", F.lit(domain), F.col("query").cast("string"), F.col("i").cast("string"))
+    drawn = drawn.withColumn("number", F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") % F.lit(n))
     legal = (F.col("qc") != F.col("case_id")) & (F.col("ql") != F.col("lineage")) & ((F.col("qs") == 0) | (F.col("qs") != F.col("seed")))
-    drawn = F.sha2(F.concat_ws("|", F.lit(domain), F.col("query").cast("string"), F.col("row_id").cast("string")), 256)
-    best = q.join(train.select("row_id", "case_id", "lineage", "seed"), legal).select("query", F.struct(drawn.alias("h"), F.col("row_id").alias("comparator")).alias("s"))
-    # The optimizer puts a limit of k per query before the shuffle (WindowGroupLimit); all legal pairs are hashed once.
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("s"))).filter(F.col("rank") <= k)
-    return ranked.select("query", F.col("rank").cast("long").alias("rank"), "s.comparator")
+    return drawn.join(train, "number").filter(legal).select("query", "i", F.col("row_id").alias("comparator"))
+
+
+def _pools(queries: DataFrame, train: DataFrame) -> DataFrame:
+    """(query, pool): how many training rows are legal, from counts of rows alike in case, lineage and seed."""
+    own = {"case_id": "qc", "lineage": "ql", "seed": "qs"}
+    out, barred = queries, F.lit(0)
+    for i, names in enumerate((("case_id",), ("lineage",), ("seed",), ("case_id", "lineage"), ("case_id", "seed"), ("lineage", "seed"), tuple(own))):
+        counts = train.groupBy(*[F.col(k).alias(own[k]) for k in names]).agg(F.count(F.lit(1)).alias(f"_n{i}"))
+        out = out.join(counts, [own[k] for k in names], "left")
+        alike = F.coalesce(F.col(f"_n{i}"), F.lit(0)) * (1 if len(names) != 2 else -1)
+        barred = barred + (F.when(F.col("qs") != 0, alike).otherwise(0) if "seed" in names else alike)
+    return out.select("query", (F.lit(train.count()) - barred).alias("pool"))
+
+
+def _drawn(queries: DataFrame, train: DataFrame, n: int, k: int, domain: str, taken: DataFrame | None = None) -> DataFrame:
+    """(query, rank, comparator): the first k different legal candidates of each query that are not in ``taken``, or its whole pool."""
+    found, open_, first, upto = None, queries, 0, DRAWS
+    while True:
+        got = _candidates(open_, train, n, first, upto, domain)
+        if taken is not None:
+            got = got.join(taken.select("query", "comparator"), ["query", "comparator"], "left_anti")
+        got = written(got.groupBy("query", "comparator").agg(F.min("i").alias("i")), "drawn")
+        found = got if found is None else found.unionByName(got).groupBy("query", "comparator").agg(F.min("i").alias("i"))
+        # A query goes on until it has k or its whole pool; the pools are counted for those few that need more than one round.
+        have = found.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
+        short = written(open_.join(have, "query", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < k).drop("have"), "open")
+        if first:
+            pools = _pools(short, train)
+            if taken is not None:
+                used = taken.groupBy("query").agg(F.count(F.lit(1)).alias("used"))
+                pools = pools.join(used, "query", "left").select("query", (F.col("pool") - F.coalesce("used", F.lit(0))).alias("pool"))
+            left = short.join(pools, "query").join(have, "query", "left").filter(F.coalesce("have", F.lit(0)) < F.col("pool"))
+            short = written(left.select(*short.columns), "open")
+        open_ = short
+        if not open_.limit(1).count():
+            break
+        first, upto = upto, upto + 2 * (upto - first)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("i"))
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query", "rank", "comparator")
+
+
+def matched_random(queries: DataFrame, train: DataFrame, k: int, domain: str, extension: int = 0) -> DataFrame:
+    """(query, rank, comparator): k legal training rows of each query, without replacement; the same for every arm.
+
+    Training rows are numbered in order of ``row_id``.  Candidate i of a query is the
+    row whose number is the SHA-256 of domain, query and i modulo their count; the
+    first k that are legal and different are kept, so the work follows queries and
+    k, whatever the number of training rows.  ``extension`` more, with a domain of
+    their own, come from what is left and do not change the first.  A query with
+    fewer legal rows gets them all.  Rows with a null key take no part, and empty
+    tables give no rows.
+    """
+    keys = ["row_id", "case_id", "lineage", "seed"]
+    rows = numbered(train.select(*keys).dropna(), ["row_id"], "number")
+    own = written(queries.select(*keys).dropna().select(F.col("row_id").alias("query"), F.col("case_id").alias("qc"), F.col("lineage").alias("ql"), F.col("seed").alias("qs")), "queries")
+    n = rows.count()
+    if not n:
+        return own.limit(0).select("query", F.lit(0).cast("long").alias("rank"), F.col("query").alias("comparator"))
+    first = _drawn(own, rows, n, k, domain)
+    if not extension:
+        return first
+    first = written(first, "first")
+    more = _drawn(own, rows, n, extension, f"{domain}-extension", first)
+    return first.unionByName(more.withColumn("rank", F.col("rank") + k))

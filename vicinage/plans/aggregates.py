@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nulls, vectors
 from ..operators import hierarchy, joins, stats
+from ..operators.quantiles import quantiles
 from ..sources.tables import strict, table
 from .base import ROWS, points, points_sql, query, rows
 
@@ -240,7 +241,9 @@ def a10(s, d):
 
 @query("A12_A13_quantiles", "SELECT l_returnflag, quantile_disc(l_quantity, 0.9) AS p90_disc, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50 FROM lineitem GROUP BY 1")
 def a12(s, d):
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity)").alias("p90_disc"), F.round(F.percentile("l_extendedprice", 0.25), 4).alias("q25"), F.round(F.percentile("l_extendedprice", 0.5), 4).alias("q50"))
+    line = table(s, d, "lineitem")
+    price = quantiles(line, ["l_returnflag"], "l_extendedprice", {"q25": (0.25, "linear"), "q50": (0.5, "linear")})
+    return quantiles(line, ["l_returnflag"], "l_quantity", {"p90_disc": (0.9, "disc")}).join(price, "l_returnflag").select("l_returnflag", "p90_disc", F.round("q25", 4).alias("q25"), F.round("q50", 4).alias("q50"))
 
 
 @query("A14_A15_A16_moments", f"WITH {ROWS} SELECT family, round(stddev_pop(y) / avg(y), 6) AS cv, round(stddev_samp(y), 6) AS sd, round(skewness(y), 6) AS skew, min(y) AS low, max(y) AS high FROM rows GROUP BY family")

@@ -71,8 +71,8 @@ def neighbours(p: DataFrame, k: int = K) -> DataFrame:
     return legal_neighbours(both, both, k)
 
 
-def randoms(p: DataFrame, k: int = K) -> DataFrame:
-    return matched_random(_keyed(p), _keyed(p), k, DOMAIN)
+def randoms(p: DataFrame, k: int = K, extension: int = 0) -> DataFrame:
+    return matched_random(_keyed(p), _keyed(p), k, DOMAIN, extension)
 
 
 _LEGAL = "q.case_id <> t.case_id AND q.fold <> t.fold AND (q.seed = 0 OR q.seed <> t.seed)"
@@ -85,15 +85,27 @@ def knn_sql(k: int = K, source: str = "pts", name: str = "knn") -> str:
   FROM {source} q JOIN {source} t ON {_LEGAL} QUALIFY rank <= {k})"""
 
 
+def _random_part(name: str, k: int, source: str, domain: str, but: str = "") -> str:
+    at = f"(('0x' || substr(sha256(concat_ws('|', '{domain}', row_id::VARCHAR, i::VARCHAR)), 1, 12))::BIGINT % (SELECT count(*) FROM {source}))"
+    return f"""{name}_at AS MATERIALIZED (SELECT *, {at} AS number FROM {source} CROSS JOIN range(512) a(i)),
+{name}_of AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS number FROM {source}),
+{name} AS (
+  SELECT query, row_number() OVER (PARTITION BY query ORDER BY i) AS rank, comparator FROM (
+    SELECT q.row_id AS query, t.row_id AS comparator, min(q.i) AS i FROM {name}_at q JOIN {name}_of t USING (number) WHERE {_LEGAL} GROUP BY ALL) c {but} QUALIFY rank <= {k})"""
+
+
 def random_sql(k: int = K, source: str = "pts", name: str = "rnd") -> str:
-    h = f"sha256(concat_ws('|', '{DOMAIN}', q.row_id::VARCHAR, t.row_id::VARCHAR))"
-    return f"""{name} AS (
-  SELECT q.row_id AS query, row_number() OVER (PARTITION BY q.row_id ORDER BY {h}, t.row_id) AS rank, t.row_id AS comparator
-  FROM {source} q JOIN {source} t ON {_LEGAL} QUALIFY rank <= {k})"""
+    """Enough candidates for the test tables: the first k that are legal and different."""
+    return _random_part(name, k, source, DOMAIN)
+
+
+def extended_sql(k: int = K, more: int = 10, source: str = "pts", name: str = "rnd") -> str:
+    but = f"WHERE NOT EXISTS (SELECT 1 FROM {name}_first f WHERE f.query = c.query AND f.comparator = c.comparator)"
+    return f"{_random_part(name + '_first', k, source, DOMAIN)}, {_random_part(name + '_more', more, source, DOMAIN + '-extension', but)}, {name} AS (SELECT * FROM {name}_first UNION ALL SELECT query, rank + {k}, comparator FROM {name}_more)"
 
 
-def edge_targets(p: DataFrame, k: int = K) -> DataFrame:
-    """(query, fold, family, lineage, case_id, n, b): mean squared target difference to neighbours and to random rows."""
+def edge_targets(p: DataFrame, k: int = K, drawn: DataFrame | None = None) -> DataFrame:
+    """(query, fold, family, lineage, case_id, n, b): mean squared target difference to neighbours and to random rows, drawn here or before."""
     y = p.select(F.col("row_id").alias("other"), F.col("y").alias("oy"))
     base = p.select(F.col("row_id").alias("query"), "fold", "family", "lineage", "case_id", "y")
 
@@ -101,7 +113,7 @@ def edge_targets(p: DataFrame, k: int = K) -> DataFrame:
         e = edges.withColumnRenamed(other, "other").join(y, "other").join(base.select("query", "y"), "query")
         return e.groupBy("query").agg(F.avg((F.col("oy") - F.col("y")) * (F.col("oy") - F.col("y"))).alias(out))
 
-    return base.join(mean(neighbours(p, k), "neighbour", "n"), "query").join(mean(randoms(p, k), "comparator", "b"), "query").drop("y")
+    return base.join(mean(neighbours(p, k), "neighbour", "n"), "query").join(mean(randoms(p, k) if drawn is None else drawn, "comparator", "b"), "query").drop("y")
 
 
 def edge_sql(k: int = K, source: str = "pts", name: str = "edge", suffix: str = "") -> str:

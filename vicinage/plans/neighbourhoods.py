@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import nulls, vectors
 from ..operators import bootstrap, geometry, hierarchy, models, nested, stats
 from ..operators.neighbours import legal_neighbours
-from .base import K, ROWS, edge_sql, edge_targets, knn_sql, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
+from ..operators.quantiles import quantiles
+from ..sources.scratch import written
+from .base import K, ROWS, edge_sql, edge_targets, extended_sql, knn_sql, neighbours, points, points_sql, query, random_sql, randoms, rows, w_sql
 
 R = 6
 _r = lambda c: F.round(c, R)
@@ -25,7 +27,8 @@ def j5(s, d):
 def j6(s, d):
     p = points(s, d)
     kth = neighbours(p).filter(F.col("rank") == K).join(p.select(F.col("row_id").alias("query"), "fold"), "query")
-    return kth.groupBy("fold").agg(_r(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY distance)")).alias("radius"), _r(F.min("distance")).alias("least"), _r(F.max("distance")).alias("most"))
+    ends = kth.groupBy("fold").agg(F.min("distance").alias("least"), F.max("distance").alias("most"))
+    return quantiles(kth, ["fold"], "distance", {"radius": (0.95, "disc")}).join(ends, "fold").select("fold", *[_r(c).alias(c) for c in ("radius", "least", "most")])
 
 
 @query("J7_matched_random", f"WITH {PTS}, {random_sql()} SELECT query, rank, comparator FROM rnd")
@@ -33,6 +36,12 @@ def j7(s, d):
     return randoms(points(s, d))
 
 
+@query("J7_matched_random_20", f"WITH {PTS}, {extended_sql()} SELECT query, rank, comparator FROM rnd")
+def j7_20(s, d):
+    """The same ten and ten more."""
+    return randoms(points(s, d), K, 10)
+
+
 @query("J8_N6_reciprocal_edges", f"WITH {PTS}, {knn_sql()} SELECT family, round(avg((b.query IS NOT NULL)::INT), 6) AS reciprocal FROM knn a JOIN pts ON row_id = a.query LEFT JOIN knn b ON a.query = b.neighbour AND a.neighbour = b.query GROUP BY family")
 def j8(s, d):
     p = points(s, d)
@@ -53,15 +62,58 @@ def j9(s, d):
 def p11(s, d):
     p = points(s, d)
     k = neighbours(p).filter(F.col("rank") == K).join(p.select(F.col("row_id").alias("query"), "fold", "family"), "query")
-    r = k.groupBy("fold").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY distance)").alias("radius"))
+    r = quantiles(k, ["fold"], "distance", {"radius": (0.9, "disc")})
     return k.join(F.broadcast(r), "fold").groupBy("family").agg(_r(F.avg((F.col("distance") <= F.col("radius")).cast("int"))).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
 @query("N1_N2_pointwise_disagreement", f"WITH {PTS}, {edge_sql()} SELECT fold, round(quantile_disc(n / b, 0.5), 6) AS p50, round(quantile_disc(n / b, 0.9), 6) AS p90, count(*) FILTER (b = 0) AS undefined FROM edge GROUP BY fold")
 def n1(s, d):
     e = edge_targets(points(s, d)).withColumn("r", nulls.divide(F.col("n"), F.col("b")))
-    q = lambda x: _r(F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY r)"))
-    return e.groupBy("fold").agg(q(0.5).alias("p50"), q(0.9).alias("p90"), F.count_if(F.col("b") == 0).alias("undefined"))
+    undefined = e.groupBy("fold").agg(F.count_if(F.col("b") == 0).alias("undefined"))
+    return undefined.join(quantiles(e, ["fold"], "r", {"p50": (0.5, "disc"), "p90": (0.9, "disc")}), "fold", "left").select("fold", _r("p50").alias("p50"), _r("p90").alias("p90"), "undefined")
+
+
+_KS = (5, 10, 20)
+
+
+def _ratio_sql() -> str:
+    """(row, case, lineage, family, fold, r5, r10, r20): null where the random rows do not differ in target."""
+    n = ", ".join(f"avg((t.y - q.y) ** 2) FILTER (rank <= {k}) AS n{k}" for k in _KS)
+    b = n.replace(" AS n", " AS b")
+    r = ", ".join(f"CASE WHEN b{k} > 0 THEN n{k} / b{k} END AS r{k}" for k in _KS)
+    return f"""{knn_sql(20)}, {extended_sql()}, ratio AS (SELECT p.row_id, p.case_id, p.lineage, p.family, p.fold, {r} FROM pts p
+  JOIN (SELECT query, {n} FROM knn JOIN pts t ON t.row_id = neighbour JOIN pts q ON q.row_id = query GROUP BY query) a ON a.query = p.row_id
+  JOIN (SELECT query, {b} FROM rnd JOIN pts t ON t.row_id = comparator JOIN pts q ON q.row_id = query GROUP BY query) z ON z.query = p.row_id)"""
+
+
+def pointwise_ratios(p: DataFrame) -> DataFrame:
+    """(row_id, case_id, lineage, family, fold, r5, r10, r20) of all rows, for three numbers of neighbours and random rows."""
+    y = p.select(F.col("row_id").alias("other"), F.col("y").alias("oy"))
+    base = p.select("row_id", "case_id", "lineage", "family", "fold", "y")
+
+    def means(edges: DataFrame, other: str, out: str) -> DataFrame:
+        e = edges.withColumnRenamed(other, "other").join(y, "other").join(base.select(F.col("row_id").alias("query"), "y"), "query")
+        return e.groupBy(F.col("query").alias("row_id")).agg(*[F.avg(F.when(F.col("rank") <= k, (F.col("oy") - F.col("y")) * (F.col("oy") - F.col("y")))).alias(f"{out}{k}") for k in _KS])
+
+    both = base.join(means(neighbours(p, 20), "neighbour", "n"), "row_id").join(means(randoms(p, K, 10), "comparator", "b"), "row_id")
+    return both.select("row_id", "case_id", "lineage", "family", "fold", *[nulls.divide(F.col(f"n{k}"), F.col(f"b{k}")).alias(f"r{k}") for k in _KS])
+
+
+_QS = {f"p{int(100 * q)}_{k}": (f"r{k}", q) for k in _KS for q in (0.5, 0.9)}
+
+
+@query("N2_case_quantiles", f"""WITH {PTS}, {_ratio_sql()},
+c AS (SELECT fold, family, case_id, {", ".join(f"CASE WHEN count(*) = count({r}) THEN quantile_disc({r}, {q}) END AS {n}" for n, (r, q) in _QS.items())} FROM ratio GROUP BY ALL)
+SELECT fold, family, count(*) AS cases, count(p50_10) AS evaluable, {", ".join(f"round(CASE WHEN count(*) = count({n}) THEN avg({n}) END, 6) AS {n}" for n in _QS)} FROM c GROUP BY fold, family""")
+def n2(s, d):
+    """Quantiles of the pointwise ratio in every case, then the mean of a cell's cases; one null makes its case, and so its cell, not evaluable."""
+    r = pointwise_ratios(points(s, d))
+    keys = ["fold", "family", "case_id"]
+    case = r.groupBy(*keys).agg(*[F.count_if(F.col(f"r{k}").isNull()).alias(f"gaps{k}") for k in _KS])
+    for k in _KS:
+        case = case.join(quantiles(r, keys, f"r{k}", {n: (q, "disc") for n, (of, q) in _QS.items() if of == f"r{k}"}), keys, "left")
+    strict = case.select(*keys, *[F.when(F.col(f"gaps{of[1:]}") == 0, F.col(n)).alias(n) for n, (of, _) in _QS.items()])
+    return strict.groupBy("fold", "family").agg(F.count(F.lit(1)).alias("cases"), F.count("p50_10").alias("evaluable"), *[_r(nulls.strict_mean(n)).alias(n) for n in _QS])
 
 
 @query("N3_balanced_ratio", f"WITH {PTS}, {edge_sql()}, {w_sql('edge', 'w')} SELECT round(n, 6) AS w_n, round(b, 6) AS w_b, round(CASE WHEN b > 0 THEN n / b END, 6) AS ratio, CASE WHEN b > 0 THEN 'EVALUABLE' WHEN n > 0 THEN 'UNBOUNDED' ELSE 'NO_CONTRAST' END AS status FROM w")
@@ -88,7 +140,8 @@ def n7(s, d):
     e = neighbours(p).select("query", F.col("neighbour").alias("other")).unionByName(randoms(p).select("query", F.col("comparator").alias("other")))
     q = p.select(F.col("row_id").alias("query"), "family", F.col("x").alias("qx"), F.col("y").alias("qy"))
     m = e.join(q, "query").join(p.select(F.col("row_id").alias("other"), "x", "y"), "other").select("family", F.round(F.sqrt(vectors.diff_sq(F.col("qx"), F.col("x"))), 9).alias("dist"), F.abs(F.col("qy") - F.col("y")).alias("dy"))
-    c = m.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY dist)").alias("near"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY dy)").alias("far"))
+    m = written(m, "edges")
+    c = quantiles(m, [], "dist", {"near": (0.1, "disc")}).crossJoin(quantiles(m, [], "dy", {"far": (0.9, "disc")}))
     return m.crossJoin(F.broadcast(c)).groupBy("family").agg(F.count(F.lit(1)).alias("edges"), F.count_if((F.col("dist") <= F.col("near")) & (F.col("dy") >= F.col("far"))).alias("collisions"))
 
 
@@ -107,8 +160,10 @@ _ARMS = f"{points_sql(8, 'ss')}, {points_sql(64, 'ms')}, {edge_sql(K, 'ss', 'ess
 
 @query("N9_arm_decomposition", f"WITH {_ARMS} SELECT round(wm.n / ws.n, 6) AS r_n, round(wm.b / ws.b, 6) AS r_b, round(abs(ln(wm.n / ws.n) - ln(wm.b / ws.b)), 6) AS gap FROM ws, wm")
 def n9(s, d):
-    a = hierarchy.balanced(edge_targets(points(s, d, 8)), "n", "b").toDF("sn", "sb")
-    b = hierarchy.balanced(edge_targets(points(s, d, 64)), "n", "b")
+    # Both arms have the same random rows.
+    drawn = written(randoms(points(s, d, 8)), "drawn")
+    a = hierarchy.balanced(edge_targets(points(s, d, 8), drawn=drawn), "n", "b").toDF("sn", "sb")
+    b = hierarchy.balanced(edge_targets(points(s, d, 64), drawn=drawn), "n", "b")
     rn, rb = F.col("n") / F.col("sn"), F.col("b") / F.col("sb")
     return a.crossJoin(b).select(_r(rn).alias("r_n"), _r(rb).alias("r_b"), _r(F.abs(F.log(rn) - F.log(rb))).alias("gap"))
 
@@ -128,8 +183,10 @@ def n11(s, d):
     q = p.select(F.col("row_id").alias("query"), F.col("x").alias("qx"))
     r = randoms(p).join(q, "query").join(p.select(F.col("row_id").alias("comparator"), "x"), "comparator").select(F.sqrt(vectors.diff_sq(F.col("qx"), F.col("x"))).alias("dist"))
     first = neighbours(p, 1).agg(F.avg("distance").alias("f"))
-    a = r.agg(F.percentile("dist", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), (F.stddev_pop("dist") / F.avg("dist")).alias("cv"))
-    return a.crossJoin(first).select(_r((F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]).alias("spread"), _r("cv").alias("cv"), _r(F.col("f") / F.col("q")[1]).alias("first_ratio"))
+    r = written(r, "distances")
+    q = quantiles(r, [], "dist", {"low": (0.1, "linear"), "mid": (0.5, "linear"), "high": (0.9, "linear")})
+    a = r.agg((F.stddev_pop("dist") / F.avg("dist")).alias("cv")).crossJoin(q)
+    return a.crossJoin(first).select(_r((F.col("high") - F.col("low")) / F.col("mid")).alias("spread"), _r("cv").alias("cv"), _r(F.col("f") / F.col("mid")).alias("first_ratio"))
 
 
 @query("N12_U3_N18_turnover", f"WITH {points_sql(8, 'ss')}, {points_sql(64, 'ms')}, {knn_sql(K, 'ss', 'ks')}, {knn_sql(K, 'ms', 'km')}, o AS (SELECT ks.query, count(km.query) / {K}.0::DOUBLE AS shared FROM ks LEFT JOIN km ON ks.query = km.query AND ks.neighbour = km.neighbour GROUP BY ks.query) SELECT fold, round(avg(shared), 6) AS shared, round(1 - avg(shared), 6) AS turnover, count(*) FILTER (shared < 1) AS changed FROM o JOIN ss ON row_id = query GROUP BY fold")
