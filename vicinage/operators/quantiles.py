@@ -34,7 +34,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, wanted: dict[
     ``disc`` is the value at rank ceil(q n), ``linear`` lies between the values about (n - 1) q.
     """
     value = F.col(value) if isinstance(value, str) else value
-    counted = df.select(*keys, value.alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Own names for the keys, so that none clashes with those used here.
+    names, keys = keys, [f"_k{i}" for i in range(len(keys))]
+    counted = df.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], value.alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranged = written(counted.repartitionByRange(_parts(df.sparkSession), *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
     own = ranged.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     # A row a range and key that lies in it.
@@ -61,7 +63,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, wanted: dict[
             place = F.lit(float(q)) * (F.col("_n") - 1)
             low = low + (F.col(f"_{name}_high") - low) * (place - F.floor(place))
         out.append(low.alias(name))
-    return got.select(*keys, *out)
+    return got.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], *out)
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:

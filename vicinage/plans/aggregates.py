@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nulls, vectors
-from ..operators import hierarchy, joins, stats
+from ..operators import hierarchy, joins, profiles, stats
 from ..operators.quantiles import quantiles
 from ..sources.tables import strict, table
 from .base import ROWS, points, points_sql, query, rows
@@ -282,6 +282,33 @@ def a21(s, d):
     return table(s, d, "lineitem").agg(F.array(*[one(c) for c in _COLS]).alias("p")).select(F.inline("p"))
 
 
+_PROFILED = {"quantity": "l_quantity", "tax": "l_tax", "again": "l_quantity", "fourfold": "l_quantity * 4", "flat": "l_quantity * 0 + 3", "zero": "l_tax * 0", "large": "CASE WHEN l_quantity >= 50 THEN l_quantity ELSE 0 END", "half_large": "CASE WHEN l_quantity >= 50 THEN l_quantity * 0.5 ELSE 0 END"}
+
+
+def _profile_sql() -> str:
+    """Columns compared pair by pair, and quartiles by fold, which is another way than fingerprints."""
+    names = list(_PROFILED)
+    first = ", ".join(f"(SELECT arg_min({c}, k) FROM t WHERE {c} <> 0) AS {c}" for c in names)
+    out = []
+    for i, c in enumerate(names):
+        dup = "coalesce(" + ", ".join([*(f"CASE WHEN bool_and(t.{c} = t.{b}) THEN '{b}' END" for b in names[:i]), "''"]) + ")"
+        mult = "coalesce(" + ", ".join([*(f"CASE WHEN any_value(f.{c}) IS NOT NULL AND any_value(f.{b}) IS NOT NULL AND bool_and(t.{c} / f.{c} = t.{b} / f.{b}) THEN '{b}' END" for b in names[:i]), "''"]) + ")"
+        factor = " ".join(f"WHEN '{b}' THEN any_value(f.{c}) / any_value(f.{b})" for b in names[:i])
+        out.append(f"""SELECT name, finite, constant, least, most, duplicate_of, CASE WHEN multiple_of = duplicate_of THEN '' ELSE multiple_of END AS multiple_of, CASE WHEN multiple_of <> duplicate_of THEN factor END AS factor, (SELECT count(*) FROM iqr WHERE {c} = 0) AS flat_folds
+FROM (SELECT '{c}' AS name, count(t.{c}) AS finite, min(t.{c}) = max(t.{c}) AS constant, min(t.{c}) AS least, max(t.{c}) AS most, {dup} AS duplicate_of, {mult} AS multiple_of, {f"CASE {mult} {factor} END" if factor else "NULL::DOUBLE"} AS factor FROM t, f)""")
+    iqr = ", ".join(f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 9) AS {c}" for c in names)
+    return f"""WITH t AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_orderkey % 6 AS fold, {", ".join(f"({e})::DOUBLE AS {c}" for c, e in _PROFILED.items())} FROM lineitem), f AS (SELECT {first}),
+iqr AS (SELECT held, {iqr} FROM t, range(6) r(held) WHERE fold <> held GROUP BY held) {" UNION ALL ".join(out)}"""
+
+
+@query("A21_column_duplicates", _profile_sql())
+def a21_duplicates(s, d):
+    """Profile of columns, some of which repeat others, are multiples of them or have no spread, with the number of folds without spread."""
+    t = table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), (F.col("l_orderkey") % 6).alias("fold"), *[F.expr(e).cast("double").alias(c) for c, e in _PROFILED.items()])
+    flat = profiles.flat_folds(t, "fold", list(_PROFILED)).groupBy("name").agg(F.count_if(F.abs("iqr") < 1e-9).alias("flat_folds"))
+    return profiles.profile(t, ["k"], list(_PROFILED)).join(flat, "name").select("name", "finite", "constant", "least", "most", "duplicate_of", "multiple_of", "factor", "flat_folds")
+
+
 @query("A22_correlations", f"WITH {ROWS} SELECT family, round(corr(y, n), 6) AS yn, round(corr(y, b), 6) AS yb FROM rows GROUP BY family")
 def a22(s, d):
     return rows(s, d).groupBy("family").agg(_r(F.corr("y", "n")).alias("yn"), _r(F.corr("y", "b")).alias("yb"))

@@ -135,10 +135,10 @@ def g5(s, d):
 
 
 def _quarters(a: str, b: str) -> list:
-    return [vectors.diff_sq(F.slice(a, i, 4), F.slice(b, i, 4)) for i in (1, 5, 9, 13)]
+    return [vectors.diff_sq(F.slice(a, i, 16), F.slice(b, i, 16)) for i in (1, 17, 33, 49)]
 
 
-_Q = [f"list_distance(q.x[{i}:{i + 3}], t.x[{i}:{i + 3}]) ** 2" for i in (1, 5, 9, 13)]
+_Q = [f"list_distance(q.x[{i}:{i + 15}], t.x[{i}:{i + 15}]) ** 2" for i in (1, 17, 33, 49)]
 
 
 @query("N13_group_domination", f"WITH {PTS}, {knn_sql()}, g AS (SELECT query, greatest({', '.join(_Q)}) AS top, {' + '.join(_Q)} AS total FROM knn JOIN pts q ON q.row_id = query JOIN pts t ON t.row_id = neighbour) SELECT query, round(avg(CASE WHEN total > 0 THEN top / total END), 6) AS domination FROM g GROUP BY query")
