@@ -6,10 +6,10 @@ rows, and one row of nulls where there are no keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import strict_mean
+from ..functions.nulls import finite, strict_mean
 from . import hierarchy
 
 
@@ -55,3 +55,47 @@ def metric_candidates(rows: DataFrame, q2: float) -> DataFrame:
     w = hierarchy.balanced(rows, "n", "b")
     one = lambda df, name, d: df.select(F.lit(name).alias("candidate"), _quotient(F.col("n"), d).alias("value"), _status(F.col("n"), d).alias("status"))
     return a.unionByName(one(cases, "B", F.col("b"))).unionByName(one(w, "C", F.col("b"))).unionByName(one(w, "D", F.lit(float(q2))))
+
+
+def edge_faults(edges: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(edges, queries, unknown, illegal, repeated, falling, short): one row of counts of what is wrong in a neighbour table.
+
+    ``edges`` (query, rank, neighbour, distance), ``rows`` (row_id, case_id, lineage, seed).
+    Unknown: an end that is no row.  Illegal: of the same case or lineage, or of the
+    same seed but 0.  Repeated: a neighbour that a query has more than once, counted
+    without the first.  Falling: nearer than the rank before.  Short: queries
+    without exactly the ranks 1 to k.
+    """
+    q = rows.select(F.col("row_id").alias("query"), F.col("case_id").alias("_qc"), F.col("lineage").alias("_ql"), F.col("seed").alias("_qs"))
+    t = rows.select(F.col("row_id").alias("neighbour"), F.col("case_id").alias("_tc"), F.col("lineage").alias("_tl"), F.col("seed").alias("_ts"))
+    before = F.lag("distance").over(Window.partitionBy("query").orderBy("rank"))
+    met = edges.withColumn("_p", before).join(q, "query", "left").join(t, "neighbour", "left")
+    unknown = F.col("_qc").isNull() | F.col("_tc").isNull()
+    alike = (F.col("_qc") == F.col("_tc")) | (F.col("_ql") == F.col("_tl")) | ((F.col("_qs") != 0) & (F.col("_qs") == F.col("_ts")))
+    by = met.groupBy("query").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("unknown"), F.count_if(~unknown & alike).alias("illegal"), (F.count(F.lit(1)) - F.count_distinct("neighbour")).alias("repeated"),
+        F.count_if(F.col("distance") < F.col("_p")).alias("falling"), ((F.count_distinct("rank") != k) | (F.min("rank") != 1) | (F.max("rank") != k) | (F.count(F.lit(1)) != k)).cast("long").alias("short"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("queries"), *[total(c) for c in ("unknown", "illegal", "repeated", "falling", "short")])
+
+
+def restated(stated: DataFrame, rows: DataFrame, value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(fold, stated, recomputed, status) of stated balanced means by fold, held against one weighted sum over rows.
+
+    A row weighs one over the members of each of its levels, multiplied, which is
+    another way than means of means.  OK, CHANGED, MISSING (not stated),
+    UNKNOWN (stated without rows); a value that is not finite makes the sum null.
+    """
+    levels = ("fold", "family", "lineage", "case_id")
+    weighed = rows.withColumn("_w", F.lit(1.0))
+    for i in range(1, 4):
+        members = rows.select(*levels[: i + 1]).distinct().groupBy(*levels[:i]).agg(F.count(F.lit(1)).alias(f"_m{i}"))
+        weighed = weighed.join(members, list(levels[:i])).withColumn("_w", F.col("_w") / F.col(f"_m{i}"))
+    size = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("_m4"))
+    weighed = weighed.join(size, list(levels)).withColumn("_w", F.col("_w") / F.col("_m4"))
+    sums = weighed.groupBy("fold").agg(F.when(F.count_if(~finite(F.col(value))) == 0, F.sum(F.col("_w") * F.col(value))).alias("recomputed"), F.lit(1).alias("_here"))
+    both = stated.select("fold", F.col(value).alias("stated"), F.lit(1).alias("_said")).join(sums, "fold", "full_outer")
+    same = F.col("stated").eqNullSafe(F.col("recomputed")) | F.coalesce(F.abs(F.col("stated") - F.col("recomputed")) <= tolerance, F.lit(False))
+    status = F.when(F.col("_said").isNull(), "MISSING").when(F.col("_here").isNull(), "UNKNOWN").when(same, "OK").otherwise("CHANGED")
+    return both.select("fold", "stated", "recomputed", status.alias("status"))

@@ -284,6 +284,40 @@ def i3(s, d):
     return stated.join(again, "fold").select("fold", _r("_y").alias("stated"), _r("y").alias("recomputed"), (F.abs(F.col("_y") - F.col("y")) <= 1e-9).alias("same"))
 
 
+_FAULTS = """faulty AS (SELECT query, rank, CASE WHEN query % 17 = 3 AND rank = 1 THEN query WHEN query % 19 = 4 AND rank = 2 THEN first WHEN query % 29 = 6 AND rank = 5 THEN -1 ELSE neighbour END AS neighbour,
+  CASE WHEN query % 23 = 5 AND rank = 4 THEN distance / 2 ELSE distance END AS distance FROM (SELECT *, min(neighbour) FILTER (rank = 1) OVER (PARTITION BY query) AS first FROM knn) WHERE NOT (query % 31 = 7 AND rank = 10))"""
+
+
+@query("I7_planted_faults", f"""WITH {PTS}, {knn_sql()}, {_FAULTS}, j AS (SELECT f.*, lag(distance) OVER (PARTITION BY query ORDER BY rank) AS p FROM faulty f),
+m AS (SELECT j.*, q.row_id IS NULL OR t.row_id IS NULL AS unknown, q.case_id = t.case_id OR q.fold = t.fold OR (q.seed <> 0 AND q.seed = t.seed) AS alike FROM j LEFT JOIN pts q ON q.row_id = query LEFT JOIN pts t ON t.row_id = neighbour),
+b AS (SELECT query, count(*) AS n, count(*) FILTER (unknown) AS unknown, count(*) FILTER (NOT unknown AND alike) AS illegal, count(*) - count(DISTINCT neighbour) AS repeated, count(*) FILTER (distance < p) AS falling, (list_sort(list(rank)) <> range(1, {K + 1}))::BIGINT AS short FROM m GROUP BY query)
+SELECT sum(n)::BIGINT AS edges, count(*) AS queries, sum(unknown)::BIGINT AS unknown, sum(illegal)::BIGINT AS illegal, sum(repeated)::BIGINT AS repeated, sum(falling)::BIGINT AS falling, sum(short)::BIGINT AS short FROM b""")
+def i7_faults(s, d):
+    """A neighbour table with faults of each kind put in, all of which are counted."""
+    p = points(s, d)
+    e = neighbours(p).withColumn("first", F.min(F.when(F.col("rank") == 1, F.col("neighbour"))).over(Window.partitionBy("query")))
+    mod = lambda n, v, r: (F.col("query") % n == v) & (F.col("rank") == r)
+    other = F.when(mod(17, 3, 1), F.col("query")).when(mod(19, 4, 2), F.col("first")).when(mod(29, 6, 5), -1).otherwise(F.col("neighbour"))
+    bad = e.filter(~mod(31, 7, 10)).select("query", "rank", other.alias("neighbour"), F.when(mod(23, 5, 4), F.col("distance") / 2).otherwise(F.col("distance")).alias("distance"))
+    return decisions.edge_faults(bad, p.select("row_id", "case_id", F.col("fold").alias("lineage"), "seed"), K)
+
+
+@query("I3_planted_faults", f"""WITH {ROWS}, stated AS (SELECT fold, CASE WHEN fold = 2 THEN y + 1e-6 ELSE y END AS y FROM folds WHERE fold <> 4 UNION ALL SELECT 9, 1.0)
+SELECT fold, round(s.y, 6) AS stated, round(f.y, 6) AS recomputed, CASE WHEN s.y IS NULL THEN 'MISSING' WHEN f.y IS NULL THEN 'UNKNOWN' WHEN abs(s.y - f.y) <= 1e-9 THEN 'OK' ELSE 'CHANGED' END AS status FROM stated s FULL JOIN folds f USING (fold)""")
+def i3_faults(s, d):
+    """Stated means, of which one is changed, one left out and one of no rows, against a weighted sum over rows."""
+    r = rows(s, d)
+    stated = hierarchy.balanced(r, "y", upto="fold").filter("fold <> 4").select("fold", F.when(F.col("fold") == 2, F.col("y") + 1e-6).otherwise(F.col("y")).alias("y"))
+    stated = stated.unionByName(s.createDataFrame([(9, 1.0)], "fold long, y double"))
+    return decisions.restated(stated, r, "y").select("fold", _r("stated").alias("stated"), _r("recomputed").alias("recomputed"), "status")
+
+
+@query("J4_orders_without_large_lines", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 30)")
+def j4_large(s, d):
+    large = table(s, d, "lineitem").filter("l_quantity >= 30").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(s, d, "orders").select("o_orderkey", "o_custkey").join(large, "o_orderkey", "left_anti")
+
+
 @query("I9_conservation", f"WITH {ROWS} SELECT family, count(*) FILTER (b = 0) AS total, count(*) FILTER (b = 0 AND n = 0) AS a, count(*) FILTER (b = 0 AND n > 0) AS b, count(*) FILTER (b = 0) = count(*) FILTER (b = 0 AND n = 0) + count(*) FILTER (b = 0 AND n > 0) AS conserved FROM rows GROUP BY family")
 def i9(s, d):
     zero = F.col("b") == 0
