@@ -205,11 +205,12 @@ def i7(s, d):
     return k.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("query").alias("queries"), F.count_if((F.col("qf") == F.col("fold")) | (F.col("qc") == F.col("case_id"))).alias("illegal"), F.count_if(F.col("distance") < F.col("p")).alias("falling"))
 
 
-@query("M1_knn_mean", f"WITH {PTS}, {knn_sql()} SELECT q.row_id, round(avg(t.y) FILTER (rank <= 5), 6) AS k5, round(avg(t.y), 6) AS k10, round(abs(avg(t.y) - any_value(q.y)), 6) AS residual FROM knn JOIN pts q ON q.row_id = query JOIN pts t ON t.row_id = neighbour GROUP BY q.row_id")
+@query("M1_knn_mean", f"WITH {PTS}, {knn_sql(20)} SELECT q.row_id, round(avg(t.y) FILTER (rank <= 5), 6) AS k5, round(avg(t.y) FILTER (rank <= 10), 6) AS k10, round(avg(t.y), 6) AS k20, round(abs(avg(t.y) FILTER (rank <= 10) - any_value(q.y)), 6) AS residual FROM knn JOIN pts q ON q.row_id = query JOIN pts t ON t.row_id = neighbour GROUP BY q.row_id")
 def m1(s, d):
     p = points(s, d)
-    e = neighbours(p).join(p.select(F.col("row_id").alias("neighbour"), "y"), "neighbour").groupBy(F.col("query").alias("row_id")).agg(F.avg(F.when(F.col("rank") <= 5, F.col("y"))).alias("k5"), F.avg("y").alias("k10"))
-    return e.join(p.select("row_id", "y"), "row_id").select("row_id", _r("k5").alias("k5"), _r("k10").alias("k10"), _r(F.abs(F.col("k10") - F.col("y"))).alias("residual"))
+    means = [F.avg(F.when(F.col("rank") <= k, F.col("y"))).alias(f"k{k}") for k in _KS]
+    e = neighbours(p, 20).join(p.select(F.col("row_id").alias("neighbour"), "y"), "neighbour").groupBy(F.col("query").alias("row_id")).agg(*means)
+    return e.join(p.select("row_id", "y"), "row_id").select("row_id", *[_r(f"k{k}").alias(f"k{k}") for k in _KS], _r(F.abs(F.col("k10") - F.col("y"))).alias("residual"))
 
 
 # Bootstrap -----------------------------------------------------------------------------------------------------
