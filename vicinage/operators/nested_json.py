@@ -35,7 +35,8 @@ def deep_first(df: DataFrame, key: str, json: str, names: list[str]) -> DataFram
     wanted = F.lower(F.col("_key")).isin([n.lower() for n in names])
     docs = df.select(F.col(key).alias("_id"), F.col(json).alias("_doc"))
     front = docs.select("_id", "_doc", F.array().cast("array<int>").alias("_path"), F.try_parse_json("_doc").alias("_v"))
-    hits = None
+    # Every document has a row without a place, so that those without a hit stay.
+    hits = docs.select("_id", "_doc", F.lit(None).cast("array<int>").alias("_path"), F.lit(None).cast("string").alias("_value"))
     while True:
         tvf = front.sparkSession.tvf.variant_explode(F.col("_v").outer())
         inside = front.lateralJoin(tvf).select("_id", "_doc", "_path", F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
@@ -45,17 +46,16 @@ def deep_first(df: DataFrame, key: str, json: str, names: list[str]) -> DataFram
         # A found value is the answer or stops the search; it is not searched itself.
         null = F.is_variant_null("_value")
         own = level.filter("_found").select("_id", "_doc", "_path", F.when(~null, F.to_json("_value")).alias("_value"))
-        hits = own if hits is None else hits.unionByName(own)
+        hits = hits.unionByName(own)
         front = level.filter(~F.col("_found") & F.schema_of_variant("_value").rlike("^(OBJECT|ARRAY)")).select("_id", "_doc", "_path", F.col("_value").alias("_v"))
         if front.isEmpty():
             break
-    by = hits.groupBy("_id", "_doc").agg(F.collect_list(F.struct(F.col("_path").alias("path"), F.col("_value").alias("value"))).alias("_hits"))
+    by = hits.groupBy("_id", "_doc").agg(F.collect_list(F.when(F.col("_path").isNotNull(), F.struct(F.col("_path").alias("path"), F.col("_value").alias("value")))).alias("_hits"))
 
     def stopped(h: Column) -> Column:
         within = lambda n: F.slice(h["path"], F.lit(1), F.size(n["path"]) - 1) == F.slice(n["path"], F.lit(1), F.size(n["path"]) - 1)
         return F.exists("_hits", lambda n: n["value"].isNull() & (n["path"] < h["path"]) & within(n))
 
     best = by.select("_id", "_doc", F.array_min(F.filter("_hits", lambda h: h["value"].isNotNull() & ~stopped(h))).alias("_best"))
-    same = docs.distinct().alias("d").join(best.alias("b"), F.col("d._id").eqNullSafe(F.col("b._id")) & F.col("d._doc").eqNullSafe(F.col("b._doc")), "left")
-    first = F.min_by(F.struct(F.size("_best.path").alias("depth"), F.col("_best.value").alias("value")), F.when(F.col("_best").isNotNull(), F.col("d._doc"))).alias("_at")
-    return same.groupBy(F.col("d._id").alias(key)).agg(first).select(key, "_at.depth", "_at.value")
+    first = F.min_by(F.struct(F.size("_best.path").alias("depth"), F.col("_best.value").alias("value")), F.when(F.col("_best").isNotNull(), F.col("_doc"))).alias("_at")
+    return best.groupBy(F.col("_id").alias(key)).agg(first).select(key, "_at.depth", "_at.value")
