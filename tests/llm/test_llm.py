@@ -285,6 +285,16 @@ def test_least_squares_fills_windows():
     assert packing.fill_whole(left) and left.min() >= 0
 
 
+def test_packing_fills_with_very_short_rests():
+    for longest in (1, 40, 2000):
+        left = np.zeros(2048, np.int64)
+        left[1], left[longest] = 5000, 2 + 4998 * (longest == 1)
+        before = left.sum()
+        got = packing.fill_whole(left)
+        assert got and all(sum(c) == 2048 for c, _ in got) and left.sum() == before - sum(len(c) * k for c, k in got)
+        assert left.min() >= 0 and left @ np.arange(2048) < 2048
+
+
 def test_exact_dedup(spark):
     digest = np.frombuffer(b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(700)), np.uint8).reshape(-1, 32)
     seeds, slots = build_mph(digest)

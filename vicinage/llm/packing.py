@@ -267,7 +267,7 @@ def round_counts(histogram: np.ndarray, combos: np.ndarray, x: np.ndarray) -> tu
 def fill_whole(left: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
     """Combinations of any number of the lengths left that fill the window exactly, each with its repeat count; ``left`` is lowered."""
 
-    def exact(gap: int, tries: int) -> list[int] | None:
+    def ending(gap: int) -> list[int] | None:
         if gap < len(left) and left[gap] > 0:
             return [gap]
         a = np.arange(max(1, gap - len(left) + 1), gap // 2 + 1)
@@ -275,19 +275,33 @@ def fill_whole(left: np.ndarray, window: int = WINDOW) -> list[tuple[list[int],
         if len(pairs) and pairs.max() > 0:
             one = int(a[np.argmax(pairs)])
             return [one, gap - one]
-        for one in np.flatnonzero(left[: max(0, min(gap - 2, len(left)))] > 0)[::-1][:tries].tolist():
-            left[one] -= 1
-            got = exact(gap - one, 1)
-            left[one] += 1
+        return None
+
+    def fitting(gap: int) -> list[int]:
+        return np.flatnonzero(left[: max(0, min(gap - 1, len(left)))] > 0)[::-1].tolist()
+
+    def exact(gap: int) -> list[int] | None:
+        if got := ending(gap):
+            return got
+        for one in fitting(gap):
+            # After the first, always the longest that fits; very short lengths make this a chain of up to the window's length.
+            taken, rest = [], gap
+            while one and not got:
+                left[one] -= 1
+                taken.append(one)
+                rest -= one
+                got = ending(rest)
+                one = None if got else next(iter(fitting(rest)), None)
+            np.add.at(left, taken, 1)
             if got:
-                return [one, *got]
+                return [*taken, *got]
         return None
 
     out = []
     for a in range(len(left) - 1, 0, -1):
         while left[a] > 0:
             left[a] -= 1
-            got = exact(window - a, len(left))
+            got = exact(window - a)
             left[a] += 1
             if not got:
                 break
