@@ -177,3 +177,23 @@ def test_bounds_of_all_families_equal_loops_over_replicates(spark, sf_dir):
     assert set(got) == set(want) and len(got) == 3 * (11 + 2 * len(names))
     for k, (status, _, bound) in want.items():
         assert got[k]["status"] == status and got[k]["bound"] == pytest.approx(bound, rel=1e-9), k
+
+
+def test_drawn_sums_equal_the_draws_in_chunks(spark, monkeypatch):
+    from vicinage.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "CHUNK", 3)
+    monkeypatch.setattr(bootstrap, "TOGETHER", 4)
+    rows = [(f, g, 10 * f + i, [1.5, None, float("inf"), 2.0][i % 4] if f else float(i)) for f in (0, 1) for g in "ab" for i in range(8)]
+    table = spark.createDataFrame(rows, "fold long, family string, lineage long, v double")
+    got = {(r["replicate"], r["fold"], r["family"]): r for r in bootstrap.drawn_sums(table, 9, "d", ["v"]).collect()}
+    want: dict = {}
+    for r in bootstrap.draws(table, 9, "d").collect():
+        want.setdefault((r["replicate"], r["fold"], r["family"]), []).append(r["lineage"])
+    value = {(f, g, x): v for f, g, x, v in rows}
+    assert set(got) == set(want)
+    for k, drawn in want.items():
+        r, vs = got[k], [value[*k[1:], x] for x in drawn]
+        sound = [v for v in vs if v is not None and v < float("inf")]
+        assert (r["m"], r["drawn"], r["total"], r["own"], sorted(r["shared"])) == (8, 8, sum(drawn), 0, sorted(set(drawn)))
+        assert r["squares"] == sum(drawn.count(x) ** 2 for x in set(drawn)) and r["bad"] == [len(vs) - len(sound)] and abs(r["sums"][0] - sum(sound)) < 1e-9

@@ -9,10 +9,17 @@ rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.nulls import finite, strict_mean
+from ..sources.scratch import written
 
 
 def strata(cases: DataFrame) -> DataFrame:
@@ -33,17 +40,88 @@ def draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
     return slots.withColumn("place", at).drop("m").join(placed.drop("m"), ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", "lineage")
 
 
-def occurrence_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
-    """(replicate, stat): case mean in each drawn lineage, mean in the stratum, mean of strata."""
-    lineage = cases.groupBy("fold", "family", "lineage").agg(strict_mean(value).alias("v"))
-    cell = drawn.join(lineage, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg(strict_mean("v").alias("v"))
-    return cell.groupBy("replicate").agg(strict_mean("v").alias("stat"))
-
-
-def count_weighted(cases: DataFrame, drawn: DataFrame, value: str) -> DataFrame:
+#: Places of a stratum that one row holds, replicates that it draws, and hashes made at a time.
+CHUNK, TOGETHER, HASHED = 1 << 18, 500, 1 << 16
+
+
+def _hits(prefix: str, first: int, upto: int, m: int) -> np.ndarray:
+    """The places that occurrences ``first`` to ``upto`` take."""
+    head, sha = prefix.encode(), hashlib.sha256
+    digests = b"".join([sha(head + b"%d" % i).digest() for i in range(first, upto)])
+    return (np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16)).astype(np.int64) % m
+
+
+def _drawn_sums(replicates: int, domain: str, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at = {k: b.column(k)[i] for k in b.schema.names}
+                fold, family, m, start, block = (at[k].as_py() for k in ("fold", "family", "m", "start", "block"))
+                one = at["lineages"].values
+                lineage, shared = one.field("lineage").to_numpy(), one.field("shared").to_numpy(zero_copy_only=False)
+                values = one.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(one), -1)
+                sound = np.isfinite(values)
+                values, bad = np.where(sound, values, 0.0), (~sound).astype(np.float64)
+                out = []
+                for r in range(block * TOGETHER, min(replicates, (block + 1) * TOGETHER)):
+                    w = np.zeros(len(one), np.int64)
+                    for first in range(0, m, HASHED):
+                        hit = _hits(f"{domain}|{r}|{at['fold_text']}|{at['family_text']}|", first, min(m, first + HASHED), m) - start
+                        w += np.bincount(hit[(hit >= 0) & (hit < len(one))], minlength=len(one))
+                    f = w.astype(np.float64)
+                    out.append((r, fold, family, m, int(w.sum()), int((w * w).sum()), int((w * lineage).sum()), int(((w > 0) & ~shared).sum()), lineage[(w > 0) & shared].tolist(), (f @ values).tolist(), (f @ bad).tolist()))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def drawn_sums(lineages: DataFrame, replicates: int, domain: str, values: Sequence[str] = ()) -> DataFrame:
+    """(replicate, fold, family, m, drawn, squares, total, own, shared, sums, bad) of the draws, none of which is a row.
+
+    ``lineages`` (fold, family, lineage, values), one row a lineage of a stratum.
+    ``sums`` are those of the values over occurrences, ``bad`` counts occurrences
+    whose value is null, NaN or infinite, ``squares`` sums the squares of the times
+    that lineages were drawn, ``total`` their ids.  ``own``: different lineages
+    drawn that lie in no other stratum; ``shared``: the others.
+
+    A task holds up to ``CHUNK`` lineages of one stratum and draws ``TOGETHER``
+    replicates; the occurrences of a larger stratum are drawn once for each of its
+    chunks.  Only sums are shuffled, replicates by strata.
+    """
+    spark, key = lineages.sparkSession, ["fold", "family"]
+    own = lineages.dropna(subset=[*key, "lineage"])
+    w = Window.partitionBy(*key)
+    shared = own.groupBy("lineage").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    placed = own.join(shared, "lineage").withColumns({"place": F.row_number().over(w.orderBy("lineage")) - 1, "m": F.count(F.lit(1)).over(w)})
+    one = F.struct("place", "lineage", "shared", F.array(*[F.col(v).cast("double") for v in values]).cast("array<double>").alias("v"))
+    start = (F.floor(F.col("place") / CHUNK) * CHUNK).cast("long").alias("start")
+    chunks = written(placed.groupBy(*key, "m", start).agg(F.sort_array(F.collect_list(one)).alias("lineages")), "strata")
+    blocks = -(-replicates // TOGETHER)
+    dealt = chunks.withColumns({"fold_text": F.col("fold").cast("string"), "family_text": F.col("family").cast("string"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    dealt = dealt.repartition(max(1, chunks.count() * blocks))
+    kinds = dict(own.dtypes)
+    names = f"replicate long, fold {kinds['fold']}, family {kinds['family']}, m long, drawn long, squares long, total long, own long, shared array<long>, sums array<double>, bad array<double>"
+    got = dealt.mapInArrow(_drawn_sums(replicates, domain, to_arrow_schema(spark.createDataFrame([], names).schema)), names)
+    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(values))]).cast("array<double>").alias(c)
+    return got.groupBy("replicate", *key).agg(F.max("m").alias("m"), *[F.sum(c).alias(c) for c in ("drawn", "squares", "total", "own")], F.flatten(F.collect_list("shared")).alias("shared"), add("sums"), add("bad"))
+
+
+def occurrence_weighted(cases: DataFrame, replicates: int, domain: str, values: Sequence[str]) -> DataFrame:
+    """(replicate, values): case mean in each drawn lineage, mean in the stratum, mean of strata."""
+    lineage = cases.groupBy("fold", "family", "lineage").agg(*[strict_mean(v).alias(v) for v in values])
+    cell = drawn_sums(lineage, replicates, domain, values).select("replicate", *[F.when(F.col("bad")[i] == 0, F.col("sums")[i] / F.col("m")).alias(v) for i, v in enumerate(values)])
+    return cell.groupBy("replicate").agg(*[strict_mean(v).alias(v) for v in values])
+
+
+def long_stats(stats: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(replicate, component, stat), written, as bounds read it more than once."""
+    return written(stats.select("replicate", F.inline(F.array(*[F.struct(F.lit(v).alias("component"), F.col(v).alias("stat")) for v in values]))), "replicates")
+
+
+def count_weighted(cases: DataFrame, replicates: int, domain: str, value: str) -> DataFrame:
     """(replicate, stat): every case weighs as often as it was drawn; mean of the strata's weighted means."""
-    weight = drawn.groupBy("replicate", "fold", "family", "lineage").agg(F.count(F.lit(1)).alias("w"))
-    cell = weight.join(cases, ["fold", "family", "lineage"]).groupBy("replicate", "fold", "family").agg(F.when(F.count_if(~finite(F.col(value))) == 0, F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("v"))
+    lineage = cases.groupBy("fold", "family", "lineage").agg(F.when(F.count_if(~finite(F.col(value))) == 0, F.sum(value)).alias("v"), F.count(F.lit(1)).alias("n"))
+    cell = drawn_sums(lineage, replicates, domain, ["v", "n"]).select("replicate", F.when(F.col("bad")[0] == 0, F.col("sums")[0] / F.col("sums")[1]).alias("v"))
     return cell.groupBy("replicate").agg(strict_mean("v").alias("stat"))
 
 
