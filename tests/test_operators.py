@@ -196,3 +196,24 @@ def test_drop_one_equals_the_mean_of_what_is_left(spark):
             assert got.keys() == want.keys()
             assert all(got[k] is None if want[k] is None else got[k] == pytest.approx(want[k]) for k in want)
     assert hierarchy.drop_one(df.limit(0), "y", "lineage").count() == 0
+
+
+def test_groups_of_cells_keep_every_neighbour_and_meet_less(spark, monkeypatch):
+    from vicinage.operators import neighbours as nb
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.2, (20, 3)) for c in rng.normal(0, 10, (20, 3))])
+    rows = [(i, i // 2, i // 10, i % 3, list(map(float, v))) for i, v in enumerate(x)]
+    p = spark.createDataFrame(rows, "row_id long, case_id long, lineage long, seed long, x array<double>")
+    monkeypatch.setattr(nb, "BLOCK", 16)
+    monkeypatch.setattr(nb, "FEW", 4)
+    sent, met = [], nb._met
+    monkeypatch.setattr(nb, "_met", lambda *a: (sent.append(len(a[2][0])), met(*a))[1])
+    found = {}
+    for wide in (7, 100, 10_000):
+        monkeypatch.setattr(nb, "WIDE", wide)
+        found[wide] = sorted(map(tuple, nb.legal_neighbours(p, p, 4).collect()))
+    assert found[7] == found[100] == found[10_000] and len(found[7]) == 1600 and sent[-1] <= 25 < sent[1]
+    for q, rank, n, d in found[7][:200]:
+        near = sorted((float(np.sqrt(((x[q] - x[t]) ** 2).sum())), t // 2, t) for t in range(400) if t // 2 != q // 2 and t // 10 != q // 10 and (q % 3 == 0 or q % 3 != t % 3))
+        assert n == near[rank - 1][2] and abs(d - near[rank - 1][0]) < 1e-9
