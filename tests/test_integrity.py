@@ -57,6 +57,51 @@ def test_every_kind_of_draw_fault_is_found(spark):
     assert none["missing"] == 12 and none["rows"] == 0
 
 
+def test_occurrences_are_judged_as_their_rows_are(spark):
+    cases = spark.createDataFrame(CASES, "fold long, family string, lineage string, case_id string")
+    rng = random.Random(8)
+    row = "replicate long, fold long, family string, occurrence long, entries array<struct<lineage: string, place: long, case_id: string>>"
+
+    def both(rows):
+        by = {}
+        for x in rows:
+            by.setdefault(x[:4], []).append(x[4:])
+        one = spark.createDataFrame([(*k, rng.sample(v, len(v))) for k, v in by.items()], row)
+        flat = drawtables.draw_faults(drawtables.entries(one), cases, 12).first().asDict()
+        assert drawtables.occurrence_faults(one, cases, 12).first().asDict() == flat
+        return flat
+
+    good = _table(rng, 12)
+    seen = dict.fromkeys(drawtables.KINDS, 0)
+    for i in range(8):
+        bad = [x for x in good if x[0] not in (3, 4) and rng.random() > 0.01] + [(3, *x[1:]) for x in good if x[0] == 5] if i else good
+        for _ in range(4 * i):
+            at, c = rng.randrange(len(bad)), rng.choice(CASES)
+            r, f, fam, o, lin, p, case = bad[at]
+            bad[at] = rng.choice([(r, f, fam, o, c[2], p, case), (r, f, fam, o, None, p, case), (r, f, fam, o, lin, rng.choice([None, -1, 0, 9]), case), (r, f, fam, o, lin, p, rng.choice([None, "nowhere", c[3]])), (r, c[0], c[1], o, lin, p, case), (r, f, fam, 7, lin, p, case)])
+        got = both(bad)
+        assert i or set(got.values()) == {len(good), 0}
+        seen = {k: seen[k] + got[k] for k in seen}
+    assert min(seen.values()) > 0 and both(good[:1])["missing"] == 11
+    none = drawtables.occurrence_faults(spark.createDataFrame([(0, 0, "A", 0, [])], row), cases, 12).first().asDict()
+    assert none["missing"] == 12 and none["rows"] == 0
+
+
+def test_a_draw_table_shuffles_rows_a_lineage_not_a_replicate_and_case(spark):
+    cases = spark.createDataFrame([(f, "A", 10 * f + i, 1000 * f + 50 * i + c) for f in (0, 1) for i in range(10) for c in range(20)], "fold long, family string, lineage long, case_id long")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = set(shuffled())
+    got = drawtables.occurrence_faults(drawtables.case_draws(cases, 50, "s", "d"), cases, 50).first().asDict()
+    # 20,000 entries, 1,000 occurrences, 400 cases.
+    assert got.pop("rows") == 20_000 and set(got.values()) == {0}
+    assert sum(n for k, n in shuffled().items() if k not in before) < 6_000
+
+
 def _plain(value, names, depth=1):
     if isinstance(value, dict):
         for k in sorted(value):

@@ -29,15 +29,16 @@ def strata(cases: DataFrame) -> DataFrame:
     return one.withColumn("place", (F.row_number().over(w.orderBy("lineage")) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(w))
 
 
-def draws(cases: DataFrame, replicates: int, domain: str) -> DataFrame:
-    """(replicate, fold, family, occurrence, lineage)."""
+def draws(cases: DataFrame, replicates: int, domain: str, held: DataFrame | None = None) -> DataFrame:
+    """(replicate, fold, family, occurrence, lineage), and what else ``held``, one row a lineage of a stratum, has; with it, draws of a lineage lie together."""
     spark, placed = cases.sparkSession, strata(cases)
+    own = placed.drop("m") if held is None else placed.drop("m").join(held, ["fold", "family", "lineage"]).hint("merge")
     # Spread over all tasks before each lineage's slot meets every replicate.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slots = placed.select("fold", "family", F.col("place").alias("occurrence"), "m").repartition(tasks, "fold", "family", "occurrence").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))
     text = F.concat_ws("|", F.lit(domain), *[F.col(c).cast("string") for c in ("replicate", "fold", "family", "occurrence")])
     at = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") % F.col("m")
-    return slots.withColumn("place", at).drop("m").join(placed.drop("m"), ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", "lineage")
+    return slots.withColumn("place", at).drop("m").join(own, ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", *[c for c in own.columns if c not in ("fold", "family", "place")])
 
 
 #: Places of a stratum that one row holds, replicates that it draws, and hashes made at a time.
