@@ -44,6 +44,42 @@ def test_any_ids_decode_as_in_the_library(both):
     assert bs.decode_ids(v, [None, 64, 10**6, -1]) == "a"
 
 
+def test_pretokens_merged_together_are_those_merged_alone(both):
+    v = both[1]
+    draw = random.Random(6)
+    words = ["".join(draw.choice(PIECES[:28] + ["ing", "er", " ne", "aaa"]) for _ in range(draw.randint(1, 9))).encode() for _ in range(700)]
+    assert v.merge.together(words) == [tuple(v.merge(w)) for w in words]
+    assert v.merge.together([]) == [] and v.merge.together([b"a"]) == [tuple(v.merge(b"a"))]
+
+
+def test_named_classes_split_as_the_properties_do(both):
+    v = both[1]
+    draw = random.Random(7)
+    every = [chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000]
+    draw.shuffle(every)
+    for text in ("".join(every), " ".join(every), "'".join(every[:20_000]), "".join(draw.choice(PIECES[:29]) for _ in range(5000)).replace("😀", "")):
+        assert v.plain_split.findall(text) == v.split.findall(text)
+    assert v.splitter("a😀") is v.split and v.splitter("aé") is v.plain_split
+
+
+def test_many_texts_with_an_empty_memory_equal_the_library(both, monkeypatch):
+    whole, v = both
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(PIECES) for _ in range(draw.randint(0, 14))) for _ in range(200)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for together, remembered, chunk in ((1 << 20, 10, bs.CHUNK), (1, 10**6, 3), (500, 100, 64)):
+        monkeypatch.setattr(bs, "TOGETHER", together)
+        monkeypatch.setattr(bs, "REMEMBERED", remembered)
+        v.known.clear()
+        assert bs.encode_texts(v, texts, chunk) == want
+    d = v.merge.together
+    calls = []
+    monkeypatch.setattr(bs, "TOGETHER", 1 << 20)
+    monkeypatch.setattr(v.merge, "together", lambda raws: calls.append(len(raws)) or d(raws))
+    v.known.clear()
+    assert bs.encode_texts(v, texts) == want and len(calls) == 1 and calls[0] > 100
+
+
 def test_memory_does_not_grow_with_the_text(both):
     v = both[1]
     e, held, out = bs.Encoder(v), 0, []

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks, groups
-from .bpe_stream import Vocabulary, encode_text
+from .bpe_stream import encode_texts, held_vocabulary
 from .store import materialize
 
 #: Text bytes of a block (one text at least).
@@ -47,11 +47,11 @@ class ByteTokenizer:
     """Ids of texts with a space before them, by the streaming transducer; special tokens' strings are plain text."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path, special=False)
+        self.vocabulary = held_vocabulary(path, special=False)
         self.raw = self.vocabulary.raw
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [encode_text(self.vocabulary, " " + t) for t in texts]
+        return encode_texts(self.vocabulary, (" " + t for t in texts))
 
 
 class PieceTokenizer:
@@ -152,7 +152,7 @@ def align_block(texts: list[str], a: ByteTokenizer, b: PieceTokenizer) -> Aligne
     got_a, got_b = a(texts), b(texts)
     for i, text in enumerate(texts):
         whole = (" " + text).encode()
-        if not text or any(b"".join([side.raw[x] for x in ids[i]]) != whole for side, ids in ((a, got_a), (b, got_b))):
+        if not text or any(b"".join(map(side.raw.__getitem__, ids[i])) != whole for side, ids in ((a, got_a), (b, got_b))):
             got_a[i] = got_b[i] = []
     arrays = [[np.array(x, np.int32) for x in side] for side in (got_a, got_b)]
     return Aligned(*arrays, *(np.array([len(x) for x in side.raw], np.int64) for side in (a, b)))

@@ -32,6 +32,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -50,6 +51,8 @@ LONG = 256
 REMEMBERED = 500_000
 #: Bytes up to which merges are looked for one by one.
 SHORT = 48
+#: Characters of which pretokens that are not known yet are merged together.
+TOGETHER = 1 << 20
 #: Rows that a worker answers with at a time, and their ids at least.
 ROWS, IDS = 512, 1 << 18
 
@@ -100,6 +103,10 @@ class Merger:
 
     def __init__(self, first: list[int], ranks: dict[tuple[int, int], int], made: list[int]):
         self.first, self.ranks, self.made = first, ranks, made
+        keys = np.array([a << 32 | b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        self.sorted, self.rank_of = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(ranks.values()), np.int64)[order], len(made))
+        self.first_, self.made_ = np.array(first, np.int64), np.array(made, np.int64)
 
     def __call__(self, raw: bytes) -> list[int]:
         ids = [self.first[b] for b in raw]
@@ -120,6 +127,48 @@ class Merger:
                 open_[i] = of((ids[i], ids[i + 1]), none)
         return ids
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.sorted, key)
+        return np.where(self.sorted[at] == key, self.rank_of[at], len(self.made))
+
+    def together(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of many strings, none of them empty: a round merges the lowest rank of each, the first from the left."""
+        out: list = [()] * len(raws)
+        if not raws:
+            return out
+        none, size, name = len(self.made), np.array(list(map(len, raws)), np.int64), np.arange(len(raws))
+        ids = self.first_[np.frombuffer(b"".join(raws), np.uint8)]
+        start = np.cumsum(size) - size
+        rank = np.append(self._ranks(ids[:-1], ids[1:]), none)
+        rank[start + size - 1] = none
+        while True:
+            lowest, at = np.divmod(np.minimum.reduceat(rank * len(ids) + np.arange(len(ids)), start), len(ids))
+            live = lowest < none
+            if 2 * np.count_nonzero(live) <= len(live):
+                # Those that are done leave.
+                flat = ids.tolist()
+                for i, s, n in zip(name[~live].tolist(), start[~live].tolist(), size[~live].tolist(), strict=True):
+                    out[i] = tuple(flat[s : s + n])
+                if not live.any():
+                    return out
+                kept = np.repeat(live, size)
+                at = (np.cumsum(kept) - 1)[at[live]]
+                ids, rank, name, size, lowest = ids[kept], rank[kept], name[live], size[live], lowest[live]
+                live = np.ones(len(name), bool)
+            else:
+                at, lowest = at[live], lowest[live]
+            ids[at] = self.made_[lowest]
+            rank[at] = none
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, rank, size = ids[kept], rank[kept], size - live
+            start = np.cumsum(size) - size
+            # One id less for each string before.
+            at = at - np.arange(len(at))
+            right, left = at[at < (start + size)[live] - 1], at[at > start[live]] - 1
+            rank[right], rank[left] = self._ranks(ids[right], ids[right + 1]), self._ranks(ids[left], ids[left + 1])
+
     def _by_heap(self, ids: list[int]) -> list[int]:
         """For long strings: n log n steps."""
         n, of = len(ids), self.ranks.get
@@ -141,19 +190,6 @@ class Merger:
         return [x for x in ids if x >= 0]
 
 
-class _Known(dict):
-    """Ids of pretokens; the least that is computed again is what came since it was last full."""
-
-    def __init__(self, merge: Merger):
-        self.merge = merge
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = tuple(self.merge(word.encode()))
-        return out
-
-
 class Vocabulary:
     """What a tokenizer file says: merges, ids, added tokens and classes of characters."""
 
@@ -176,7 +212,8 @@ class Vocabulary:
         for c, b in alphabet.items():
             first[b] = ids[c]
         self.merge = Merger(first, {(ids[a], ids[b]): r for r, (a, b) in enumerate(pairs)}, [ids[a + b] for a, b in pairs])
-        self.known = _Known(self.merge)
+        #: Ids of pretokens; emptied when full.
+        self.known: dict[str, tuple[int, ...]] = {}
         #: Bytes of each id; empty where there is none.
         self.raw = [b""] * (1 + max([*ids.values(), *self.added.values()]))
         for text, i in chain(ids.items(), self.added.items()):
@@ -186,6 +223,8 @@ class Vocabulary:
         #: Characters that the tokenizer's own tables class otherwise than ours, and one that ours class so.
         self.otherwise: dict[int, str] = {}
         self.split = regex.compile(_SPLIT)
+        #: The same for texts of characters up to U+FFFF, whose classes it names one by one.
+        self.plain_split = _plain_split()
         self.runs = {k: regex.compile(v) for k, v in _RUN.items()}
         self.edge = regex.compile("|".join(map(regex.escape, sorted(self.added, key=lambda t: -len(t))))) if self.added else None
 
@@ -208,10 +247,37 @@ class Vocabulary:
                 self.otherwise[ord(c)] = _LIKE[theirs]
         return text.translate(self.otherwise) if self.otherwise else text
 
+    def splitter(self, text: str):
+        return self.plain_split if text.isascii() or max(text) <= "\uffff" else self.split
+
+    def settle(self, held: list[tuple[list[int], list]]) -> None:
+        """Adds the ids of pieces, which are tuples of ids or pretokens that were not known, to the lists beside them."""
+        new = {p for _, pieces in held for p in pieces if p.__class__ is str}
+        if new:
+            short = [(w, raw) for w in new if len(raw := w.encode()) <= SHORT]
+            found = dict(zip((w for w, _ in short), self.merge.together([raw for _, raw in short]), strict=True))
+            found |= {w: tuple(self.merge(w.encode())) for w in new - found.keys()}
+            if len(self.known) + len(found) > REMEMBERED:
+                self.known.clear()
+            self.known.update(found)
+        for ids, pieces in held:
+            ids += chain.from_iterable([found[p] if p.__class__ is str else p for p in pieces] if new else pieces)
+
     def kind(self, c: str) -> str:
         return next(k for k, r in self.runs.items() if r.fullmatch(c))
 
 
+def _plain_split() -> re.Pattern:
+    """``_SPLIT`` over classes of the first 65,536 characters, as the wider expression classes them."""
+    every = "".join(map(chr, range(1 << 16)))
+
+    def ranges(kind: str) -> str:
+        return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(kind, every))
+
+    letter, number, other, space = (ranges(kind) for kind in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
+    return re.compile(rf" ?[{letter}]++| ?[{number}]++|'(?:[stmd]|re|ve|ll)| ?[{other}]++|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Encoder:
     """Ids of one text fed in chunks; ``feed`` gives those that are stable, ``finish`` the rest.
 
@@ -226,20 +292,29 @@ class Encoder:
         self.hold = max(map(len, v.added), default=1) - 1
 
     def feed(self, text: str) -> list[int]:
-        self.rest += text
-        return self._take(False)
+        return self._ids(text, False)
 
     def finish(self) -> list[int]:
-        return self._take(True)
+        return self._ids("", True)
 
-    def _take(self, last: bool) -> list[int]:
+    def _ids(self, text: str, last: bool) -> list[int]:
         out: list[int] = []
+        self.v.settle([(out, self.pieces(text, last))])
+        return out
+
+    def pieces(self, text: str, last: bool) -> list:
+        """What ``Vocabulary.settle`` makes the ids from that are stable after ``text``; all that are left if it is the ``last``."""
+        self.rest += text
+        return self._take(last)
+
+    def _take(self, last: bool) -> list:
+        out: list = []
         while self.v.edge and (m := self.v.edge.search(self.rest)):
             if not last and m.end() + self.hold > len(self.rest):
                 break  # a longer added token may begin here
             tail, self.rest = self.rest[m.end() :], self.rest[: m.start()]
             out += self._plain(len(self.rest), True)
-            out.append(self.v.added[m.group()])
+            out.append((self.v.added[m.group()],))
             self.rest = tail
         at = len(self.rest)
         if not last and self.v.edge:
@@ -247,11 +322,12 @@ class Encoder:
             at = next((i for i in range(max(0, at - 2 * self.hold), at) if any(t.startswith(self.rest[i : i + len(t)]) for t in self.v.added)), at)
         return out + self._plain(at, last)
 
-    def _plain(self, upto: int, last: bool) -> list[int]:
-        """Ids of ``rest[:upto]``, which holds no added token; unless ``last``, more text follows."""
+    def _plain(self, upto: int, last: bool) -> list:
+        """Pieces of ``rest[:upto]``, which holds no added token; unless ``last``, more text follows."""
         text, tail = self.rest[:upto], self.rest[upto:]
         look = self.v.shadow(text)
-        out: list[int] = []
+        split = self.v.splitter(look)
+        out: list = []
         start = 0
         if self.run:
             start = self.v.runs[self.run].match(look).end()
@@ -259,37 +335,37 @@ class Encoder:
                 if self.run == "space" and start < len(text):
                     # The last white space before a word is no part of the run; one character is always kept back for this.
                     start -= 1
-                out += self._window(text[:start], True)
+                out.append(self._window(text[:start], True))
                 self.run = ""
             else:
                 keep = 1 if self.run == "space" else 0
-                out += self._window(text[: len(text) - keep], False)
+                out.append(self._window(text[: len(text) - keep], False))
                 self.rest = text[len(text) - keep :] + tail
                 return out
-        words = self.v.split.findall(look, start)
+        words = split.findall(look, start)
         end = len(text)
         if not last:
             while words and end + 2 > len(text):
                 end -= len(words.pop())
         if look is text or look == text:
-            out += chain.from_iterable(map(self.v.known.__getitem__, words)) if max(map(len, words), default=0) <= LONG else chain.from_iterable(map(self._word, words))
+            out += map(self.v.known.get, words, words) if max(map(len, words), default=0) <= LONG else map(self._word, words)
         else:
             at = start
             for w in words:
-                out += self._word(text[at : at + len(w)])
+                out.append(self._word(text[at : at + len(w)]))
                 at += len(w)
         if not last and len(text) - end > LONG:
-            word = self.v.split.match(look, end).group()
+            word = split.match(look, end).group()
             if len(word) > LONG and end + len(word) == len(text):
                 # Still open: all but its last character are a part of it, as is the last unless it is white space.
                 self.run = self.v.kind(word[-1])
-                out += self._window(text[end:-1], False)
+                out.append(self._window(text[end:-1], False))
                 end = len(text) - 1
         self.rest = text[end:] + tail
         return out
 
-    def _word(self, word: str) -> Iterable[int]:
-        return self.v.known[word] if len(word) <= LONG else self._window(word, True)
+    def _word(self, word: str) -> Iterable:
+        return self.v.known.get(word, word) if len(word) <= LONG else self._window(word, True)
 
     def _window(self, text: str, last: bool) -> list[int]:
         """Tokens of a long pretoken that are stable, or all of them."""
@@ -312,51 +388,75 @@ class Encoder:
             self.window = self.window[int(ends[n - 1]) :]
 
 
+def encode_texts(v: Vocabulary, texts: Iterable[str], chunk: int = CHUNK) -> list[list[int]]:
+    """All ids of each text, fed in chunks; pretokens new to a worker are merged together over many chunks or texts."""
+    out: list[list[int]] = []
+    held: list[tuple[list[int], list]] = []
+    size = 0
+    for text in texts:
+        e = Encoder(v)
+        out.append([])
+        for i in range(0, max(1, len(text)), chunk):
+            held.append((out[-1], e.pieces(text[i : i + chunk], i + chunk >= len(text))))
+            size += min(chunk, len(text) - i)
+            if size >= TOGETHER:
+                v.settle(held)
+                held, size = [], 0
+    v.settle(held)
+    return out
+
+
 def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> list[int]:
     """All ids of one text, fed in chunks."""
-    e, out = Encoder(v), []
-    for i in range(0, len(text), chunk):
-        out += e.feed(text[i : i + chunk])
-    return out + e.finish()
+    return encode_texts(v, [text], chunk)[0]
 
 
 def decode_ids(v: Vocabulary, ids: list[int | None], chunk: int = CHUNK) -> str:
     """The text of ids, by a state machine that carries unfinished characters from chunk to chunk."""
-    state, n = codecs.getincrementaldecoder("utf-8")("replace"), len(v.raw)
-    out = [state.decode(b"".join([v.raw[x] for x in ids[i : i + chunk] if x is not None and 0 <= x < n])) for i in range(0, len(ids), chunk)]
+    n = len(v.raw)
+    return _decoded(v, [x for x in ids if x is not None and 0 <= x < n], chunk)
+
+
+def _decoded(v: Vocabulary, ids: list[int], chunk: int = CHUNK) -> str:
+    state = codecs.getincrementaldecoder("utf-8")("replace")
+    out = [state.decode(b"".join(map(v.raw.__getitem__, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)]
     return "".join([*out, state.decode(b"", True)])
 
 
-_HELD: dict[str, Vocabulary] = {}
+_HELD: dict[tuple[str, bool], Vocabulary] = {}
 
 
-def _vocabulary(path: str) -> Vocabulary:
-    if path not in _HELD:
-        _HELD[path] = Vocabulary(path)
-    return _HELD[path]
+def held_vocabulary(path: str, special: bool = True) -> Vocabulary:
+    """The vocabulary that a worker keeps from task to task, with the pretokens that it knows."""
+    if (path, special) not in _HELD:
+        _HELD[path, special] = Vocabulary(path, special)
+    return _HELD[path, special]
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text by the tokenizer file at ``path``, which every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(path)
-
-        def answer(of: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            return pa.record_batch([pa.array(of, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))], names=["id", "ids"])
+        v = held_vocabulary(path)
+
+        def answer(part: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            ids, first, held = encode_texts(v, texts), 0, 0
+            for i, own in enumerate(ids):
+                held += len(own)
+                if held >= IDS or i + 1 == len(ids):
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in ids[first : i + 1]])]).astype(np.int32)
+                    flat = np.fromiter(chain.from_iterable(ids[first : i + 1]), np.int32, held)
+                    yield pa.record_batch([part.column(0).slice(first, i + 1 - first), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "ids"])
+                    first, held = i + 1, 0
 
         for b in batches:
-            of, ids, held = [], [], 0
-            for doc, words in zip(b.column(0), b.column(1), strict=True):
-                of.append(doc.as_py())
-                ids.append(np.array(encode_text(v, words.as_py() or ""), np.int32))
-                held += len(ids[-1])
-                if len(of) >= ROWS or held >= IDS:
-                    yield answer(of, ids)
-                    of, ids, held = [], [], 0
-            if of:
-                yield answer(of, ids)
+            texts, size = [], 0
+            for i, words in enumerate(b.column(1)):
+                texts.append(words.as_py() or "")
+                size += len(texts[-1])
+                if len(texts) >= ROWS or size >= TOGETHER or i + 1 == b.num_rows:
+                    yield from answer(b.slice(i + 1 - len(texts), len(texts)), texts)
+                    texts, size = [], 0
 
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
 
@@ -365,12 +465,14 @@ def decode(tokens: DataFrame, path: str, id_column: str = "id", ids: str = "ids"
     """(id, ids, text) of every row's ids, special ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(path)
+        v = held_vocabulary(path)
         for b in batches:
             start, size = 0, 0
             texts: list[str] = []
             for i, one in enumerate(b.column(1)):
-                texts.append(decode_ids(v, one.as_py() or []))
+                own = one.values
+                own = own.to_numpy() if own is not None and not own.null_count else np.array([x for x in own.to_pylist() if x is not None] if own is not None else [], np.int32)
+                texts.append(_decoded(v, own[(own >= 0) & (own < len(v.raw))].tolist()))
                 size += len(texts[-1])
                 if size >= IDS or i + 1 == b.num_rows:
                     part = b.slice(start, len(texts))
