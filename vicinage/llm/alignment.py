@@ -40,6 +40,8 @@ from .store import materialize
 
 #: Text bytes of a block (one text at least).
 BLOCK = 2 << 20
+#: Texts that the piece model is given at a time.
+TOGETHER = 64
 _BLOCK_SCHEMA = "block long, ids array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, sha array<string>, at array<int>, slot array<int>, times array<int>, pairs array<long>, counts array<long>"
 
 
@@ -51,6 +53,9 @@ class ByteTokenizer:
         self.raw = self.vocabulary.raw
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
         return encode_texts(self.vocabulary, (" " + t for t in texts))
 
 
@@ -70,6 +75,10 @@ class PieceTokenizer:
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        # Few texts at a time, as the model answers with lists of numbers.
+        return [np.array(x, np.int32) for i in range(0, len(texts), TOGETHER) for x in self(texts[i : i + TOGETHER])]
+
 
 def unite(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Root of each link (a[i], b[i]) by union-find: the least link of its component.
@@ -149,13 +158,12 @@ def spelled(a_ids: int, b_ids: int) -> list[bytes]:
 
 def align_block(texts: list[str], a: ByteTokenizer, b: PieceTokenizer) -> Aligned:
     """The alignment of texts; those without tokens of equal bytes have none."""
-    got_a, got_b = a(texts), b(texts)
+    got_a, got_b = a.arrays(texts), b.arrays(texts)
     for i, text in enumerate(texts):
         whole = (" " + text).encode()
-        if not text or any(b"".join(map(side.raw.__getitem__, ids[i])) != whole for side, ids in ((a, got_a), (b, got_b))):
-            got_a[i] = got_b[i] = []
-    arrays = [[np.array(x, np.int32) for x in side] for side in (got_a, got_b)]
-    return Aligned(*arrays, *(np.array([len(x) for x in side.raw], np.int64) for side in (a, b)))
+        if not text or any(b"".join(map(side.raw.__getitem__, ids[i].tolist())) != whole for side, ids in ((a, got_a), (b, got_b))):
+            got_a[i] = got_b[i] = np.zeros(0, np.int32)
+    return Aligned(got_a, got_b, *(np.array([len(x) for x in side.raw], np.int64) for side in (a, b)))
 
 
 def _lists(values: np.ndarray, ends: list[int]) -> pa.ListArray:

@@ -98,6 +98,11 @@ def sufficient_lookahead(merges: list[tuple]) -> int:
     return most
 
 
+def packed(ids: list[int] | np.ndarray) -> bytes:
+    """Ids as bytes, four each."""
+    return np.asarray(ids, np.int32).tobytes()
+
+
 class Merger:
     """Ids of byte strings by a merge list: lowest rank first, from the left among equals."""
 
@@ -132,9 +137,9 @@ class Merger:
         at = np.searchsorted(self.sorted, key)
         return np.where(self.sorted[at] == key, self.rank_of[at], len(self.made))
 
-    def together(self, raws: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of many strings, none of them empty: a round merges the lowest rank of each, the first from the left."""
-        out: list = [()] * len(raws)
+    def together(self, raws: list[bytes]) -> list[bytes]:
+        """Packed ids of many strings, none of them empty: a round merges the lowest rank of each, the first from the left."""
+        out = [b""] * len(raws)
         if not raws:
             return out
         none, size, name = len(self.made), np.array(list(map(len, raws)), np.int64), np.arange(len(raws))
@@ -147,9 +152,9 @@ class Merger:
             live = lowest < none
             if 2 * np.count_nonzero(live) <= len(live):
                 # Those that are done leave.
-                flat = ids.tolist()
-                for i, s, n in zip(name[~live].tolist(), start[~live].tolist(), size[~live].tolist(), strict=True):
-                    out[i] = tuple(flat[s : s + n])
+                flat = packed(ids)
+                for i, s, n in zip(name[~live].tolist(), (4 * start[~live]).tolist(), (4 * size[~live]).tolist(), strict=True):
+                    out[i] = flat[s : s + n]
                 if not live.any():
                     return out
                 kept = np.repeat(live, size)
@@ -213,7 +218,7 @@ class Vocabulary:
             first[b] = ids[c]
         self.merge = Merger(first, {(ids[a], ids[b]): r for r, (a, b) in enumerate(pairs)}, [ids[a + b] for a, b in pairs])
         #: Ids of pretokens; emptied when full.
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         #: Bytes of each id; empty where there is none.
         self.raw = [b""] * (1 + max([*ids.values(), *self.added.values()]))
         for text, i in chain(ids.items(), self.added.items()):
@@ -250,18 +255,18 @@ class Vocabulary:
     def splitter(self, text: str):
         return self.plain_split if text.isascii() or max(text) <= "\uffff" else self.split
 
-    def settle(self, held: list[tuple[list[int], list]]) -> None:
-        """Adds the ids of pieces, which are tuples of ids or pretokens that were not known, to the lists beside them."""
+    def settle(self, held: list[tuple[list[bytes], list]]) -> None:
+        """Adds the ids of pieces, which are packed ids or pretokens that were not known, to the lists beside them, packed."""
         new = {p for _, pieces in held for p in pieces if p.__class__ is str}
         if new:
             short = [(w, raw) for w in new if len(raw := w.encode()) <= SHORT]
             found = dict(zip((w for w, _ in short), self.merge.together([raw for _, raw in short]), strict=True))
-            found |= {w: tuple(self.merge(w.encode())) for w in new - found.keys()}
+            found |= {w: packed(self.merge(w.encode())) for w in new - found.keys()}
             if len(self.known) + len(found) > REMEMBERED:
                 self.known.clear()
             self.known.update(found)
         for ids, pieces in held:
-            ids += chain.from_iterable([found[p] if p.__class__ is str else p for p in pieces] if new else pieces)
+            ids.append(b"".join([found[p] if p.__class__ is str else p for p in pieces] if new else pieces))
 
     def kind(self, c: str) -> str:
         return next(k for k, r in self.runs.items() if r.fullmatch(c))
@@ -298,9 +303,9 @@ class Encoder:
         return self._ids("", True)
 
     def _ids(self, text: str, last: bool) -> list[int]:
-        out: list[int] = []
+        out: list[bytes] = []
         self.v.settle([(out, self.pieces(text, last))])
-        return out
+        return np.frombuffer(out[0], np.int32).tolist()
 
     def pieces(self, text: str, last: bool) -> list:
         """What ``Vocabulary.settle`` makes the ids from that are stable after ``text``; all that are left if it is the ``last``."""
@@ -314,7 +319,7 @@ class Encoder:
                 break  # a longer added token may begin here
             tail, self.rest = self.rest[m.end() :], self.rest[: m.start()]
             out += self._plain(len(self.rest), True)
-            out.append((self.v.added[m.group()],))
+            out.append(packed([self.v.added[m.group()]]))
             self.rest = tail
         at = len(self.rest)
         if not last and self.v.edge:
@@ -335,11 +340,11 @@ class Encoder:
                 if self.run == "space" and start < len(text):
                     # The last white space before a word is no part of the run; one character is always kept back for this.
                     start -= 1
-                out.append(self._window(text[:start], True))
+                out.append(packed(self._window(text[:start], True)))
                 self.run = ""
             else:
                 keep = 1 if self.run == "space" else 0
-                out.append(self._window(text[: len(text) - keep], False))
+                out.append(packed(self._window(text[: len(text) - keep], False)))
                 self.rest = text[len(text) - keep :] + tail
                 return out
         words = split.findall(look, start)
@@ -359,13 +364,13 @@ class Encoder:
             if len(word) > LONG and end + len(word) == len(text):
                 # Still open: all but its last character are a part of it, as is the last unless it is white space.
                 self.run = self.v.kind(word[-1])
-                out.append(self._window(text[end:-1], False))
+                out.append(packed(self._window(text[end:-1], False)))
                 end = len(text) - 1
         self.rest = text[end:] + tail
         return out
 
-    def _word(self, word: str) -> Iterable:
-        return self.v.known.get(word, word) if len(word) <= LONG else self._window(word, True)
+    def _word(self, word: str) -> str | bytes:
+        return self.v.known.get(word, word) if len(word) <= LONG else packed(self._window(word, True))
 
     def _window(self, text: str, last: bool) -> list[int]:
         """Tokens of a long pretoken that are stable, or all of them."""
@@ -388,10 +393,10 @@ class Encoder:
             self.window = self.window[int(ends[n - 1]) :]
 
 
-def encode_texts(v: Vocabulary, texts: Iterable[str], chunk: int = CHUNK) -> list[list[int]]:
+def encode_texts(v: Vocabulary, texts: Iterable[str], chunk: int = CHUNK) -> list[np.ndarray]:
     """All ids of each text, fed in chunks; pretokens new to a worker are merged together over many chunks or texts."""
-    out: list[list[int]] = []
-    held: list[tuple[list[int], list]] = []
+    out: list[list[bytes]] = []
+    held: list[tuple[list[bytes], list]] = []
     size = 0
     for text in texts:
         e = Encoder(v)
@@ -403,12 +408,12 @@ def encode_texts(v: Vocabulary, texts: Iterable[str], chunk: int = CHUNK) -> lis
                 v.settle(held)
                 held, size = [], 0
     v.settle(held)
-    return out
+    return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
 
 def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> list[int]:
     """All ids of one text, fed in chunks."""
-    return encode_texts(v, [text], chunk)[0]
+    return encode_texts(v, [text], chunk)[0].tolist()
 
 
 def decode_ids(v: Vocabulary, ids: list[int | None], chunk: int = CHUNK) -> str:
@@ -445,7 +450,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
                 held += len(own)
                 if held >= IDS or i + 1 == len(ids):
                     at = np.concatenate([[0], np.cumsum([len(x) for x in ids[first : i + 1]])]).astype(np.int32)
-                    flat = np.fromiter(chain.from_iterable(ids[first : i + 1]), np.int32, held)
+                    flat = np.concatenate(ids[first : i + 1])
                     yield pa.record_batch([part.column(0).slice(first, i + 1 - first), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "ids"])
                     first, held = i + 1, 0
 
