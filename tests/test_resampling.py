@@ -197,3 +197,25 @@ def test_drawn_sums_equal_the_draws_in_chunks(spark, monkeypatch):
         sound = [v for v in vs if v is not None and v < float("inf")]
         assert (r["m"], r["drawn"], r["total"], r["own"], sorted(r["shared"])) == (8, 8, sum(drawn), 0, sorted(set(drawn)))
         assert r["squares"] == sum(drawn.count(x) ** 2 for x in set(drawn)) and r["bad"] == [len(vs) - len(sound)] and abs(r["sums"][0] - sum(sound)) < 1e-9
+
+
+def test_a_task_sends_sums_of_all_its_tiles(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "BLOCK", 2)
+    monkeypatch.setattr(resampling, "TILE", 2)
+    _, df = fixture(spark, bad=("0A2-01",))
+    laid = resampling.tiles(df, ["y", "z"])
+    # What a tile carries does not hold the ids that only its order asks for.
+    assert [f.name for f in laid.schema["cases"].dataType.elementType] == ["place", "h0", "h1", "n", "v"]
+    at, names = np.array([0, 1]), [str(i) for i in range(10 + 6)]
+    table = laid.orderBy(*resampling._KEY, "block", "tile").toArrow()
+    table = table.append_column("share", [[0] * len(table)]).combine_chunks()
+    asked = []
+    monkeypatch.setattr(resampling, "stream", lambda *name, f=resampling.stream: (asked.append(name), f(*name))[1])
+    one = list(resampling._sums("t", range(2), 1, at, at, names)(iter(table.to_batches())))
+    # Four strata and two groups of replicates, however many tiles; lineages of a block are drawn once.
+    assert len(table) > 30 and len(one) == 8
+    drawn = [n for n in asked if n[4] == "lineage"]
+    assert len(drawn) == len(set(drawn)) < 2 * len(table)
+    monkeypatch.setattr(resampling, "EXACT", 0)
+    for a, b in zip(one, resampling._sums("t", range(2), 1, at, at, names)(iter(table.to_batches())), strict=True):
+        assert a.equals(b)

@@ -101,7 +101,8 @@ def arm_cases(s, d) -> DataFrame:
 
 
 def all_bounds(s, d, replicates: int = REPLICATES) -> DataFrame:
-    cases = arm_cases(s, d)
+    # Lineages, tiles and points are all made of them.
+    cases = written(arm_cases(s, d), "cases")
     values = [f"{k}_{c}" for k in (*ARMS, "den") for c in "ynb"]
     got = resampling.resample(cases, replicates, DOMAIN, occurrence=values, count=values)
     # A handful of families, which name columns.
