@@ -99,3 +99,24 @@ def test_small_pools_are_drawn_whole(spark):
 def test_no_pairs_of_all_rows_in_the_plan(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_candidates_are_not_broadcast(spark):
+    df = spark.createDataFrame([(i, i // 2, i % 4, i % 3) for i in range(200)], SCHEMA)
+    own = df.select(F.col("row_id").alias("query"), F.col("case_id").alias("qc"), F.col("lineage").alias("ql"), F.col("seed").alias("qs"))
+    train = quantiles.numbered(df, ["row_id"], "number")
+    # Small tables: by their size alone Spark would send all candidates of all queries through the driver.
+    got = neighbours._candidates(own, train, 200, 0, 32, "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    join = plan[: plan.index("Generate explode")]
+    assert "SortMergeJoin" in join and "BroadcastHashJoin" not in join
+    assert got.count() > 200 * 16
+
+
+def test_rows_drawn_before_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(neighbours, "written", lambda df, name, f=neighbours.written: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), f(df, name))[1])
+    df = spark.createDataFrame([(i, i // 2, i % 4, i % 3) for i in range(80)], SCHEMA)
+    neighbours.matched_random(df, df, 3, "t", 3)
+    anti = [p for name, p in plans if name == "drawn" and "LeftAnti" in p]
+    assert anti and all("SortMergeJoin" in p and "BroadcastHashJoin [query" not in p for p in anti)
