@@ -120,3 +120,9 @@ def test_rows_drawn_before_are_not_broadcast(spark, monkeypatch):
     neighbours.matched_random(df, df, 3, "t", 3)
     anti = [p for name, p in plans if name == "drawn" and "LeftAnti" in p]
     assert anti and all("SortMergeJoin" in p and "BroadcastHashJoin [query" not in p for p in anti)
+
+
+@pytest.mark.parametrize("name", ["N1_N2_pointwise_disagreement", "N2_case_quantiles"])
+def test_ratios_are_made_once(spark, sf_dir, name):
+    # Neighbours are met where the ratios are written, not again for each quantile.
+    assert "MapInArrow" not in queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
