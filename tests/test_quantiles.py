@@ -126,3 +126,32 @@ def test_rows_drawn_before_are_not_broadcast(spark, monkeypatch):
 def test_ratios_are_made_once(spark, sf_dir, name):
     # Neighbours are met where the ratios are written, not again for each quantile.
     assert "MapInArrow" not in queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def _broadcasts(plan):
+    """What lies below each broadcast of a plan."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_training_rows_are_not_broadcast(spark, sf_dir):
+    # A small file, whose blocks are sent to all salts.
+    sent = _broadcasts(_plan(queries.QUERIES["J5_W1_legal_knn"](spark, sf_dir)))
+    assert sent and not any("collect_list" in x for x in sent)
+
+
+def test_written_edges_are_not_broadcast(spark, sf_dir):
+    # N9 reads the written random rows in both arms; few bytes a row in the file, many in memory.
+    sent = _broadcasts(_plan(queries.QUERIES["N9_arm_decomposition"](spark, sf_dir)))
+    # Only sums of an arm, one row, lie over edges.
+    assert sent and not any("comparator" in x and "Aggregate" not in x for x in sent)
