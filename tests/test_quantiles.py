@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinage.operators import neighbours, quantiles
-from vicinage.plans import queries
+from vicinage.plans import neighbourhoods, queries
 
 
 def plain(values, q, kind):
@@ -155,3 +155,13 @@ def test_written_edges_are_not_broadcast(spark, sf_dir):
     sent = _broadcasts(_plan(queries.QUERIES["N9_arm_decomposition"](spark, sf_dir)))
     # Only sums of an arm, one row, lie over edges.
     assert sent and not any("comparator" in x and "Aggregate" not in x for x in sent)
+
+
+def test_neighbours_are_not_sent_with_vectors(spark, sf_dir, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(neighbourhoods, "written", lambda df, name, f=neighbourhoods.written: (plans.setdefault(name, _plan(df)), f(df, name))[1])
+    queries.QUERIES["N7_near_collisions"](spark, sf_dir)
+    # Down to the meetings there are the neighbours' distances alone; the vectors are those of the random rows.
+    near, far = plans["edges"].split("MapInArrow", 1)
+    assert "qx" not in near and "qx" in far
+    assert not any("comparator" in x for x in _broadcasts(plans["edges"]))
