@@ -219,3 +219,31 @@ def test_a_task_sends_sums_of_all_its_tiles(spark, monkeypatch):
     monkeypatch.setattr(resampling, "EXACT", 0)
     for a, b in zip(one, resampling._sums("t", range(2), 1, at, at, names)(iter(table.to_batches())), strict=True):
         assert a.equals(b)
+
+
+def test_numerals_are_made_once_and_weights_summed_together(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    for k, v in {"HASHED": 4, "WEIGHED": 20, "TOGETHER": 6}.items():
+        monkeypatch.setattr(bootstrap, k, v)
+    bootstrap._numerals.cache_clear()
+    m, held = 11, [{"place": i, "lineage": 100 + i, "shared": i % 3 == 0, "v": [float(i), float("nan") if i == 7 else 1.0]} for i in range(5, 11)]
+    kind = pa.list_(pa.struct({"place": pa.int64(), "lineage": pa.int64(), "shared": pa.bool_(), "v": pa.list_(pa.float64())}))
+    one = {"fold": [1], "family": ["a"], "m": [m], "start": [5], "fold_text": ["1"], "family_text": ["a"], "block": [1]}
+    batch = pa.record_batch({**{k: pa.array(v) for k, v in one.items()}, "lineages": pa.array([held], kind)})
+    listed = {"shared": pa.list_(pa.int64()), "sums": pa.list_(pa.float64()), "bad": pa.list_(pa.float64())}
+    names = ["replicate", "fold", "family", "m", "drawn", "squares", "total", "own", "shared", "sums", "bad"]
+    schema = pa.schema([(k, listed.get(k, pa.string() if k == "family" else pa.int64())) for k in names])
+    got = [r for b in bootstrap._drawn_sums(11, "d", schema)([batch]) for r in b.to_pylist()]
+    assert [r["replicate"] for r in got] == [6, 7, 8, 9, 10]
+    for r in got:
+        hits = [int(hashlib.sha256(f"d|{r['replicate']}|1|a|{i}".encode()).hexdigest()[:12], 16) % m for i in range(m)]
+        w = {i: hits.count(i) for i in range(5, 11)}
+        assert (r["drawn"], r["squares"], r["total"]) == (sum(w.values()), sum(x * x for x in w.values()), sum(x * (100 + i) for i, x in w.items()))
+        assert r["own"] == sum(1 for i, x in w.items() if x and i % 3) and sorted(r["shared"]) == [100 + i for i, x in w.items() if x and not i % 3]
+        assert r["sums"] == [sum(x * i for i, x in w.items()), sum(x for i, x in w.items() if i != 7)] and r["bad"] == [0, w[7]]
+    # Three pieces of four numerals, whatever the number of replicates.
+    assert bootstrap._numerals.cache_info().misses == 3
+    bootstrap._numerals.cache_clear()

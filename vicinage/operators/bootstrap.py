@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,36 +42,58 @@ def draws(cases: DataFrame, replicates: int, domain: str, held: DataFrame | None
     return slots.withColumn("place", at).drop("m").join(own, ["fold", "family", "place"]).select("replicate", "fold", "family", "occurrence", *[c for c in own.columns if c not in ("fold", "family", "place")])
 
 
-#: Places of a stratum that one row holds, replicates that it draws, and hashes made at a time.
-CHUNK, TOGETHER, HASHED = 1 << 18, 500, 1 << 16
+#: Places of a stratum that one row holds, replicates that it draws, hashes made at a time, and weights that are summed at a time.
+CHUNK, TOGETHER, HASHED, WEIGHED = 1 << 18, 500, 1 << 16, 1 << 18
+
+
+@lru_cache(maxsize=16)
+def _numerals(first: int, upto: int) -> list[bytes]:
+    """Occurrences ``first`` to ``upto`` as text, which all replicates and strata of a worker share."""
+    return [b"%d" % i for i in range(first, upto)]
 
 
 def _hits(prefix: str, first: int, upto: int, m: int) -> np.ndarray:
     """The places that occurrences ``first`` to ``upto`` take."""
     head, sha = prefix.encode(), hashlib.sha256
-    digests = b"".join([sha(head + b"%d" % i).digest() for i in range(first, upto)])
+    # Whole pieces of HASHED numerals are kept, so a stratum's size does not make new ones.
+    numerals = _numerals(first, first + HASHED)[: upto - first]
+    digests = b"".join([sha(head + i).digest() for i in numerals])
     return (np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16)).astype(np.int64) % m
 
 
+def _weights(prefix: str, m: int, start: int, held: int) -> np.ndarray:
+    """How often one replicate draws each of the places ``start`` to ``start + held`` of a stratum of ``m``."""
+    w = np.zeros(held, np.int64)
+    for first in range(0, m, HASHED):
+        hit = _hits(prefix, first, min(m, first + HASHED), m)
+        if held < m:
+            hit = hit[(hit >= start) & (hit < start + held)] - start
+        w += np.bincount(hit, minlength=held)
+    return w
+
+
 def _drawn_sums(replicates: int, domain: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 at = {k: b.column(k)[i] for k in b.schema.names}
                 fold, family, m, start, block = (at[k].as_py() for k in ("fold", "family", "m", "start", "block"))
+                stratum = f"{at['fold_text']}|{at['family_text']}"
                 one = at["lineages"].values
-                lineage, shared = one.field("lineage").to_numpy(), one.field("shared").to_numpy(zero_copy_only=False)
+                lineage, shared = one.field("lineage").to_numpy(), one.field("shared").to_numpy(zero_copy_only=False).astype(bool)
                 values = one.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(one), -1)
                 sound = np.isfinite(values)
                 values, bad = np.where(sound, values, 0.0), (~sound).astype(np.float64)
+                own, elsewhere, ids = np.flatnonzero(~shared), np.flatnonzero(shared), lineage[shared]
                 out = []
-                for r in range(block * TOGETHER, min(replicates, (block + 1) * TOGETHER)):
-                    w = np.zeros(len(one), np.int64)
-                    for first in range(0, m, HASHED):
-                        hit = _hits(f"{domain}|{r}|{at['fold_text']}|{at['family_text']}|", first, min(m, first + HASHED), m) - start
-                        w += np.bincount(hit[(hit >= 0) & (hit < len(one))], minlength=len(one))
+                upto, step = min(replicates, (block + 1) * TOGETHER), max(1, WEIGHED // len(one))
+                for s in range(block * TOGETHER, upto, step):
+                    some = range(s, min(upto, s + step))
+                    w = np.stack([_weights(f"{domain}|{r}|{stratum}|", m, start, len(one)) for r in some])
                     f = w.astype(np.float64)
-                    out.append((r, fold, family, m, int(w.sum()), int((w * w).sum()), int((w * lineage).sum()), int(((w > 0) & ~shared).sum()), lineage[(w > 0) & shared].tolist(), (f @ values).tolist(), (f @ bad).tolist()))
+                    others = [ids[x > 0].tolist() for x in w[:, elsewhere]]
+                    parts = ((w * w).sum(1), w @ lineage, (w[:, own] > 0).sum(1))
+                    out += zip(some, [fold] * len(w), [family] * len(w), [m] * len(w), w.sum(1).tolist(), *(x.tolist() for x in parts), others, (f @ values).tolist(), (f @ bad).tolist(), strict=True)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
