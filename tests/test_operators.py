@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vicinage.functions import nulls
-from vicinage.operators import geometry, hierarchy, models, stats
+from vicinage.operators import geometry, hierarchy, models, neighbours, stats
 from vicinage.operators.neighbours import legal_neighbours
 from vicinage.sources import tables
 
@@ -217,3 +218,44 @@ def test_groups_of_cells_keep_every_neighbour_and_meet_less(spark, monkeypatch):
     for q, rank, n, d in found[7][:200]:
         near = sorted((float(np.sqrt(((x[q] - x[t]) ** 2).sum())), t // 2, t) for t in range(400) if t // 2 != q // 2 and t // 10 != q // 10 and (q % 3 == 0 or q % 3 != t % 3))
         assert n == near[rank - 1][2] and abs(d - near[rank - 1][0]) < 1e-9
+
+
+def _plain_nearest(k, q, t):
+    out = []
+    for i in range(len(q[0])):
+        legal = [j for j in range(len(t[0])) if q[1][i] != t[1][j] and q[2][i] != t[2][j] and (q[3][i] == 0 or q[3][i] != t[3][j])]
+        d = {j: np.sqrt(((q[4][i : i + 1] - t[4][j : j + 1]) ** 2).sum(1))[0] for j in legal}
+        out.append([(int(t[0][j]), float(d[j])) for j in sorted(legal, key=lambda j: (d[j], t[1][j], t[0][j]))[:k]])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "whole", "far off", "tiny", "huge"])
+def test_the_sieve_loses_no_neighbour(monkeypatch, kind):
+    for name, value in {"STEP": 7, "FIRST": 5, "PIECE": 9, "MEASURED": 11}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    draw = np.random.default_rng(5)
+
+    def made(n, first):
+        i = np.arange(first, first + n)
+        draw.shuffle(i)
+        x = draw.normal(size=(n, 5))
+        x = {"copies": x[draw.integers(0, 3, n)], "whole": np.round(x), "far off": x + 1e9, "tiny": x * 1e-30, "huge": x * 1e100}.get(kind, x)
+        return i, i // 2, (i // 10) % 3, (i // 10) % 3, x
+
+    q, t = made(30, 0), neighbours._ordered(made(90, 15))
+    for k in (1, 6, 70):
+        got = [[] for _ in range(30)]
+        for r, c, d in zip(*neighbours._nearest(k, q, t), strict=True):
+            got[r].append((int(t[0][c]), float(d)))
+        assert got == _plain_nearest(k, q, t)
+
+
+def test_a_block_of_copies_sends_no_more_than_k_rows_a_query():
+    n, k = 300, 4
+    kinds = {"row_id": pa.int64(), "case_id": pa.int64(), "lineage": pa.int64(), "seed": pa.int64(), "x": pa.list_(pa.float64())}
+    rows = [{"row_id": n - i, "case_id": n - i, "lineage": i % 2, "seed": 0, "x": [1.0, 2.0]} for i in range(n)]
+    one = pa.array([rows], pa.list_(pa.struct(kinds)))
+    (got,) = neighbours._meet(k, True)([pa.record_batch([one, one], names=["q", "t"])])
+    assert got.num_rows == n * k and set(got.column("distance").to_pylist()) == {0.0}
+    # The first by case of the other lineage.
+    assert sorted(set(got.column("neighbour").to_pylist())) == list(range(1, 2 * k + 1))
