@@ -121,3 +121,20 @@ def test_neighbours_by_lineage(spark, monkeypatch, block, few):
         for lin in range(5):
             near = sorted((math.dist(q[4], t[4]), t[1], t[0]) for t in rows if t[2] == lin and lin != q[2] and t[1] != q[1] and (q[3] == 0 or q[3] != t[3]))[:3]
             assert sorted(got.get((q[0], lin), [])) == [(i + 1, n[2]) for i, n in enumerate(near)]
+
+
+def test_neighbours_are_put_in_order_once_for_all_sets_of_folds(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, i // 2, i // 4, "a", i % 3, 0, [float(v) for v in draw.integers(0, 3, 2)], float(i)) for i in range(60)]
+    got = nested.neighbour_means(spark.createDataFrame(rows, SCHEMA), [0, 1, 2])
+    # That of the neighbours themselves; sets of folds are taken from a query's own list.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) == 1
+    found = {(r["row_id"], r["without"]): r for r in got.collect()}
+    assert len(found) == 180
+    for i, case, _, _, fold, _, x, _ in rows:
+        for without in range(3):
+            near = sorted((math.dist(x, t[6]), t[1], t[0], t[7]) for t in rows if t[4] not in (fold, without) and t[1] != case)
+            for k in nested.NEAR:
+                want = sum(t[3] for t in near[:k]) / k if len(near) >= k else None
+                assert found[i, without][f"knn{k}"] == pytest.approx(want)

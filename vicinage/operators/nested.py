@@ -18,7 +18,7 @@ finite are left out of everything.  An empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nulls, vectors
@@ -36,10 +36,16 @@ def neighbour_means(points: DataFrame, folds: list[int]) -> DataFrame:
     """(row_id, without, knn5, knn10, knn20): means of the nearest rows outside a row's own fold and the fold ``without``; null with fewer rows."""
     keyed = points.select("row_id", "case_id", F.col("fold").alias("lineage"), "seed", "x")
     found = legal_neighbours(keyed, keyed, max(NEAR), by_lineage=True).join(points.select(F.col("row_id").alias("neighbour"), "y"), "neighbour")
-    sets = found.withColumn("without", F.explode(F.array(*[F.lit(f).cast("long") for f in folds]))).filter(F.col("without") != F.col("lineage"))
-    best = Window.partitionBy("query", "without").orderBy("distance", "case_id", "neighbour")
-    near = sets.withColumn("i", F.row_number().over(best)).filter(F.col("i") <= max(NEAR))
-    return near.groupBy(F.col("query").alias("row_id"), "without").agg(*[F.when(F.max("i") >= k, F.avg(F.when(F.col("i") <= k, F.col("y")))).alias(f"knn{k}") for k in NEAR])
+    # At most max(NEAR) rows of each fold, put in order once for all sets of folds.
+    near = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "case_id", "neighbour", "lineage", "y"))).alias("near"))
+
+    def outside(fold: int) -> Column:
+        kept = F.slice(F.filter("near", lambda x: x["lineage"] != F.lit(fold)), 1, max(NEAR))
+        return F.struct(F.lit(fold).cast("long").alias("without"), F.transform(kept, lambda x: x["y"]).alias("ys"))
+
+    sets = near.select(F.col("query").alias("row_id"), F.inline(F.array(*[outside(f) for f in folds]))).filter(F.size("ys") > 0)
+    mean = lambda k: F.aggregate(F.slice("ys", 1, k), F.lit(0.0), lambda a, y: a + y) / k
+    return sets.select("row_id", "without", *[F.when(F.size("ys") >= k, mean(k)).alias(f"knn{k}") for k in NEAR])
 
 
 def ridge_fits(points: DataFrame, folds: list[int], positions: list[int], alpha: float) -> DataFrame:
